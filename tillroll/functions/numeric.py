@@ -63,3 +63,12 @@ def parse_amount(col: str | Column, parity: bool = False) -> Column:
 
 def _try_double(col: Column) -> Column:
     return col.try_cast("double")
+
+
+def sig_round(col: str | Column, digits: int = 12) -> Column:
+    """Round a double to ``digits`` significant digits.
+
+    Used on floating aggregates (averages / sums of doubles) whose last bits
+    depend on the order in which partitions are combined, so that results are
+    reproducible across runs and engines."""
+    return F.format_string(f"%.{digits - 1}e", _c(col)).cast("double")

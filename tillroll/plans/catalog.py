@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import kpi, products, timeseries
+from tillroll.operators import churn, cohort, customers, kpi, ltv, products, timeseries
+from tillroll.functions import sig_round
 from tillroll.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +24,31 @@ def _on_purchases(op, **kw) -> Query:
     return lambda spark, sf_dir: op(fixtures.purchases(spark, sf_dir), **kw)
 
 
+# Floating aggregates (averages / sums of doubles) whose last bits depend on
+# the combine order of partitions; reported to 12 significant digits.
+STABLE: dict[str, list[str]] = {
+    "seasonality_stats": ["avg_mom_growth", "cv"],
+    "rfm_averages": ["avg_monetary"],
+    "retention_curve": ["retention_pct"],
+    "cohort_summary": ["m1_retention", "m3_retention", "m6_retention"],
+    "ltv_overview": ["avg_ltv", "total_predicted", "avg_untapped"],
+    "ltv_segment_breakdown": ["total_ltv"],
+    "ltv_segment_table": ["avg_historical_ltv", "avg_predicted_ltv", "avg_total_ltv", "avg_orders",
+                          "avg_aov", "avg_recency"],
+    "ltv_insights": ["platinum_pct", "platinum_ltv_pct", "avg_ltv", "avg_aov", "predicted_total"],
+}
+
+
+def _stable(q: Query, cols: list[str]) -> Query:
+    return lambda spark, sf_dir: q(spark, sf_dir).withColumns({c: sig_round(c) for c in cols})
+
+
 def registry() -> dict[str, Query]:
+    q = _registry()
+    return {k: (_stable(v, STABLE[k]) if k in STABLE else v) for k, v in q.items()}
+
+
+def _registry() -> dict[str, Query]:
     q: dict[str, Query] = {
         # time series / KPIs
         "monthly_growth": _on_sales(timeseries.monthly_growth),
@@ -47,5 +72,31 @@ def registry() -> dict[str, Query]:
         "product_pareto": _on_sales(products.product_pareto),
         "product_concentration": _on_sales(products.product_concentration),
         "customer_concentration": _on_sales(products.customer_concentration),
+        # customers: RFM, churn features and rule scores
+        "rfm": _on_sales(customers.rfm),
+        "rfm_averages": _on_sales(customers.rfm_averages),
+        "rfm_purchases": _on_purchases(customers.rfm),
+        "customer_features": _on_sales(customers.customer_features),
+        "customer_features_purchases": _on_purchases(customers.customer_features),
+        "churn_rule": _on_sales(churn.churn_rule),
+        "risk_distribution": _on_sales(lambda s: churn.risk_distribution(churn.churn_rule(s))),
+        "top_high_risk": _on_sales(lambda s: churn.top_high_risk(churn.churn_rule(s))),
+        "churn_histogram": _on_sales(lambda s: churn.churn_histogram(churn.churn_rule(s))),
+        "churn_insights": _on_sales(lambda s: churn.churn_insights(churn.churn_rule(s))),
+        # cohorts
+        "cohort_counts": _on_sales(cohort.cohort_counts),
+        "cohort_retention": _on_sales(cohort.cohort_retention),
+        "cohort_display": _on_sales(cohort.cohort_display),
+        "retention_curve": _on_sales(cohort.retention_curve),
+        "cohort_sizes": _on_sales(cohort.cohort_sizes),
+        "cohort_summary": _on_sales(cohort.cohort_summary),
+        # lifetime value
+        "customer_ltv": _on_sales(ltv.customer_ltv),
+        "ltv_overview": _on_sales(lambda s: ltv.ltv_overview(ltv.customer_ltv(s))),
+        "ltv_histogram": _on_sales(lambda s: ltv.ltv_histogram(ltv.customer_ltv(s))),
+        "ltv_segment_breakdown": _on_sales(lambda s: ltv.ltv_segment_breakdown(ltv.customer_ltv(s))),
+        "ltv_segment_table": _on_sales(lambda s: ltv.ltv_segment_table(ltv.customer_ltv(s))),
+        "top_ltv_customers": _on_sales(lambda s: ltv.top_ltv_customers(ltv.customer_ltv(s))),
+        "ltv_insights": _on_sales(lambda s: ltv.ltv_insights(ltv.customer_ltv(s))),
     }
     return q

@@ -64,7 +64,95 @@ t AS (SELECT product, revenue, row_number() OVER (ORDER BY revenue DESC, product
 """
 
 
+def quantile_sql(src: str, col: str, p: float) -> str:
+    """Scalar subquery: linear-interpolated quantile of ``col`` in ``src``
+    (numpy's lerp form, matching ``tillroll.operators.stats``)."""
+    return f"""(SELECT CASE WHEN t >= 0.5 THEN b - (b - a) * (1.0 - t) ELSE a + (b - a) * t END
+  FROM (SELECT MAX(CASE WHEN i = k THEN x END) AS a,
+               MAX(CASE WHEN i = LEAST(k + 1, n - 1) THEN x END) AS b, ANY_VALUE(h - k) AS t
+        FROM (SELECT x, i, n, h, floor(h) AS k
+              FROM (SELECT CAST({col} AS DOUBLE) AS x, row_number() OVER (ORDER BY {col}) - 1 AS i,
+                           COUNT(*) OVER () AS n,
+                           CAST(COUNT(*) OVER () - 1 AS DOUBLE) * CAST({p!r} AS DOUBLE) AS h
+                    FROM {src} WHERE {col} IS NOT NULL) z) y) w)"""
+
+
+_BASE = """
+ref AS (SELECT MAX(date) AS ref_date FROM sales),
+b AS (SELECT customer_id, SUM(revenue) AS revenue_sum, COUNT(*) AS lines,
+             COUNT(DISTINCT order_id) AS orders, MIN(date) AS first_date, MAX(date) AS last_date
+      FROM sales WHERE customer_id IS NOT NULL GROUP BY 1)"""
+
+_FEATURES = _BASE + """,
+feat AS (SELECT customer_id, CAST(revenue_sum AS DOUBLE) AS total_revenue,
+                CAST(revenue_sum AS DOUBLE) / lines AS avg_order_value,
+                CAST(orders AS BIGINT) AS total_orders,
+                date_sub('day', last_date, ref_date) AS days_since_last_order,
+                GREATEST(date_sub('day', first_date, ref_date), 1) AS customer_age_days,
+                round_even(orders / GREATEST(date_sub('day', first_date, ref_date), 1) * 30, 4)
+                  AS order_frequency
+         FROM b, ref)"""
+
+_RISK = """CASE WHEN churn_probability >= 0.75 THEN 'High Risk'
+     WHEN churn_probability >= 0.45 THEN 'Medium Risk'
+     WHEN churn_probability >= 0.2 THEN 'Low Risk' ELSE 'Safe' END"""
+
+_CHURN_RULE = _FEATURES + f""",
+mx AS (SELECT MAX(days_since_last_order) AS m FROM feat),
+cr0 AS (SELECT feat.*, CAST(days_since_last_order >= 90 AS INT) AS churned,
+               round_even(CAST(days_since_last_order AS DOUBLE) / NULLIF(CAST(m AS DOUBLE), 0), 3)
+                 AS churn_probability FROM feat, mx),
+cr AS (SELECT *, {_RISK} AS risk_level FROM cr0)"""
+
+_COHORT = f"""
+cm AS (SELECT DISTINCT customer_id, {MONTH} AS month FROM sales
+       WHERE customer_id IS NOT NULL AND date IS NOT NULL),
+cf AS (SELECT customer_id, month, MIN(month) OVER (PARTITION BY customer_id) AS cohort_month FROM cm),
+cc AS (SELECT cohort_month,
+              CAST((year(month) * 12 + month(month)) - (year(cohort_month) * 12 + month(cohort_month)) AS INT)
+                AS period, COUNT(*) AS customers FROM cf GROUP BY 1, 2),
+cr AS (SELECT cohort_month, period, customers,
+              MAX(CASE WHEN period = 0 THEN customers END) OVER (PARTITION BY cohort_month) AS cohort_size
+       FROM cc),
+crp AS (SELECT *, customers / cohort_size * 100.0::DOUBLE AS retention_pct FROM cr),
+disp AS (SELECT cohort_month, period, retention_pct FROM (
+           SELECT *, dense_rank() OVER (ORDER BY cohort_month DESC) AS c_r,
+                     dense_rank() OVER (ORDER BY period) AS p_r FROM crp) z
+         WHERE c_r <= 18 AND p_r <= 18)"""
+
+_LTV = _BASE + """,
+l0 AS (SELECT customer_id, CAST(revenue_sum AS DOUBLE) AS historical_ltv,
+              CAST(revenue_sum AS DOUBLE) / lines AS avg_order_value,
+              CAST(lines AS BIGINT) AS total_transactions, CAST(orders AS BIGINT) AS total_orders,
+              GREATEST(date_sub('day', first_date, ref_date), 1) AS customer_age_days,
+              date_sub('day', last_date, ref_date) AS recency_days FROM b, ref),
+l1 AS (SELECT *, customer_age_days / 30.44::DOUBLE AS customer_age_months FROM l0),
+l2 AS (SELECT *, total_orders / GREATEST(customer_age_months, 1.0::DOUBLE) AS order_rate,
+              LEAST(GREATEST(recency_days / 90.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) AS churn_probability
+       FROM l1),
+l3 AS (SELECT *, 12.0::DOUBLE * (1.0::DOUBLE - churn_probability) AS expected_active_months FROM l2),
+l4 AS (SELECT *, GREATEST(avg_order_value * order_rate * expected_active_months, 0.0::DOUBLE)
+                   AS predicted_future_ltv FROM l3),
+l5 AS (SELECT *, historical_ltv + predicted_future_ltv AS total_ltv,
+              predicted_future_ltv AS untapped_value FROM l4),
+ltv AS (SELECT *, CASE WHEN total_ltv >= P90 THEN 'Platinum' WHEN total_ltv >= P70 THEN 'Gold'
+                       WHEN total_ltv >= P40 THEN 'Silver' ELSE 'Bronze' END AS ltv_segment FROM l5)"""
+_LTV = (_LTV.replace("P90", quantile_sql("l5", "total_ltv", 0.9))
+            .replace("P70", quantile_sql("l5", "total_ltv", 0.7))
+            .replace("P40", quantile_sql("l5", "total_ltv", 0.4)))
+
+
 def oracles() -> dict[str, str]:
+    from tillroll.plans.catalog import STABLE
+    o = _oracles()
+    for name, cols in STABLE.items():
+        if name in o:
+            repl = ", ".join(f"CAST(printf('%.11e', {c}) AS DOUBLE) AS {c}" for c in cols)
+            o[name] = f"SELECT * REPLACE ({repl}) FROM ({o[name]}) q"
+    return o
+
+
+def _oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["monthly_growth"] = _with(f"""
 m AS ({_MONTHLY})
@@ -140,4 +228,89 @@ SELECT top5_pct, top10_pct, top20_pct, top100_pct,
        CASE WHEN top10_pct > 50 THEN 'HIGH' WHEN top10_pct > 30 THEN 'MODERATE' ELSE 'HEALTHY' END AS level,
        top5_pct > 50 AS top5_alert
 FROM p""")
+
+    o["rfm"] = _with(_BASE + """
+SELECT customer_id, date_sub('day', last_date, ref_date + INTERVAL 1 DAY) AS recency,
+       CAST(orders AS BIGINT) AS frequency, CAST(revenue_sum AS DOUBLE) AS monetary FROM b, ref""")
+    o["rfm_purchases"] = _with(o["rfm"].split("WITH sales AS (", 1)[1].split(SALES_SQL + ")", 1)[1].lstrip(", "),
+                               PURCHASES_SQL)
+    o["rfm_averages"] = _with(_BASE + """,
+r AS (SELECT date_sub('day', last_date, ref_date + INTERVAL 1 DAY) AS recency,
+             CAST(orders AS BIGINT) AS frequency, CAST(revenue_sum AS DOUBLE) AS monetary FROM b, ref)
+SELECT AVG(recency) AS avg_recency, AVG(frequency) AS avg_frequency, AVG(monetary) AS avg_monetary,
+       COUNT(*) AS customers FROM r""")
+    o["customer_features"] = _with(_FEATURES + " SELECT * FROM feat")
+    o["customer_features_purchases"] = _with(_FEATURES + " SELECT * FROM feat", PURCHASES_SQL)
+    o["churn_rule"] = _with(_CHURN_RULE + " SELECT * FROM cr")
+    o["risk_distribution"] = _with(_CHURN_RULE + " SELECT risk_level, COUNT(*) AS customers FROM cr GROUP BY 1")
+    o["top_high_risk"] = _with(_CHURN_RULE + """
+SELECT customer_id, churn_probability, days_since_last_order, total_orders, avg_order_value FROM cr
+WHERE risk_level = 'High Risk' ORDER BY churn_probability DESC, customer_id LIMIT 10""")
+    o["churn_histogram"] = _with(_CHURN_RULE + """,
+h AS (SELECT CAST(LEAST(floor(churn_probability * 20), 19) AS INT) AS bin, COUNT(*) AS customers
+      FROM cr WHERE churn_probability IS NOT NULL GROUP BY 1)
+SELECT bin, bin / 20.0::DOUBLE AS bin_start, (bin + 1) / 20.0::DOUBLE AS bin_end, customers FROM h""")
+    o["churn_insights"] = _with(_CHURN_RULE + f""",
+s AS (SELECT COUNT(*) AS customers, COUNT(*) FILTER (WHERE churn_probability >= 0.75) AS high_risk,
+             COUNT(*) FILTER (WHERE churn_probability >= 0.45 AND churn_probability < 0.75) AS medium_risk,
+             COUNT(*) FILTER (WHERE churn_probability >= 0.75
+                              AND avg_order_value > {quantile_sql('cr', 'avg_order_value', 0.5)})
+               AS high_value_high_risk,
+             ANY_VALUE({quantile_sql('cr', 'avg_order_value', 0.5)}) AS median_aov FROM cr)
+SELECT customers, high_risk, high_risk / customers * 100 AS high_risk_pct, medium_risk,
+       medium_risk / customers * 100 AS medium_risk_pct, high_value_high_risk, median_aov FROM s""")
+    o["cohort_counts"] = _with(_COHORT + " SELECT cohort_month, period, customers FROM cc")
+    o["cohort_retention"] = _with(_COHORT + " SELECT * FROM crp")
+    o["cohort_display"] = _with(_COHORT + " SELECT * FROM disp")
+    o["retention_curve"] = _with(_COHORT + """
+SELECT period, AVG(retention_pct) AS retention_pct, COUNT(*) AS cohorts FROM disp GROUP BY 1""")
+    o["cohort_sizes"] = _with(_COHORT + """
+SELECT cohort_month, customers AS new_customers FROM cc WHERE period = 0
+ORDER BY cohort_month DESC LIMIT 18""")
+    o["cohort_summary"] = _with(_COHORT + """,
+sz AS (SELECT CAST(trunc(AVG(customers)) AS BIGINT) AS avg_cohort_size,
+              arg_max(cohort_month, customers * 100000 - epoch(cohort_month) / 86400)
+                AS best_acquisition_month
+       FROM cc WHERE period = 0),
+m1 AS (SELECT cohort_month, retention_pct FROM disp WHERE period = 1),
+rt AS (SELECT (SELECT AVG(retention_pct) FROM disp WHERE period = 1) AS m1_retention,
+              (SELECT AVG(retention_pct) FROM disp WHERE period = 3) AS m3_retention,
+              (SELECT AVG(retention_pct) FROM disp WHERE period = 6) AS m6_retention,
+              (SELECT cohort_month FROM m1 ORDER BY retention_pct DESC, cohort_month LIMIT 1) AS best_m1_cohort,
+              (SELECT MAX(retention_pct) FROM m1) AS best_m1_retention,
+              (SELECT cohort_month FROM m1 ORDER BY retention_pct ASC, cohort_month LIMIT 1) AS worst_m1_cohort,
+              (SELECT MIN(retention_pct) FROM m1) AS worst_m1_retention)
+SELECT sz.*, rt.*, CASE WHEN m1_retention IS NULL THEN NULL WHEN m1_retention >= 30 THEN 'strong'
+                        WHEN m1_retention >= 15 THEN 'moderate' ELSE 'low' END AS m1_level
+FROM sz, rt""")
+    o["customer_ltv"] = _with(_LTV + " SELECT * EXCLUDE (customer_id), customer_id FROM ltv")
+    o["ltv_overview"] = _with(_LTV + f"""
+SELECT AVG(total_ltv) AS avg_ltv, SUM(predicted_future_ltv) AS total_predicted,
+       AVG(untapped_value) AS avg_untapped, {quantile_sql('ltv', 'total_ltv', 0.5)} AS median_ltv,
+       {quantile_sql('ltv', 'total_ltv', 0.9)} AS p90_ltv FROM ltv""")
+    o["ltv_histogram"] = _with(_LTV + """,
+mm AS (SELECT MIN(total_ltv) AS lo, MAX(total_ltv) AS hi FROM ltv),
+h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE LEAST(floor((total_ltv - lo) / (hi - lo) * 50.0::DOUBLE), 49) END AS INT)
+               AS bin, lo, hi, COUNT(*) AS customers FROM ltv, mm GROUP BY 1, 2, 3)
+SELECT bin, lo + bin * ((hi - lo) / 50.0::DOUBLE) AS bin_start,
+       lo + (bin + 1) * ((hi - lo) / 50.0::DOUBLE) AS bin_end, customers FROM h""")
+    o["ltv_segment_breakdown"] = _with(_LTV + """,
+g AS (SELECT ltv_segment AS segment, COUNT(*) AS customers, SUM(total_ltv) AS total_ltv FROM ltv GROUP BY 1)
+SELECT segment, customers, total_ltv, round_even(total_ltv / (SELECT SUM(total_ltv) FROM g) * 100, 1) AS pct_of_ltv
+FROM g""")
+    o["ltv_segment_table"] = _with(_LTV + """
+SELECT ltv_segment AS segment, COUNT(*) AS customers, AVG(historical_ltv) AS avg_historical_ltv,
+       AVG(predicted_future_ltv) AS avg_predicted_ltv, AVG(total_ltv) AS avg_total_ltv,
+       AVG(total_orders) AS avg_orders, AVG(avg_order_value) AS avg_aov, AVG(recency_days) AS avg_recency
+FROM ltv GROUP BY 1""")
+    o["top_ltv_customers"] = _with(_LTV + """
+SELECT customer_id, ltv_segment, historical_ltv, predicted_future_ltv, total_ltv, total_orders,
+       avg_order_value, recency_days FROM ltv ORDER BY total_ltv DESC, customer_id LIMIT 20""")
+    o["ltv_insights"] = _with(_LTV + """
+SELECT AVG(CAST(ltv_segment = 'Platinum' AS DOUBLE)) * 100 AS platinum_pct,
+       SUM(CASE WHEN ltv_segment = 'Platinum' THEN total_ltv END) / SUM(total_ltv) * 100 AS platinum_ltv_pct,
+       AVG(total_ltv) AS avg_ltv, AVG(avg_order_value) AS avg_aov,
+       SUM(predicted_future_ltv) AS predicted_total,
+       COUNT(*) FILTER (WHERE churn_probability > 0.7 AND ltv_segment IN ('Platinum', 'Gold'))
+         AS high_value_at_risk FROM ltv""")
     return o
