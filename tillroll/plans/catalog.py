@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import churn, cohort, customers, kpi, ltv, products, timeseries
+from tillroll.operators import (basket, churn, cohort, customers, kpi, ltv, performance, products,
+                                timeseries)
 from tillroll.functions import sig_round
 from tillroll.sources import fixtures
 
@@ -36,8 +37,11 @@ STABLE: dict[str, list[str]] = {
     "ltv_segment_table": ["avg_historical_ltv", "avg_predicted_ltv", "avg_total_ltv", "avg_orders",
                           "avg_aov", "avg_recency"],
     "ltv_insights": ["platinum_pct", "platinum_ltv_pct", "avg_ltv", "avg_aov", "predicted_total"],
+    "performance_class_revenue": ["total_revenue"],
 }
 
+MIN_SUPPORT = 0.005   # the page's default support threshold
+
 
 def _stable(q: Query, cols: list[str]) -> Query:
     return lambda spark, sf_dir: q(spark, sf_dir).withColumns({c: sig_round(c) for c in cols})
@@ -98,5 +102,22 @@ def _registry() -> dict[str, Query]:
         "ltv_segment_table": _on_sales(lambda s: ltv.ltv_segment_table(ltv.customer_ltv(s))),
         "top_ltv_customers": _on_sales(lambda s: ltv.top_ltv_customers(ltv.customer_ltv(s))),
         "ltv_insights": _on_sales(lambda s: ltv.ltv_insights(ltv.customer_ltv(s))),
+        # market basket
+        "basket_items": _on_sales(basket.basket_items),
+        "product_associations": _on_sales(basket.product_associations, min_support=MIN_SUPPORT),
+        "product_associations_low_support": _on_sales(basket.product_associations,
+                                                      min_support=0.001),
+        "product_recommendations": _on_sales(lambda s: basket.recommendations(
+            basket.product_associations(s, min_support=MIN_SUPPORT))),
+        "rule_products": _on_sales(lambda s: basket.rule_products(
+            basket.product_associations(s, min_support=MIN_SUPPORT))),
+        # product performance
+        "product_performance": _on_sales(performance.product_performance),
+        "performance_class_revenue": _on_sales(lambda s: performance.performance_class_revenue(
+            performance.product_performance(s))),
+        "top_products_by_score": _on_sales(lambda s: performance.top_products_by_score(
+            performance.product_performance(s), None, 20)),
+        "top_average_products": _on_sales(lambda s: performance.top_products_by_score(
+            performance.product_performance(s), "Average", 50)),
     }
     return q

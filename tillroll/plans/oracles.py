@@ -142,6 +142,60 @@ _LTV = (_LTV.replace("P90", quantile_sql("l5", "total_ltv", 0.9))
             .replace("P40", quantile_sql("l5", "total_ltv", 0.4)))
 
 
+def _rules(min_support: float) -> str:
+    return f"""
+top AS (SELECT product, COUNT(*) AS lines FROM sales WHERE product IS NOT NULL
+        GROUP BY 1 ORDER BY lines DESC, product LIMIT 50),
+cells AS (SELECT order_id, product, SUM(revenue) AS rev FROM sales
+          WHERE order_id IS NOT NULL AND product IN (SELECT product FROM top) GROUP BY 1, 2),
+tot AS (SELECT COUNT(DISTINCT order_id) AS n FROM cells),
+ib AS (SELECT order_id, product FROM cells WHERE rev > 0),
+ic AS (SELECT product, COUNT(*) AS c FROM ib GROUP BY 1),
+pr AS (SELECT x.product AS product_a, y.product AS product_b, COUNT(*) AS both_n
+       FROM ib x JOIN ib y ON x.order_id = y.order_id AND x.product < y.product GROUP BY 1, 2),
+r1 AS (SELECT product_a, product_b, both_n / n AS s FROM pr, tot),
+r2 AS (SELECT r1.*, s / (ca.c / n) AS conf FROM r1 JOIN ic ca ON ca.product = r1.product_a, tot),
+r3 AS (SELECT r2.*, conf / (cb.c / n) AS lft FROM r2 JOIN ic cb ON cb.product = r2.product_b, tot),
+rules AS (SELECT product_a, product_b, round_even(s, 4) AS support, round_even(conf, 4) AS confidence,
+                 round_even(lft, 3) AS lift FROM r3
+          WHERE s >= CAST({min_support!r} AS DOUBLE) AND lft > 1.1::DOUBLE
+          ORDER BY lift DESC, product_a, product_b LIMIT 30)"""
+
+
+_PERF = """
+mx AS (SELECT MAX(date) AS m FROM sales),
+g AS (SELECT product, SUM(revenue) AS rev, COUNT(*) AS order_count,
+             SUM(CASE WHEN date >= m - INTERVAL 30 DAY THEN revenue END) AS recent,
+             COUNT(CASE WHEN date >= m - INTERVAL 30 DAY THEN 1 END) AS n_recent,
+             SUM(CASE WHEN date >= m - INTERVAL 60 DAY AND date < m - INTERVAL 30 DAY THEN revenue END)
+               AS previous,
+             COUNT(CASE WHEN date >= m - INTERVAL 60 DAY AND date < m - INTERVAL 30 DAY THEN 1 END)
+               AS n_previous
+      FROM sales, mx WHERE product IS NOT NULL GROUP BY 1),
+st AS (SELECT product, CAST(rev AS DOUBLE) AS total_revenue, order_count,
+              CAST(rev AS DOUBLE) / order_count AS avg_price,
+              round_even(CASE WHEN n_recent > 0 AND n_previous > 0 AND previous <> 0
+                              THEN (CAST(recent AS DOUBLE) - CAST(previous AS DOUBLE))
+                                   / CAST(previous AS DOUBLE) * 100
+                              ELSE 0.0 END, 1) AS trend_pct FROM g),
+mm AS (SELECT MIN(total_revenue) AS lr, MAX(total_revenue) AS hr, MIN(order_count) AS lo,
+              MAX(order_count) AS ho, MIN(trend_pct) AS lt, MAX(trend_pct) AS ht FROM st),
+sc AS (SELECT st.*,
+         CASE WHEN hr = lr THEN 50.0 ELSE round_even((total_revenue - lr) / (hr - lr) * 100, 1) END AS revenue_score,
+         CASE WHEN ho = lo THEN 50.0 ELSE round_even((order_count - lo) / (ho - lo) * 100, 1) END AS frequency_score,
+         CASE WHEN ht = lt THEN 50.0 ELSE round_even((trend_pct - lt) / (ht - lt) * 100, 1) END AS trend_score
+       FROM st, mm),
+cs AS (SELECT *, round_even(revenue_score * 0.5::DOUBLE + frequency_score * 0.3::DOUBLE
+                            + trend_score * 0.2::DOUBLE, 1) AS composite_score FROM sc),
+perf AS (SELECT product, total_revenue, order_count, avg_price, trend_pct, revenue_score, frequency_score,
+                trend_score, composite_score,
+                CASE WHEN composite_score >= 70 AND trend_pct > 0 THEN 'Star'
+                     WHEN composite_score >= 70 THEN 'Steady Performer'
+                     WHEN composite_score >= 40 THEN 'Average'
+                     WHEN trend_pct < -20 THEN 'Declining' ELSE 'Underperformer' END AS performance_class
+         FROM cs)"""
+
+
 def oracles() -> dict[str, str]:
     from tillroll.plans.catalog import STABLE
     o = _oracles()
@@ -313,4 +367,26 @@ SELECT AVG(CAST(ltv_segment = 'Platinum' AS DOUBLE)) * 100 AS platinum_pct,
        SUM(predicted_future_ltv) AS predicted_total,
        COUNT(*) FILTER (WHERE churn_probability > 0.7 AND ltv_segment IN ('Platinum', 'Gold'))
          AS high_value_at_risk FROM ltv""")
+    o["basket_items"] = _with("""
+top AS (SELECT product, COUNT(*) AS lines FROM sales WHERE product IS NOT NULL
+        GROUP BY 1 ORDER BY lines DESC, product LIMIT 50)
+SELECT order_id, product, SUM(revenue) > 0 AS in_basket FROM sales
+WHERE order_id IS NOT NULL AND product IN (SELECT product FROM top) GROUP BY 1, 2""")
+    o["product_associations"] = _with(_rules(0.005) + " SELECT * FROM rules")
+    o["product_associations_low_support"] = _with(_rules(0.001) + " SELECT * FROM rules")
+    o["product_recommendations"] = _with(_rules(0.005) + """,
+bo AS (SELECT product_a AS product, product_b AS recommended, lift, confidence FROM rules
+       UNION ALL SELECT product_b, product_a, lift, confidence FROM rules)
+SELECT product, recommended, lift, confidence, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY product ORDER BY lift DESC, recommended) AS rank FROM bo) z
+WHERE rank <= 5""")
+    o["rule_products"] = _with(_rules(0.005) + """
+SELECT product_a AS product FROM rules UNION SELECT product_b FROM rules""")
+    o["product_performance"] = _with(_PERF + " SELECT * FROM perf")
+    o["performance_class_revenue"] = _with(_PERF + """
+SELECT performance_class, SUM(total_revenue) AS total_revenue, COUNT(*) AS products FROM perf GROUP BY 1""")
+    o["top_products_by_score"] = _with(_PERF + """
+SELECT * FROM perf ORDER BY composite_score DESC, product LIMIT 20""")
+    o["top_average_products"] = _with(_PERF + """
+SELECT * FROM perf WHERE performance_class = 'Average' ORDER BY composite_score DESC, product LIMIT 50""")
     return o
