@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import (basket, churn, cohort, customers, kpi, ltv, performance, products,
-                                timeseries)
+from tillroll.operators import (basket, churn, cohort, customers, forecast, kpi, ltv, performance,
+                                products, timeseries)
 from tillroll.functions import sig_round
 from tillroll.sources import fixtures
 
@@ -38,6 +38,8 @@ STABLE: dict[str, list[str]] = {
                           "avg_aov", "avg_recency"],
     "ltv_insights": ["platinum_pct", "platinum_ltv_pct", "avg_ltv", "avg_aov", "predicted_total"],
     "performance_class_revenue": ["total_revenue"],
+    "forecast_summary": ["total_predicted", "avg_predicted"],
+    "forecast_insights": ["recent_avg", "forecast_avg", "change_pct", "total_projected"],
 }
 
 MIN_SUPPORT = 0.005   # the page's default support threshold
@@ -119,5 +121,17 @@ def _registry() -> dict[str, Query]:
             performance.product_performance(s), None, 20)),
         "top_average_products": _on_sales(lambda s: performance.top_products_by_score(
             performance.product_performance(s), "Average", 50)),
+        # forecasting
+        "forecast_revenue": _on_sales(forecast.forecast_revenue),
+        "forecast_revenue_parity": _on_sales(forecast.forecast_revenue, parity=True),
+        "forecast_fit_quality": _on_sales(forecast.forecast_fit_quality),
+        "forecast_by_category": _on_sales(forecast.forecast_by_category),
+        "forecast_fit_by_category": _on_sales(forecast.forecast_fit_quality, key="category",
+                                              min_lines=forecast.MIN_DAYS),
+        "moving_average_forecast": _on_sales(forecast.moving_average_forecast),
+        "moving_average_forecast_purchases": _on_purchases(forecast.moving_average_forecast),
+        "forecast_summary": _on_sales(lambda s: forecast.forecast_summary(
+            forecast.forecast_revenue(s))),
+        "forecast_insights": _on_sales(forecast.forecast_insights),
     }
     return q

@@ -196,6 +196,80 @@ perf AS (SELECT product, total_revenue, order_count, avg_price, trend_pct, reven
          FROM cs)"""
 
 
+def _fit(key: str, min_lines: int) -> str:
+    return f"""
+base AS (SELECT {key} AS g, date, revenue FROM sales WHERE date IS NOT NULL AND {key} IS NOT NULL),
+dly AS (SELECT g, CAST(date AS DATE) AS d, CAST(SUM(revenue) AS DOUBLE) AS y FROM base
+        GROUP BY 1, 2 HAVING SUM(revenue) > 0),
+wky AS (SELECT g, {WEEK} + 6 AS d, CAST(SUM(revenue) AS DOUBLE) AS y FROM base
+        GROUP BY 1, 2 HAVING SUM(revenue) > 0),
+dst AS (SELECT g, COUNT(*) AS n_days, MIN(d) AS d_min, MAX(d) AS d_max FROM dly GROUP BY 1),
+wst AS (SELECT g, COUNT(*) AS n_weeks FROM wky GROUP BY 1),
+lns AS (SELECT g, COUNT(*) AS n_lines FROM base GROUP BY 1),
+ch AS (SELECT dst.*, COALESCE(n_weeks, 0) >= 8 AS weekly FROM dst LEFT JOIN wst USING (g)
+       JOIN lns USING (g) WHERE n_days >= 14 AND n_lines >= {min_lines}),
+pts AS (SELECT g, d - DATE '1970-01-01' AS x, y FROM dly JOIN ch USING (g) WHERE NOT weekly
+        UNION ALL SELECT g, d - DATE '1970-01-01' AS x, y FROM wky JOIN ch USING (g) WHERE weekly),
+s1 AS (SELECT g, COUNT(*) AS n, MIN(x) AS x0, AVG(x) AS mu, (MAX(x) - MIN(x)) / 2.0::DOUBLE AS sc,
+              AVG(y) AS ybar FROM pts GROUP BY 1),
+pu AS (SELECT g, y, (x - mu) / sc AS u, ybar FROM pts JOIN s1 USING (g)),
+s2 AS (SELECT g, SUM(u) AS S1, SUM(u * u) AS S2, SUM(u * u * u) AS S3, SUM(u * u * u * u) AS S4,
+              SUM(y) AS T0, SUM(u * y) AS T1, SUM(u * u * y) AS T2,
+              SUM((y - ybar) * (y - ybar)) AS SST FROM pu GROUP BY 1),
+m AS (SELECT s1.g, n, x0, mu, sc, SST, CAST(n AS DOUBLE) AS S0, S1, S2, S3, S4, T0, T1, T2
+      FROM s1 JOIN s2 USING (g)),
+cf AS (SELECT g, n, x0, mu, sc, SST,
+         (T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2)) / det AS a,
+         (S0 * (T1 * S4 - S3 * T2) - T0 * (S1 * S4 - S3 * S2) + S2 * (S1 * T2 - T1 * S2)) / det AS b,
+         (S0 * (S2 * T2 - T1 * S3) - S1 * (S1 * T2 - T1 * S2) + T0 * (S1 * S3 - S2 * S2)) / det AS c
+       FROM (SELECT *, S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2) AS det
+             FROM m) z),
+s3 AS (SELECT g, SUM(r * r) AS SSE, stddev_pop(r) AS resid_std
+       FROM (SELECT pu.g, y - (a + b * u + c * u * u) AS r FROM pu JOIN cf USING (g)) z GROUP BY 1),
+fit AS (SELECT ch.g, weekly, d_min, d_max, n, x0, mu, sc, a, b, c, resid_std, 1.0 - SSE / SST AS r2
+        FROM ch JOIN cf USING (g) JOIN s3 USING (g))"""
+
+
+def _forecast(key: str, min_lines: int, parity: bool) -> str:
+    if parity:
+        x = "CAST((d_max - d_min) + i + x0 AS DOUBLE)"
+        scale = "1.0::DOUBLE"
+    else:
+        x = "CAST((d_max + CAST(i AS INT)) - DATE '1970-01-01' AS DOUBLE)"
+        scale = "CASE WHEN weekly THEN 7.0::DOUBLE ELSE 1.0::DOUBLE END"
+    return _fit(key, min_lines) + f""",
+fp AS (SELECT g, d_max + CAST(i AS INT) AS date,
+              GREATEST((a + b * ((({x}) - mu) / sc) + c * ((({x}) - mu) / sc) * ((({x}) - mu) / sc)) / {scale},
+                       0.0::DOUBLE) AS p,
+              resid_std / {scale} AS sd
+       FROM fit, range(1, 31) t(i)),
+fc AS (SELECT g, date, round_even(p, 2) AS predicted, round_even(p + 1.5::DOUBLE * sd, 2) AS upper_bound,
+              round_even(GREATEST(p - 1.5::DOUBLE * sd, 0.0::DOUBLE), 2) AS lower_bound FROM fp)"""
+
+
+_FIT_LABELS = """round_even(r2, 3) AS model_score,
+  CASE WHEN r2 > 0.8 THEN 'Excellent' WHEN r2 > 0.5 THEN 'Good' ELSE 'Moderate' END AS fit_label,
+  CASE WHEN r2 >= 0.7 THEN 'good' WHEN r2 >= 0.4 THEN 'moderate' ELSE 'low' END AS reliability,
+  CASE WHEN weekly THEN 'W' ELSE 'D' END AS fit_freq, CAST(n AS BIGINT) AS fit_points"""
+
+_RECENT_DAILY = """
+dd AS (SELECT CAST(date AS DATE) AS date, SUM(revenue) AS rev FROM sales WHERE date IS NOT NULL
+       GROUP BY 1 HAVING SUM(revenue) > 0),
+rr AS (SELECT date, rev, row_number() OVER (ORDER BY date DESC) AS rn,
+              row_number() OVER (ORDER BY date) AS rn_asc FROM dd)"""
+
+_MOVING_AVG = _RECENT_DAILY + """,
+st AS (SELECT COUNT(*) AS n, MAX(date) AS last,
+              CAST(SUM(CASE WHEN rn <= 7 THEN rev END) AS DOUBLE) / 7 AS recent,
+              CAST(SUM(CASE WHEN rn BETWEEN 8 AND 14 THEN rev END) AS DOUBLE) / 7 AS older_full,
+              CAST(SUM(CASE WHEN rn_asc <= 7 THEN rev END) AS DOUBLE) / 7 AS older_head FROM rr),
+st2 AS (SELECT *, CASE WHEN n >= 14 THEN older_full ELSE older_head END AS older FROM st WHERE n >= 7),
+st3 AS (SELECT *, CASE WHEN older > 0 THEN (recent - older) / (7.0::DOUBLE * older) ELSE 0.0 END AS g
+        FROM st2)
+SELECT last + CAST(i AS INT) AS date, GREATEST(recent * (1.0::DOUBLE + g * i), 0.0::DOUBLE) AS predicted_revenue
+FROM st3, range(1, 31) t(i)"""
+
+
 def oracles() -> dict[str, str]:
     from tillroll.plans.catalog import STABLE
     o = _oracles()
@@ -389,4 +463,23 @@ SELECT performance_class, SUM(total_revenue) AS total_revenue, COUNT(*) AS produ
 SELECT * FROM perf ORDER BY composite_score DESC, product LIMIT 20""")
     o["top_average_products"] = _with(_PERF + """
 SELECT * FROM perf WHERE performance_class = 'Average' ORDER BY composite_score DESC, product LIMIT 50""")
+    o["forecast_revenue"] = _with(_forecast("0", 0, False) + " SELECT date, predicted, upper_bound, lower_bound FROM fc")
+    o["forecast_revenue_parity"] = _with(_forecast("0", 0, True) + " SELECT date, predicted, upper_bound, lower_bound FROM fc")
+    o["forecast_fit_quality"] = _with(_fit("0", 0) + f" SELECT {_FIT_LABELS} FROM fit")
+    o["forecast_by_category"] = _with(_forecast("category", 14, False) + """
+SELECT g AS category, date, predicted, upper_bound, lower_bound FROM fc""")
+    o["forecast_fit_by_category"] = _with(_fit("category", 14) + f" SELECT g AS category, {_FIT_LABELS} FROM fit")
+    o["moving_average_forecast"] = _with(_MOVING_AVG)
+    o["moving_average_forecast_purchases"] = _with(_MOVING_AVG, PURCHASES_SQL)
+    o["forecast_summary"] = _with(_forecast("0", 0, False) + """
+SELECT SUM(predicted) AS total_predicted, AVG(predicted) AS avg_predicted, MAX(predicted) AS max_predicted FROM fc""")
+    o["forecast_insights"] = _with(_forecast("0", 0, False) + "," + _RECENT_DAILY + """,
+fs AS (SELECT AVG(predicted) AS forecast_avg, SUM(predicted) AS total_projected, COUNT(*) AS n FROM fc),
+rc AS (SELECT CAST(SUM(CASE WHEN rn <= 7 THEN rev END) AS DOUBLE) / LEAST(COUNT(*), 7) AS recent_avg FROM rr)
+SELECT recent_avg, forecast_avg,
+       CASE WHEN forecast_avg > recent_avg * 1.1 THEN 'grow' WHEN forecast_avg < recent_avg * 0.9 THEN 'decline'
+            ELSE 'stable' END AS direction,
+       CASE WHEN forecast_avg > recent_avg * 1.1 THEN (forecast_avg - recent_avg) / recent_avg * 100
+            WHEN forecast_avg < recent_avg * 0.9 THEN (recent_avg - forecast_avg) / recent_avg * 100 END AS change_pct,
+       total_projected FROM fs, rc WHERE n > 0""")
     return o
