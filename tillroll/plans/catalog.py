@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.operators import (basket, churn, cohort, customers, forecast, kpi, ltv, performance,
-                                products, timeseries)
+from tillroll.operators import (basket, churn, clean, cohort, currency, customers, forecast,
+                                insights, kpi, ltv, performance, products, segments, timeseries)
 from tillroll.functions import sig_round
-from tillroll.sources import fixtures
+from tillroll.sources import derived, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,18 +41,39 @@ STABLE: dict[str, list[str]] = {
     "performance_class_revenue": ["total_revenue"],
     "forecast_summary": ["total_predicted", "avg_predicted"],
     "forecast_insights": ["recent_avg", "forecast_avg", "change_pct", "total_projected"],
+    "sales_observations": ["value"],
 }
 
 MIN_SUPPORT = 0.005   # the page's default support threshold
 
 
-def _stable(q: Query, cols: list[str]) -> Query:
-    return lambda spark, sf_dir: q(spark, sf_dir).withColumns({c: sig_round(c) for c in cols})
+# Sums over many parsed doubles: fewer significant digits are reproducible.
+DIGITS: dict[str, int] = {}
+
+
+def _stable(q: Query, cols: list[str], digits: int) -> Query:
+    return lambda spark, sf_dir: q(spark, sf_dir).withColumns(
+        {c: sig_round(c, digits) for c in cols})
+
+
+def _clean_amounts(spark: SparkSession, sf_dir: str, parity: bool) -> DataFrame:
+    texts = derived.amount_texts(spark, sf_dir)
+    return clean.clean_revenue(texts.withColumn("revenue", texts.amount_text), parity=parity)
+
+
+def _sales_from_text_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillroll.plans.ingest import standardize
+
+    mapped, _ = standardize(derived.sales_as_text(spark, sf_dir), file_id="sales_text")
+    # the text carries 4 decimals: hold the parsed amounts exactly before summing
+    cleaned = clean.clean_sales(mapped).withColumn("revenue", F.col("revenue").cast("decimal(18,4)"))
+    return timeseries.monthly_revenue(cleaned)
 
 
 def registry() -> dict[str, Query]:
     q = _registry()
-    return {k: (_stable(v, STABLE[k]) if k in STABLE else v) for k, v in q.items()}
+    return {k: (_stable(v, STABLE[k], DIGITS.get(k, 12)) if k in STABLE else v)
+            for k, v in q.items()}
 
 
 def _registry() -> dict[str, Query]:
@@ -133,5 +155,21 @@ def _registry() -> dict[str, Query]:
         "forecast_summary": _on_sales(lambda s: forecast.forecast_summary(
             forecast.forecast_revenue(s))),
         "forecast_insights": _on_sales(forecast.forecast_insights),
+        # insight rules
+        "kpi_insights": _on_sales(insights.kpi_insights),
+        "health_score": _on_sales(insights.health_score),
+        "risk_alerts": _on_sales(insights.risk_alerts),
+        "recommendations": _on_sales(insights.recommendations),
+        "sales_observations": _on_sales(insights.sales_observations),
+        # ingest rules over text derived from the tables
+        "clean_amount_strings": lambda spark, d: _clean_amounts(spark, d, parity=False),
+        "clean_amount_strings_parity": lambda spark, d: _clean_amounts(spark, d, parity=True),
+        "region_currency": _on_sales(currency.currency_from_region),
+        "sales_from_text_monthly": _sales_from_text_monthly,
+        # models (no SQL oracle: row checks and invariants in tests)
+        "kmeans_segments": _on_sales(segments.kmeans_segments),
+        "segment_summary": _on_sales(lambda s: segments.segment_summary(
+            segments.kmeans_segments(s))),
+        "churn_model_scores": _on_sales(churn.churn_model_scores),
     }
     return q

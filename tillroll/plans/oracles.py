@@ -6,6 +6,7 @@ pre-registered tables; the fixture views are shared CTEs.
 
 from __future__ import annotations
 
+from tillroll.functions.numeric import AMOUNT_PATTERN
 from tillroll.sources.fixtures import PURCHASES_SQL, SALES_SQL
 
 
@@ -270,12 +271,69 @@ SELECT last + CAST(i AS INT) AS date, GREATEST(recent * (1.0::DOUBLE + g * i), 0
 FROM st3, range(1, 31) t(i)"""
 
 
+_KPI_BLOCK = f"""
+t AS (SELECT COALESCE(CAST(SUM(revenue) AS DOUBLE), 0.0) AS total_revenue,
+             CAST(COUNT(DISTINCT order_id) AS BIGINT) AS total_orders,
+             CAST(COUNT(DISTINCT customer_id) AS BIGINT) AS total_customers FROM sales),
+m AS (SELECT {MONTH} AS month, SUM(revenue) AS cur FROM sales WHERE date IS NOT NULL GROUP BY 1),
+mg AS (SELECT month, cur, lag(cur) OVER (ORDER BY month) AS prev FROM m),
+fc AS (SELECT customer_id, MIN(date) AS date FROM sales
+       WHERE customer_id IS NOT NULL AND date IS NOT NULL GROUP BY 1),
+nc AS (SELECT {MONTH} AS month, COUNT(*) AS cur FROM fc GROUP BY 1),
+ncg AS (SELECT month, cur, lag(cur) OVER (ORDER BY month) AS prev FROM nc),
+g AS (SELECT COALESCE((SELECT {_GROWTH} FROM mg ORDER BY month DESC LIMIT 1), 0.0) AS revenue_growth,
+             COALESCE((SELECT {_GROWTH} FROM ncg ORDER BY month DESC LIMIT 1), 0.0) AS customer_growth),
+tp AS (SELECT product, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales WHERE product IS NOT NULL
+       GROUP BY 1 ORDER BY SUM(revenue) DESC, product LIMIT 1),
+cg AS (SELECT category, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales
+       WHERE category IS NOT NULL GROUP BY 1),
+wc AS (SELECT category, round_even(revenue / (SELECT SUM(revenue) FROM cg) * 100, 2) AS percentage
+       FROM cg WHERE (SELECT COUNT(*) FROM cg) > 1 ORDER BY revenue ASC, category DESC LIMIT 1),
+cc AS (SELECT customer_id, SUM(revenue) AS revenue FROM sales WHERE customer_id IS NOT NULL GROUP BY 1),
+top5 AS (SELECT CAST(COALESCE((SELECT SUM(revenue) FROM (SELECT revenue FROM cc ORDER BY revenue DESC,
+                customer_id LIMIT 5) z), 0) AS DOUBLE) / CAST((SELECT SUM(revenue) FROM cc) AS DOUBLE) * 100
+                AS top5_pct)"""
+
+
+def _amount_sql(parity: bool) -> str:
+    plain = "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR)"
+    text = f"""CASE WHEN l_returnflag = 'R' THEN '(' || {plain} || ')'
+        WHEN l_returnflag = 'A' THEN '$' || format('{{:,.2f}}', l_extendedprice)
+        WHEN l_linestatus = 'O' THEN {plain} || ' EUR' ELSE '£' || {plain} END"""
+    if parity:
+        rev = "TRY_CAST(NULLIF(regexp_replace(amount_text, '[^0-9.]', '', 'g'), '') AS DOUBLE)"
+    else:
+        pat = AMOUNT_PATTERN
+        cmp = "regexp_replace(amount_text, '[,\\s]', '', 'g')"
+        rev = f"""CASE WHEN regexp_full_match({cmp}, '{pat}') THEN
+          TRY_CAST(regexp_extract({cmp}, '{pat}', 2) AS DOUBLE) *
+          CASE WHEN contains(regexp_extract({cmp}, '{pat}', 1), '-')
+                 OR contains(regexp_extract({cmp}, '{pat}', 1), '(') THEN -1.0 ELSE 1.0 END END"""
+    return f"""
+WITH tx AS (SELECT l_orderkey, l_linenumber, {text} AS amount_text FROM lineitem),
+pr AS (SELECT l_orderkey, l_linenumber, amount_text, {rev} AS revenue FROM tx)
+SELECT * FROM pr WHERE revenue > 0"""
+
+
+def _registry_values() -> str:
+    from tillroll.operators.currency import CURRENCIES
+    rows = [f"('{code}', {ci}, '{name}', {ri})"
+            for ci, (code, (_, _, regions)) in enumerate(CURRENCIES.items())
+            for ri, name in enumerate(regions)]
+    return ", ".join(rows)
+
+
+def _words_sql(x: str) -> str:
+    return f"(' ' || trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')) || ' ')"
+
+
 def oracles() -> dict[str, str]:
-    from tillroll.plans.catalog import STABLE
+    from tillroll.plans.catalog import DIGITS, STABLE
     o = _oracles()
     for name, cols in STABLE.items():
         if name in o:
-            repl = ", ".join(f"CAST(printf('%.11e', {c}) AS DOUBLE) AS {c}" for c in cols)
+            d = DIGITS.get(name, 12) - 1
+            repl = ", ".join(f"CAST(printf('%.{d}e', {c}) AS DOUBLE) AS {c}" for c in cols)
             o[name] = f"SELECT * REPLACE ({repl}) FROM ({o[name]}) q"
     return o
 
@@ -482,4 +540,87 @@ SELECT recent_avg, forecast_avg,
        CASE WHEN forecast_avg > recent_avg * 1.1 THEN (forecast_avg - recent_avg) / recent_avg * 100
             WHEN forecast_avg < recent_avg * 0.9 THEN (recent_avg - forecast_avg) / recent_avg * 100 END AS change_pct,
        total_projected FROM fs, rc WHERE n > 0""")
+    o["kpi_insights"] = _with(_KPI_BLOCK + """
+SELECT * FROM (
+  SELECT 1 AS seq, 'revenue' AS area,
+         CASE WHEN revenue_growth > 10 THEN 'strong_growth' WHEN revenue_growth > 0 THEN 'modest_growth'
+              WHEN revenue_growth < -10 THEN 'sharp_decline' WHEN revenue_growth < 0 THEN 'slight_decline' END AS code,
+         CASE WHEN revenue_growth > 0 THEN 'positive' ELSE 'negative' END AS severity,
+         CAST(NULL AS VARCHAR) AS subject, revenue_growth AS value FROM g
+  UNION ALL SELECT 2, 'revenue', 'best_month', 'info', strftime(month, '%B %Y'), CAST(cur AS DOUBLE)
+  FROM (SELECT month, cur FROM m ORDER BY cur DESC, month LIMIT 1) z
+  UNION ALL SELECT 3, 'products', 'top_product', 'info', product, revenue FROM tp
+  UNION ALL SELECT 4, 'customers', CASE WHEN customer_growth > 0 THEN 'acquisition_up'
+                                       WHEN customer_growth < 0 THEN 'acquisition_down' END,
+         CASE WHEN customer_growth > 0 THEN 'positive' ELSE 'negative' END, NULL, customer_growth FROM g
+  UNION ALL SELECT 5, 'orders', 'average_order_value', 'info', NULL,
+         CASE WHEN total_orders > 0 THEN total_revenue / total_orders ELSE 0.0 END FROM t) u
+WHERE code IS NOT NULL""")
+    o["health_score"] = _with(_KPI_BLOCK + """,
+np AS (SELECT COUNT(DISTINCT product) AS n FROM sales),
+pts AS (SELECT CASE WHEN revenue_growth > 10 THEN 30 WHEN revenue_growth > 5 THEN 22
+                    WHEN revenue_growth > 0 THEN 15 WHEN revenue_growth > -5 THEN 8 ELSE 0 END AS revenue_growth_points,
+               CASE WHEN customer_growth > 10 THEN 25 WHEN customer_growth > 5 THEN 18
+                    WHEN customer_growth > 0 THEN 12 WHEN customer_growth > -5 THEN 6 ELSE 0 END AS customer_growth_points,
+               CASE WHEN n > 50 THEN 20 WHEN n > 20 THEN 15 WHEN n > 10 THEN 10 WHEN n > 0 THEN 5 ELSE 0 END
+                 AS product_diversity_points,
+               25 AS completeness_points FROM g, np)
+SELECT *, revenue_growth_points + customer_growth_points + product_diversity_points + completeness_points
+            AS health_score,
+       CASE WHEN revenue_growth_points + customer_growth_points + product_diversity_points + completeness_points >= 75
+              THEN 'Excellent'
+            WHEN revenue_growth_points + customer_growth_points + product_diversity_points + completeness_points >= 55
+              THEN 'Good'
+            WHEN revenue_growth_points + customer_growth_points + product_diversity_points + completeness_points >= 35
+              THEN 'Needs Attention' ELSE 'Critical' END AS health_label FROM pts""")
+    o["risk_alerts"] = _with(_KPI_BLOCK + """
+SELECT * FROM (
+  SELECT 1 AS seq, 'revenue' AS area,
+         CASE WHEN revenue_growth < -15 THEN 'revenue_drop' WHEN revenue_growth < -5 THEN 'revenue_decline' END AS code,
+         CASE WHEN revenue_growth < -15 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+         CAST(NULL AS VARCHAR) AS subject, abs(revenue_growth) AS value FROM g
+  UNION ALL SELECT 2, 'customers', CASE WHEN top5_pct > 50 THEN 'customer_dependency' END, 'WARNING', NULL,
+         top5_pct FROM top5
+  UNION ALL SELECT 4, 'data', CASE WHEN n < 500 THEN 'small_dataset' END, 'INFO', NULL, CAST(n AS DOUBLE)
+  FROM (SELECT COUNT(*) AS n FROM sales) z) u
+WHERE code IS NOT NULL""")
+    o["recommendations"] = _with(_KPI_BLOCK + """
+SELECT *, CAST(row_number() OVER (ORDER BY seq) AS INT) AS priority FROM (
+  SELECT 1 AS seq, 'revenue' AS area, CASE WHEN revenue_growth < 0 THEN 'launch_promotion' END AS code,
+         'HIGH' AS severity, CAST(NULL AS VARCHAR) AS subject, abs(revenue_growth) AS value FROM g
+  UNION ALL SELECT 2, 'customers', CASE WHEN customer_growth < 0 THEN 'improve_acquisition' END, 'HIGH', NULL,
+         customer_growth FROM g
+  UNION ALL SELECT 3, 'products', 'promote_top_seller', 'MEDIUM', product, revenue FROM tp
+  UNION ALL SELECT 4, 'products', 'review_category', 'LOW', category, percentage FROM wc
+  UNION ALL SELECT 5, 'customers', 'retention_program', 'MEDIUM', NULL, NULL) u
+WHERE code IS NOT NULL""")
+    o["sales_observations"] = "SELECT * FROM (" + _with(f"""
+m AS (SELECT {MONTH} AS month, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales
+      WHERE date IS NOT NULL GROUP BY 1),
+gm AS (SELECT month, revenue, (revenue / lag(revenue) OVER (ORDER BY month) - 1) * 100 AS mom FROM m),
+s AS (SELECT COUNT(*) AS months, arg_max(month, revenue) AS best_month, MAX(revenue) AS best_revenue,
+             arg_min(month, revenue) AS worst_month, MIN(revenue) AS worst_revenue,
+             AVG(mom) AS a, stddev_samp(revenue) / AVG(revenue) AS cv FROM gm),
+st AS (SELECT *, CASE WHEN months >= 6 THEN cv END AS cv6,
+              CASE WHEN months >= 6 THEN cv > 0.3 END AS hs FROM s WHERE months >= 3)
+SELECT 1 AS seq, 'revenue' AS area, 'best_month' AS code, 'info' AS severity,
+       strftime(best_month, '%B %Y') AS subject, best_revenue AS value FROM st
+UNION ALL SELECT 2, 'revenue', 'weakest_month', 'info', strftime(worst_month, '%B %Y'), worst_revenue FROM st
+UNION ALL SELECT 3, 'revenue', CASE WHEN a > 5 THEN 'strong_upward_trend' WHEN a > 0 THEN 'gradual_growth'
+                                    ELSE 'declining_trend' END,
+       CASE WHEN a > 0 THEN 'positive' ELSE 'negative' END, NULL, a FROM st
+UNION ALL SELECT 4, 'revenue', CASE WHEN hs THEN 'high_seasonality' WHEN NOT hs THEN 'stable_sales' END, 'info',
+       NULL, cv6 FROM st""") + ") q WHERE code IS NOT NULL"
+    o["clean_amount_strings"] = _amount_sql(False)
+    o["clean_amount_strings_parity"] = _amount_sql(True)
+    o["region_currency"] = _with(f"""
+tr AS (SELECT lower(region) AS region, COUNT(*) AS n FROM sales WHERE region IS NOT NULL
+       GROUP BY 1 ORDER BY n DESC, region LIMIT 3),
+rk AS (SELECT region, row_number() OVER (ORDER BY n DESC, region) AS region_rank FROM tr),
+reg AS (SELECT * FROM (VALUES {_registry_values()}) v(code, code_rank, country, country_rank)),
+hits AS (SELECT code, region_rank, code_rank, country_rank FROM rk, reg
+         WHERE contains({_words_sql('region')}, {_words_sql('country')})
+            OR contains({_words_sql('country')}, {_words_sql('region')}))
+SELECT (SELECT code FROM hits ORDER BY region_rank, code_rank, country_rank LIMIT 1) AS code""")
+    o["sales_from_text_monthly"] = _with(_MONTHLY)
     return o
