@@ -101,7 +101,9 @@ def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0)
     s3 = fitted.groupBy(*keys).agg(F.sum(resid * resid).alias("SSE"),
                                    F.stddev_pop(resid).alias("resid_std"))
     out = (choice.select(*keys, "weekly", "d_min", "d_max").join(coef, keys).join(s3, keys)
-                 .withColumn("r2", F.lit(1.0) - F.col("SSE") / F.col("SST")))
+                 .withColumn("r2", F.when(F.col("SST") == 0, F.when(F.col("SSE") == 0, 1.0)
+                                                               .otherwise(0.0))
+                                    .otherwise(F.lit(1.0) - F.col("SSE") / F.col("SST"))))
     return out.drop("SSE", "SST")
 
 

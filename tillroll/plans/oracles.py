@@ -227,7 +227,8 @@ cf AS (SELECT g, n, x0, mu, sc, SST,
              FROM m) z),
 s3 AS (SELECT g, SUM(r * r) AS SSE, stddev_pop(r) AS resid_std
        FROM (SELECT pu.g, y - (a + b * u + c * u * u) AS r FROM pu JOIN cf USING (g)) z GROUP BY 1),
-fit AS (SELECT ch.g, weekly, d_min, d_max, n, x0, mu, sc, a, b, c, resid_std, 1.0 - SSE / SST AS r2
+fit AS (SELECT ch.g, weekly, d_min, d_max, n, x0, mu, sc, a, b, c, resid_std,
+               CASE WHEN SST = 0 THEN CASE WHEN SSE = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 - SSE / SST END AS r2
         FROM ch JOIN cf USING (g) JOIN s3 USING (g))"""
 
 
