@@ -1,0 +1,40 @@
+"""Daily revenue over sales files that keep arriving in a folder.
+
+The same daily aggregate as ``timeseries.daily_revenue``, kept up to date by
+Structured Streaming: cleaned sales-line files (parquet) land in a folder,
+each micro-batch adds its lines to 1-day event-time windows, and the
+watermark bounds how late a line may arrive (state for older days is
+dropped).  The checkpoint lives in the shared checkpoint folder, so a
+restarted query resumes where it stopped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tillroll.schema import SALES_SCHEMA
+from tillroll.session import checkpoint_dir
+
+
+def daily_revenue_stream(spark: SparkSession, source_dir: str, late_days: int = 2,
+                         schema=SALES_SCHEMA) -> DataFrame:
+    lines = (spark.readStream.schema(schema).parquet(source_dir)
+                  .filter(F.col("date").isNotNull() & (F.col("revenue") > 0)))
+    ts = F.col("date").cast("timestamp")
+    return (lines.withColumn("_ts", ts)
+                 .withWatermark("_ts", f"{late_days} days")
+                 .groupBy(F.window("_ts", "1 day").alias("w"))
+                 .agg(F.sum("revenue").cast("double").alias("revenue"),
+                      F.count(F.lit(1)).alias("lines"))
+                 .select(F.to_date(F.col("w.start")).alias("date"), "revenue", "lines"))
+
+
+def start_daily_revenue(spark: SparkSession, source_dir: str, query_name: str,
+                        sink: str = "memory", output_mode: str = "update",
+                        late_days: int = 2) -> StreamingQuery:
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name}"
+    return (daily_revenue_stream(spark, source_dir, late_days).writeStream
+            .outputMode(output_mode).format(sink).queryName(query_name)
+            .option("checkpointLocation", ckpt).start())
