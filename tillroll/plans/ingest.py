@@ -71,6 +71,21 @@ def load_sales(spark: SparkSession, path: str, overrides: dict[str, str] | None
     return clean.clean_sales(df, parity=parity, unit_price=unit_price), report
 
 
+def load_sample(spark: SparkSession, path: str, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A named sample file: always Latin-1; an empty file, or one with no row
+    left after cleaning, is an error."""
+    from tillroll.sources.csv import LATIN1
+
+    raw = read_sales_csv(spark, path, LATIN1)
+    if raw.isEmpty():
+        raise ValueError(f"{path}: the file has no data rows")
+    df, report = standardize(raw, file_id=path)
+    sales = clean.clean_sales(df, parity=parity)
+    if sales.isEmpty():
+        raise ValueError(f"{path}: no valid rows remain after cleaning")
+    return sales, report
+
+
 def union_sales(frames: list[DataFrame]) -> DataFrame:
     """Union of several cleaned files (columns missing in a file are NULL)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
