@@ -40,3 +40,16 @@ def band(value: Column, cuts: list[tuple[float, object]], default: object,
         cond = value > F.lit(threshold) if strict else value >= F.lit(threshold)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(default))
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that later steps read several times.
+
+    Used for the small aggregates an operator derives from the raw lines
+    (per customer, per day and group, per basket): the raw scan and its
+    shuffle run once; later passes read the cached blocks (memory, spilling
+    to disk).  A lost executor's blocks are recomputed from lineage.
+    Callers may ``spark.catalog.clearCache()`` between analyses."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

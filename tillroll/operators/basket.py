@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import round_even
-from tillroll.operators._common import non_null, with_scalars
+from tillroll.operators._common import non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
 BITS = 62          # bits used per LongType word
@@ -63,7 +63,7 @@ def cooccurrence(sales: DataFrame, max_products: int = 50) -> tuple[DataFrame, D
     pairs: (a, b, both) for a < b with both > 0;
     total: one row (n) - orders with at least one top product.
     """
-    top = top_basket_products(sales, max_products)
+    top = reuse(top_basket_products(sales, max_products))
     k = max_products
     words = [f"w{w}" for w in range((k + BITS - 1) // BITS)]
     idx = F.broadcast(top.select("product", "idx"))
@@ -76,13 +76,14 @@ def cooccurrence(sales: DataFrame, max_products: int = 50) -> tuple[DataFrame, D
                                                    (F.col("idx") % BITS).cast("int")))),
                    F.lit(0).cast("long")).alias(name)
         for w, name in enumerate(words)])
-    baskets = masks.groupBy(*words).agg(F.count(F.lit(1)).alias("cnt"))
+    baskets = reuse(masks.groupBy(*words).agg(F.count(F.lit(1)).alias("cnt")))
     total = baskets.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n"))
     members = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: _bit(words, i) == 1)
     per_item = baskets.select(F.explode(members).alias("a"), "cnt", *words)
     row = per_item.groupBy("a").agg(F.array(*[
         F.sum(F.when(_bit(words, b) == 1, F.col("cnt")).otherwise(F.lit(0))).cast("bigint")
         for b in range(k)]).alias("row"))
+    row = reuse(row)   # max_products rows, read for items and for pairs
     items = (row.select(F.col("a").alias("idx"), F.get("row", F.col("a")).alias("orders"))
                 .join(idx, "idx"))
     pairs = (row.select("a", F.posexplode("row").alias("b", "both"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import round_even
-from tillroll.operators._common import with_scalars
+from tillroll.operators._common import reuse, with_scalars
 from tillroll.operators.customers import customer_features
 from tillroll.operators.stats import quantiles
 from tillroll.schema import empty
@@ -36,7 +36,7 @@ def label_churn(features: DataFrame, churn_days: int = CHURN_DAYS) -> DataFrame:
 def churn_rule(sales: DataFrame) -> DataFrame:
     """Features, label, and the rule score days / max(days) rounded to 3
     (what the model falls back to), with its risk level."""
-    f = label_churn(customer_features(sales))
+    f = reuse(label_churn(customer_features(sales)))
     mx = f.agg(F.max("days_since_last_order").alias("_max_days"))
     s = with_scalars(f, mx).withColumn(
         "churn_probability",

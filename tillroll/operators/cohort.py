@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import month_diff, month_start
-from tillroll.operators._common import band
+from tillroll.operators._common import band, reuse
 from tillroll.schema import empty, has
 
 DISPLAY_COHORTS = 18
@@ -31,9 +31,9 @@ def cohort_counts(sales: DataFrame) -> DataFrame:
                    .agg(F.collect_set(month_start("date")).alias("months")))
     active = months.select(F.array_min("months").alias("cohort_month"),
                            F.explode("months").alias("month"))
-    return (active.groupBy("cohort_month", month_diff("month", "cohort_month").alias("period"))
-                  .agg(F.count(F.lit(1)).alias("customers"))
-                  .orderBy("cohort_month", "period"))
+    cells = (active.groupBy("cohort_month", month_diff("month", "cohort_month").alias("period"))
+                   .agg(F.count(F.lit(1)).alias("customers")))
+    return reuse(cells).orderBy("cohort_month", "period")
 
 
 def cohort_retention(sales: DataFrame) -> DataFrame:

@@ -11,37 +11,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import elapsed_days, round_even
-from tillroll.operators._common import non_null, with_scalars
+from tillroll.operators._common import non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
 
-def customer_base(sales: DataFrame) -> DataFrame:
-    """customer_id, revenue_sum (exact), lines, orders (distinct order_id, or
-    lines without one), avg_line_revenue, first_date, last_date."""
+def customer_groups(sales: DataFrame) -> DataFrame:
+    """One aggregation of the raw lines per customer_id, the NULL customer
+    included (it still counts for the dataset's latest date); persisted,
+    since every customer operator reads it more than once."""
     aggs = [F.sum("revenue").alias("revenue_sum"), F.count(F.lit(1)).alias("lines")]
     if has(sales, "order_id"):
         aggs.append(F.count_distinct("order_id").alias("orders"))
     if has(sales, "date"):
         aggs += [F.min("date").alias("first_date"), F.max("date").alias("last_date")]
-    base = non_null(sales, "customer_id").groupBy("customer_id").agg(*aggs)
+    g = sales.groupBy("customer_id").agg(*aggs)
     if not has(sales, "order_id"):
-        base = base.withColumn("orders", F.col("lines"))
-    return base.withColumn(
-        "avg_line_revenue", F.col("revenue_sum").cast("double") / F.col("lines"))
+        g = g.withColumn("orders", F.col("lines"))
+    return reuse(g.withColumn(
+        "avg_line_revenue", F.col("revenue_sum").cast("double") / F.col("lines")))
+
+
+def customer_base(sales: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """customer_id, revenue_sum (exact), lines, orders (distinct order_id, or
+    lines without one), avg_line_revenue, first_date, last_date."""
+    g = customer_groups(sales) if groups is None else groups
+    return non_null(g, "customer_id")
 
 
-def reference_date(sales: DataFrame) -> DataFrame:
-    """One row: the latest timestamp in the data."""
+def reference_date(sales: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row: the latest timestamp in the data (from the per-customer
+    aggregate when given, so the raw lines are not scanned again)."""
+    if groups is not None:
+        return groups.agg(F.max("last_date").alias("ref_date"))
     return sales.agg(F.max("date").alias("ref_date"))
 
 
+def _with_reference(sales: DataFrame) -> DataFrame:
+    g = customer_groups(sales)
+    return with_scalars(customer_base(sales, g), reference_date(sales, g))
+
+
 def rfm(sales: DataFrame) -> DataFrame:
     """Recency (whole days from the customer's last purchase to one day after
     the dataset's last one), frequency (distinct orders) and monetary."""
     if not has(sales, "date", "customer_id", "revenue"):
         return empty(sales.sparkSession,
                      "customer_id string, recency bigint, frequency bigint, monetary double")
-    b = with_scalars(customer_base(sales), reference_date(sales))
+    b = _with_reference(sales)
     ref = F.col("ref_date") + F.expr("INTERVAL 1 DAY")
     return b.select("customer_id",
                     elapsed_days("last_date", ref).cast("bigint").alias("recency"),
@@ -62,7 +78,7 @@ def customer_features(sales: DataFrame) -> DataFrame:
               "order_frequency double")
     if not has(sales, "date", "customer_id", "revenue"):
         return empty(sales.sparkSession, schema)
-    b = with_scalars(customer_base(sales), reference_date(sales))
+    b = _with_reference(sales)
     age = F.greatest(elapsed_days("first_date", "ref_date"), F.lit(1))
     return b.select(
         "customer_id",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import day, round_even, week_end_label
-from tillroll.operators._common import non_null
+from tillroll.operators._common import non_null, reuse
 from tillroll.schema import empty, has
 
 # Fixed values of the forecasting rules.
@@ -41,13 +41,22 @@ def _base(sales: DataFrame, key: str | None) -> DataFrame:
     return b.withColumn("_g", F.lit(0))
 
 
-def _positive_series(base: DataFrame, keys: list[str], label: Column) -> DataFrame:
-    return (base.groupBy(*keys, label.alias("date")).agg(F.sum("revenue").alias("_rev"))
-                .filter(F.col("_rev") > 0)
-                .select(*keys, "date", F.col("_rev").cast("double").alias("y")))
+def day_groups(sales: DataFrame, key: str | None = None) -> DataFrame:
+    """The one pass over the raw lines: revenue and line count per (group,
+    calendar day).  Every series, count and fit below derives from it."""
+    keys = _keys(key)
+    base = _base(sales, key)
+    return reuse(base.groupBy(*keys, day("date").alias("date"))
+                     .agg(F.sum("revenue").alias("_rev"), F.count(F.lit(1)).alias("_lines")))
+
+
+def _positive(df: DataFrame, keys: list[str]) -> DataFrame:
+    return (df.filter(F.col("_rev") > 0)
+              .select(*keys, "date", F.col("_rev").cast("double").alias("y")))
 
 
-def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0) -> DataFrame:
+def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0,
+                  days: DataFrame | None = None) -> DataFrame:
     """Per group: the fitted series choice and coefficients.
 
     Columns: keys, weekly (bool), n, d_min, d_max (daily series span),
@@ -56,9 +65,10 @@ def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0)
     Groups with fewer than ``MIN_DAYS`` positive days (or fewer than
     ``min_lines`` lines) are absent."""
     keys = _keys(key)
-    base = _base(sales, key)
-    daily = _positive_series(base, keys, day("date"))
-    weekly = _positive_series(base, keys, week_end_label("date"))
+    dg = day_groups(sales, key) if days is None else days
+    daily = _positive(dg, keys)
+    weekly = _positive(dg.groupBy(*keys, week_end_label("date").alias("date"))
+                         .agg(F.sum("_rev").alias("_rev")), keys)
     dstat = daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_days"),
                                      F.min("date").alias("d_min"), F.max("date").alias("d_max"))
     wstat = weekly.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_weeks"))
@@ -66,19 +76,20 @@ def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0)
                    .filter(F.col("n_days") >= MIN_DAYS)
                    .withColumn("weekly", F.coalesce(F.col("n_weeks"), F.lit(0)) >= MIN_WEEKS))
     if min_lines:
-        lines = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lines"))
+        lines = dg.groupBy(*keys).agg(F.sum("_lines").alias("_lines"))
         choice = choice.join(lines, keys).filter(F.col("_lines") >= min_lines).drop("_lines")
-    pts = (daily.withColumn("_w", F.lit(False))
-                .unionByName(weekly.withColumn("_w", F.lit(True)))
-                .join(choice.select(*keys, "weekly"), keys)
-                .filter(F.col("_w") == F.col("weekly"))
-                .select(*keys, F.unix_date("date").alias("x"), "y"))
+    choice = reuse(choice)
+    pts = reuse(daily.withColumn("_w", F.lit(False))
+                     .unionByName(weekly.withColumn("_w", F.lit(True)))
+                     .join(choice.select(*keys, "weekly"), keys)
+                     .filter(F.col("_w") == F.col("weekly"))
+                     .select(*keys, F.unix_date("date").alias("x"), "y"))
     # pass 1: centre and scale of the day number, mean of y
     s1 = pts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"),
         F.avg("x").alias("mu"), ((F.max("x") - F.min("x")) / F.lit(2.0)).alias("sc"),
         F.avg("y").alias("ybar"))
-    p = pts.join(s1, keys).withColumn("u", (F.col("x") - F.col("mu")) / F.col("sc"))
+    p = reuse(pts.join(s1, keys).withColumn("u", (F.col("x") - F.col("mu")) / F.col("sc")))
     u, y = F.col("u"), F.col("y")
     # pass 2: power sums -> normal equations
     s2 = p.groupBy(*keys).agg(
@@ -113,7 +124,8 @@ def _predict(x_days: Column) -> Column:
 
 
 def forecast_revenue(sales: DataFrame, days: int = 30, key: str | None = None,
-                     parity: bool = False, min_lines: int = 0) -> DataFrame:
+                     parity: bool = False, min_lines: int = 0,
+                     day_table: DataFrame | None = None) -> DataFrame:
     """Daily forecast for the ``days`` days after the last sale.
 
     Default: the fitted model is evaluated at the forecast date's own day
@@ -123,8 +135,7 @@ def forecast_revenue(sales: DataFrame, days: int = 30, key: str | None = None,
     which is how the original computes it."""
     if not has(sales, "date", "revenue") or (key and not has(sales, key)):
         return empty(sales.sparkSession, (f"{key} string, " if key else "") + FORECAST_SCHEMA)
-    keys = _keys(key)
-    fit = quadratic_fit(sales, key, min_lines=min_lines)
+    fit = quadratic_fit(sales, key, min_lines=min_lines, days=day_table)
     steps = fit.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(days))))
     date = F.date_add("d_max", F.col("i"))
     if parity:
@@ -167,11 +178,11 @@ def forecast_by_category(sales: DataFrame, days: int = 30, parity: bool = False)
     return forecast_revenue(sales, days, key="category", parity=parity, min_lines=MIN_DAYS)
 
 
-def _recent_daily(sales: DataFrame) -> DataFrame:
+def _recent_daily(sales: DataFrame, day_table: DataFrame | None = None) -> DataFrame:
     """Positive daily series with its position from the end (rn, 1 = last)
     and from the start (rn_asc).  Windows run over the aggregated days."""
-    d = (sales.filter(F.col("date").isNotNull()).groupBy(day("date").alias("date"))
-              .agg(F.sum("revenue").alias("_rev")).filter(F.col("_rev") > 0))
+    dg = day_groups(sales) if day_table is None else day_table
+    d = dg.filter(F.col("_rev") > 0).select("date", "_rev")
     return (d.withColumn("rn", F.row_number().over(Window.orderBy(F.col("date").desc())))
              .withColumn("rn_asc", F.row_number().over(Window.orderBy("date"))))
 
@@ -212,10 +223,11 @@ def forecast_summary(forecast: DataFrame) -> DataFrame:
 def forecast_insights(sales: DataFrame, days: int = 30, parity: bool = False) -> DataFrame:
     """Forecast mean vs the mean of the last 7 positive days: direction
     (grow > 1.1x, decline < 0.9x, else stable), change in %, total projected."""
-    f = forecast_revenue(sales, days, parity=parity)
+    dg = day_groups(sales)
+    f = forecast_revenue(sales, days, parity=parity, day_table=dg)
     fs = f.agg(F.avg("predicted").alias("forecast_avg"), F.sum("predicted").alias("total_projected"),
                F.count(F.lit(1)).alias("_n"))
-    d = _recent_daily(sales)
+    d = _recent_daily(sales, dg)
     recent = d.agg((F.sum(F.when(F.col("rn") <= 7, F.col("_rev"))).cast("double")
                     / F.least(F.count(F.lit(1)), F.lit(7))).alias("recent_avg"))
     s = fs.join(F.broadcast(recent), how="inner").filter(F.col("_n") > 0)

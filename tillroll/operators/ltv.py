@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import elapsed_days, round_even
-from tillroll.operators._common import with_scalars
-from tillroll.operators.customers import customer_base, reference_date
+from tillroll.operators._common import reuse, with_scalars
+from tillroll.operators.customers import customer_base, customer_groups, reference_date
 from tillroll.operators.stats import quantiles
 from tillroll.schema import empty, has
 
@@ -30,9 +30,10 @@ def customer_ltv_raw(sales: DataFrame, months: int = 12) -> DataFrame:
     """Per-customer LTV without the segment column."""
     if not has(sales, "customer_id", "revenue"):
         return empty(sales.sparkSession, LTV_SCHEMA)
-    b = customer_base(sales)
+    groups = customer_groups(sales)
+    b = customer_base(sales, groups)
     if has(sales, "date"):
-        b = with_scalars(b, reference_date(sales))
+        b = with_scalars(b, reference_date(sales, groups))
         age_days = F.greatest(elapsed_days("first_date", "ref_date"), F.lit(1))
         recency = elapsed_days("last_date", "ref_date")
         age_months = age_days / F.lit(DAYS_PER_MONTH)
@@ -61,7 +62,7 @@ def customer_ltv_raw(sales: DataFrame, months: int = 12) -> DataFrame:
                  F.lit(0.0)))
              .withColumn("total_ltv", F.col("historical_ltv") + F.col("predicted_future_ltv"))
              .withColumn("untapped_value", F.col("predicted_future_ltv")))
-    return out
+    return reuse(out)   # read by the quantile passes and the segment assignment
 
 
 def ltv_thresholds(ltv: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import round_even
-from tillroll.operators._common import non_null, with_scalars
+from tillroll.operators._common import non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
 # Fixed values of the scoring rules.
@@ -63,7 +63,7 @@ def _minmax_score(col: str) -> tuple[list[Column], Column]:
 def product_performance(sales: DataFrame) -> DataFrame:
     if not has(sales, "product", "revenue"):
         return empty(sales.sparkSession, PERF_SCHEMA)
-    stats = product_stats(sales)
+    stats = reuse(product_stats(sales))   # read for min/max and for the rows
     aggs, scores = [], {}
     for src, name in (("total_revenue", "revenue_score"), ("order_count", "frequency_score"),
                       ("trend_pct", "trend_score")):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import round_even
-from tillroll.operators._common import band, non_null, with_scalars
+from tillroll.operators._common import band, non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
 
@@ -110,7 +110,7 @@ def customer_concentration(sales: DataFrame) -> DataFrame:
               "level string, top5_alert boolean")
     if not has(sales, "customer_id", "revenue"):
         return empty(sales.sparkSession, schema)
-    c = customer_totals(sales)
+    c = reuse(customer_totals(sales))   # read for the top 100 and for the total
     top = c.orderBy(F.col("revenue").desc(), F.col("customer_id")).limit(100)
     r = top.withColumn("rk", F.row_number().over(_ranked(top, "revenue", "customer_id")))
     parts = r.agg(*[F.coalesce(F.sum(F.when(F.col("rk") <= k, F.col("revenue"))), F.lit(0))
