@@ -185,13 +185,13 @@ def test_ltv_edges(spark):
     assert out["r90"]["predicted_future_ltv"] == 0.0
 
 
-@pytest.mark.parametrize("accuracy", [100, 10000])
-def test_quantiles_exact(spark, accuracy):
+@pytest.mark.parametrize("accuracy,max_window", [(100, 50), (100, 1_000_000), (10000, 200)])
+def test_quantiles_exact(spark, accuracy, max_window):
     rnd = np.random.default_rng(7)
     x = np.concatenate([rnd.normal(size=5000), np.repeat([0.25, 1.5], 700)])
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
     probs = {"p10": 0.1, "p40": 0.4, "p50": 0.5, "p70": 0.7, "p90": 0.9, "p100": 1.0}
-    got = stats.quantiles(df, "v", probs, accuracy=accuracy).first()
+    got = stats.quantiles(df, "v", probs, accuracy=accuracy, max_window=max_window).first()
     for name, p in probs.items():
         assert got[name] == pytest.approx(np.percentile(x, p * 100), rel=1e-12, abs=1e-12)
 

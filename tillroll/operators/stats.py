@@ -1,63 +1,133 @@
-"""Exact linear-interpolated quantiles without gathering a column in one task.
+"""Exact linear-interpolated quantiles with bounded memory per task.
 
-``percentile`` (exact) merges a value->count map of the whole column in the
-final task, which does not survive a billion distinct values.  Here:
+Spark's exact ``percentile`` merges a value->count map of the whole column in
+the final task.  Here every needed order statistic x(r) is found by narrowing
+a value window around it:
 
-1. one pass with ``percentile_approx`` (mergeable sketch, relative rank error
-   1/accuracy) brackets every target rank with values ``lo <= x(k) <= x(k+1) <= hi``;
-2. a second pass counts the values below ``lo`` and collects only the values
-   inside ``[lo, hi]`` (about 2*margin*N/accuracy of them), sorted;
-3. the order statistics ``x(k)`` and ``x(k+1)`` are picked from that short
-   array and interpolated like numpy's linear method.
+1. a mergeable ``percentile_approx`` sketch (relative rank error
+   1/accuracy) over the current window brackets rank r with values a <= b;
+2. one counting pass counts the window's values below a, equal to a,
+   strictly between, equal to b: a rank inside a run of equal values is
+   resolved at once, otherwise the open interval (a, b) becomes the window;
+3. once a window holds at most ``max_window`` values they are collected
+   (sorted) and x(r) is read off.
 
-Both passes are global aggregates with map-side partial aggregation; the
-result is a lazy one-row DataFrame.
+Each round shrinks a window by about accuracy / (2 * margin), so a few rounds
+suffice for any N, and no task ever holds more than ``max_window`` values or
+one sketch.  All ranks advance together: one sketch job and one counting job
+per round.  The interpolation is numpy's linear method.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators._common import with_scalars
+from tillroll.operators._common import reuse
 
 
-def lerp(a: Column, b: Column, t: Column) -> Column:
+def lerp(a: float, b: float, t: float) -> float:
     """numpy's linear interpolation (the b-side form for t >= 0.5)."""
     d = b - a
-    return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+    return b - d * (1.0 - t) if t >= 0.5 else a + d * t
+
+
+def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int = 10000,
+                     margin: float = 4.0, max_window: int = 1_000_000) -> dict[int, float]:
+    """Exact x(r) (0-based, ascending) of column ``x`` of ``vals`` for each r.
+
+    A window is the open value interval (lo, hi) (None = unbounded) holding
+    the ranks below + 0 .. below + cnt - 1."""
+    x = F.col("x")
+    state = {r: (None, None, 0, n) for r in ranks}   # lo, hi, below, cnt
+    found: dict[int, float] = {}
+
+    def inside(lo, hi):
+        c = F.lit(True)
+        if lo is not None:
+            c = c & (x > F.lit(lo))
+        if hi is not None:
+            c = c & (x < F.lit(hi))
+        return c
+
+    while len(found) < len(ranks):
+        todo = [r for r in ranks if r not in found]
+        small = [r for r in todo if state[r][3] <= max_window]
+        big = [r for r in todo if state[r][3] > max_window]
+        if small:
+            windows: dict = {}
+            for r in small:
+                windows.setdefault(state[r][:2], []).append(r)
+            keys = list(windows)
+            row = vals.agg(*[F.sort_array(F.collect_list(F.when(inside(lo, hi), x))).alias(f"w{i}")
+                             for i, (lo, hi) in enumerate(keys)]).first()
+            for i, key in enumerate(keys):
+                for r in windows[key]:
+                    found[r] = row[f"w{i}"][r - state[r][2]]
+        if not big:
+            continue
+        eps = margin / accuracy
+        sk = []
+        for i, r in enumerate(big):            # one sketch job for all big ranks
+            lo, hi, below, cnt = state[r]
+            p = (r - below) / max(cnt - 1, 1)
+            sk.append(F.percentile_approx(F.when(inside(lo, hi), x),
+                                          [max(p - eps, 0.0), min(p + eps, 1.0)], accuracy)
+                      .alias(f"b{i}"))
+        brackets = vals.agg(*sk).first()
+        cnts = []
+        for i, r in enumerate(big):            # one counting job for all big ranks
+            lo, hi, _, _ = state[r]
+            a, b = brackets[f"b{i}"]
+            w = inside(lo, hi)
+            cnts += [F.count_if(w & (x < F.lit(a))).alias(f"lt{i}"),
+                     F.count_if(w & (x == F.lit(a))).alias(f"ea{i}"),
+                     F.count_if(w & (x > F.lit(a)) & (x < F.lit(b))).alias(f"mid{i}"),
+                     F.count_if(w & (x == F.lit(b))).alias(f"eb{i}")]
+        c = vals.agg(*cnts).first()
+        missed = False
+        for i, r in enumerate(big):
+            lo, hi, below, cnt = state[r]
+            a, b = brackets[f"b{i}"]
+            start_a = below + c[f"lt{i}"]
+            start_mid = start_a + c[f"ea{i}"]
+            start_b = start_mid + c[f"mid{i}"]
+            end_b = start_b + (c[f"eb{i}"] if b != a else 0)
+            if start_a <= r < start_mid:
+                found[r] = a
+            elif start_b <= r < end_b:
+                found[r] = b
+            elif start_mid <= r < start_b:
+                state[r] = (a, b, start_mid, c[f"mid{i}"])   # strictly fewer values
+            else:
+                missed = True                                # sketch missed: widen
+        if missed:
+            margin *= 2
+    return found
+
 
+def quantiles(df: DataFrame, col: str, probs: dict[str, float], accuracy: int = 10000,
+              max_window: int = 1_000_000) -> DataFrame:
+    """One row, one double column per entry of ``probs`` (name -> probability
+    in [0, 1]); NULLs in ``col`` are ignored, an empty input gives NULLs.
 
-def quantiles(df: DataFrame, col: str, probs: dict[str, float],
-              accuracy: int = 10000, margin: float = 4.0) -> DataFrame:
-    """One row, one column per entry of ``probs`` (name -> probability in
-    [0, 1]); NULLs in ``col`` are ignored, an empty input gives NULLs."""
-    x = F.col(col).cast("double")
-    eps = margin / accuracy
+    Runs its jobs when called (a few small aggregations over ``df``)."""
+    spark = df.sparkSession
     names = list(probs)
-    bounds = []
-    for name in names:
-        p = probs[name]
-        bounds += [max(p - eps, 0.0), min(p + eps, 1.0)]
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    sketch = vals.agg(F.count(F.lit(1)).alias("_n"),
-                      F.percentile_approx("x", bounds, accuracy).alias("_b"))
-    tagged = with_scalars(vals, sketch)
-    aggs = [F.first("_n").alias("_n")]
-    for i, name in enumerate(names):
-        lo, hi = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
-        aggs.append(F.count_if(F.col("x") < lo).alias(f"_below_{i}"))
-        aggs.append(F.sort_array(F.collect_list(
-            F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.col("x")))).alias(f"_win_{i}"))
-    picked = tagged.agg(*aggs)
-    out = []
-    for i, name in enumerate(names):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(probs[name]))
-        k = F.floor(h)
-        t = h - k
-        below, win = F.col(f"_below_{i}"), F.col(f"_win_{i}")
-        a = F.get(win, (k - below).cast("int"))
-        b = F.get(win, F.least(k + 1, F.col("_n") - 1).cast("int") - below)
-        out.append(F.when(F.col("_n") > 0, lerp(a, b, t)).alias(name))
-    # A global aggregate always yields one row (NULLs for an empty input).
-    return picked.select(*out)
+    schema = ", ".join(f"`{nm}` double" for nm in names)
+    vals = reuse(df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()))
+    n = vals.count()
+    if n == 0:
+        return spark.createDataFrame([tuple(None for _ in names)], schema)
+    plan = {}
+    for nm in names:
+        h = float(n - 1) * float(probs[nm])
+        k = math.floor(h)
+        plan[nm] = (k, min(k + 1, n - 1), h - k)
+    ranks = sorted({r for k, k1, _ in plan.values() for r in (k, k1)})
+    xs = order_statistics(vals, n, ranks, accuracy=accuracy, max_window=max_window)
+    vals.unpersist()
+    row = tuple(lerp(xs[k], xs[k1], t) for k, k1, t in (plan[nm] for nm in names))
+    return spark.createDataFrame([row], schema)
