@@ -49,25 +49,35 @@ def _quote(s: str) -> str:
     return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}" else ch for ch in s)
 
 
-def currency_from_files(spark: SparkSession, paths: str | list[str],
-                        parity: bool = False) -> DataFrame:
-    """(path, code): most frequent currency symbol in the first 5000 bytes of
-    each file (first registry entry on ties; NULL when none).  ``parity``
-    decodes as Latin-1 like the original; default decodes UTF-8."""
-    raw = spark.read.format("binaryFile").load(paths).select(
-        "path", F.substring("content", 1, SCAN_BYTES).alias("head"),
-        F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
-    latin1 = F.decode(F.col("head"), "ISO-8859-1")
-    # a multi-byte character cut at the scan limit is replaced, not fatal
-    text = latin1 if parity else F.when(
-        F.col("utf8"), F.make_valid_utf8(F.col("head").cast("string"))).otherwise(latin1)
-    counts = symbol_counts(text, parity)
+def _most_frequent(counts: list[tuple[str, Column]]) -> Column:
     best = F.lit(None).cast("string")
     best_n = F.lit(0)
     for code, n in counts:  # strictly greater: the first registry entry wins ties
         best = F.when(n > best_n, F.lit(code)).otherwise(best)
         best_n = F.greatest(best_n, n)
-    return raw.select("path", best.alias("code"))
+    return best
+
+
+def currency_from_files(spark: SparkSession, paths: str | list[str],
+                        parity: bool = False) -> DataFrame:
+    """(path, code): the most frequent currency symbol of each file (first
+    registry entry on ties; NULL when none).
+
+    Default: every line of every file, read line by line (splittable, so a
+    large file is scanned by many tasks); a line that is not valid UTF-8 is
+    read as Latin-1.  ``parity``: the first 5000 bytes decoded as Latin-1,
+    like the original (reads each file whole: meant for single uploads)."""
+    if parity:
+        raw = spark.read.format("binaryFile").load(paths).select(
+            "path", F.substring("content", 1, SCAN_BYTES).alias("head"))
+        text = F.decode(F.col("head"), "ISO-8859-1")
+        return raw.select("path", _most_frequent(symbol_counts(text, parity=True)).alias("code"))
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value")
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    counts = symbol_counts(text)
+    per_file = lines.groupBy("path").agg(*[F.sum(n).alias(code) for code, n in counts])
+    return per_file.select("path", _most_frequent([(c, F.col(c)) for c, _ in counts]).alias("code"))
 
 
 def registry_table(spark: SparkSession) -> DataFrame:

@@ -64,9 +64,10 @@ def standardize(raw: DataFrame, file_id: str = "upload", overrides: dict[str, st
 
 def load_sales(spark: SparkSession, path: str, overrides: dict[str, str] | None = None,
                encoding: str | None = None, parity: bool = False,
-               unit_price: bool | None = None) -> tuple[DataFrame, DataFrame]:
+               unit_price: bool | None = None,
+               multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read, standardise and clean one sales file -> (sales, mapping report)."""
-    raw = read_sales_csv(spark, path, encoding)
+    raw = read_sales_csv(spark, path, encoding, multi_line=multi_line)
     df, report = standardize(raw, file_id=path, overrides=overrides)
     return clean.clean_sales(df, parity=parity, unit_price=unit_price), report
 

@@ -19,11 +19,15 @@ def detect_encodings(spark: SparkSession, paths: str | list[str]) -> dict[str, s
     return {r["path"]: (UTF8 if r["utf8"] else LATIN1) for r in rows}
 
 
-def read_sales_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_sales_csv(spark: SparkSession, path: str, encoding: str | None = None,
+                   multi_line: bool = False) -> DataFrame:
     """Header row + all columns as strings (types come from cleaning).
-    Quoted fields may span lines."""
+
+    Files are split across tasks.  ``multi_line=True`` accepts quoted fields
+    that span lines, at the price of one task per file (such files cannot be
+    split)."""
     if encoding is None:
         found = set(detect_encodings(spark, path).values())
         encoding = LATIN1 if LATIN1 in found else UTF8
     return (spark.read.option("header", True).option("encoding", encoding)
-                 .option("multiLine", True).option("escape", '"').csv(path))
+                 .option("multiLine", multi_line).option("escape", '"').csv(path))
