@@ -166,6 +166,14 @@ def _registry() -> dict[str, Query]:
         "clean_amount_strings_parity": lambda spark, d: _clean_amounts(spark, d, parity=True),
         "region_currency": _on_sales(currency.currency_from_region),
         "sales_from_text_monthly": _sales_from_text_monthly,
+        # intraday purchase events: day floors, no product/category/region/quantity
+        "customer_ltv_purchases": _on_purchases(ltv.customer_ltv),
+        "cohort_retention_purchases": _on_purchases(cohort.cohort_retention),
+        "churn_rule_purchases": _on_purchases(churn.churn_rule),
+        "forecast_revenue_purchases": _on_purchases(forecast.forecast_revenue),
+        "forecast_fit_quality_purchases": _on_purchases(forecast.forecast_fit_quality),
+        "top_products_purchases": _on_purchases(products.top_products),
+        "product_associations_purchases": _on_purchases(basket.product_associations),
         # models (no SQL oracle: row checks and invariants in tests)
         "kmeans_segments": _on_sales(segments.kmeans_segments),
         "segment_summary": _on_sales(lambda s: segments.segment_summary(

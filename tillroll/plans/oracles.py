@@ -624,4 +624,19 @@ hits AS (SELECT code, region_rank, code_rank, country_rank FROM rk, reg
             OR contains({_words_sql('country')}, {_words_sql('region')}))
 SELECT (SELECT code FROM hits ORDER BY region_rank, code_rank, country_rank LIMIT 1) AS code""")
     o["sales_from_text_monthly"] = _with(_MONTHLY)
+    o["customer_ltv_purchases"] = _with(_LTV + " SELECT * EXCLUDE (customer_id), customer_id FROM ltv",
+                                        PURCHASES_SQL)
+    o["cohort_retention_purchases"] = _with(_COHORT + " SELECT * FROM crp", PURCHASES_SQL)
+    o["churn_rule_purchases"] = _with(_CHURN_RULE + " SELECT * FROM cr", PURCHASES_SQL)
+    o["forecast_revenue_purchases"] = _with(
+        _forecast("0", 0, False) + " SELECT date, predicted, upper_bound, lower_bound FROM fc",
+        PURCHASES_SQL)
+    o["forecast_fit_quality_purchases"] = _with(_fit("0", 0) + f" SELECT {_FIT_LABELS} FROM fit",
+                                                PURCHASES_SQL)
+    o["top_products_purchases"] = ("SELECT CAST(NULL AS VARCHAR) AS product, "
+                                   "CAST(NULL AS DOUBLE) AS revenue WHERE 1 = 0")
+    o["product_associations_purchases"] = (
+        "SELECT CAST(NULL AS VARCHAR) AS product_a, CAST(NULL AS VARCHAR) AS product_b, "
+        "CAST(NULL AS DOUBLE) AS support, CAST(NULL AS DOUBLE) AS confidence, "
+        "CAST(NULL AS DOUBLE) AS lift WHERE 1 = 0")
     return o
