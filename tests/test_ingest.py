@@ -132,3 +132,25 @@ def test_availability_and_overview(spark):
     assert av["products"] is True and av["basket"] is False and av["sales"] is False
     ov = columns.dataset_overview(s).first()
     assert ov["rows"] == 1 and ov["columns"] == 2
+
+
+def test_overrides_and_duplicates(spark):
+    raw = spark.createDataFrame([("x", "1")], "mystery string, qty string")
+    df, rep = standardize(raw, overrides={"mystery": "product"}, sniff=False)
+    assert set(df.columns) == {"product", "quantity"}
+    assert ("mystery", "manual") in rows(rep, "column_name", "method")
+    import pytest
+    with pytest.raises(ValueError):
+        standardize(raw, overrides={"mystery": "quantity"}, sniff=False)
+
+
+def test_load_sample_latin1_and_empty(spark, tmp_path):
+    from tillroll.plans.ingest import load_sample
+    import pytest
+
+    path = write(tmp_path, "uk_retail.csv", UK, "latin-1")
+    s, _ = load_sample(spark, path)
+    assert s.count() == 5
+    empty = write(tmp_path, "empty.csv", "date,amount\n")
+    with pytest.raises(ValueError):
+        load_sample(spark, empty)

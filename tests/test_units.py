@@ -218,3 +218,55 @@ def test_parse_amount(spark, text, want):
 def test_parse_amount_parity(spark):
     df = spark.createDataFrame([("-5",), ("1e-05",), ("£2.50",)], "t string")
     assert [r[0] for r in df.select(parse_amount("t", parity=True)).collect()] == [5.0, 105.0, 2.5]
+
+
+def test_revenue_series_switch(spark):
+    s = _daily(spark, [1, 2, 3], d(2024, 1, 1))
+    assert timeseries.revenue_series(s, "daily").count() == 3
+    assert rows(timeseries.revenue_series(s, "weekly"), "revenue") == [(6.0,)]
+    assert rows(timeseries.revenue_series(s, "monthly"), "revenue") == [(6.0,)]
+    with pytest.raises(ValueError):
+        timeseries.revenue_series(s, "hourly")
+
+
+def test_retention_matrix_wide(spark):
+    recs = [dict(customer_id="c1", date=d(2024, 1, 3), revenue=1),
+            dict(customer_id="c1", date=d(2024, 3, 3), revenue=1)]
+    m = cohort.retention_matrix(sales_df(spark, recs), max_periods=4).first()
+    assert (m["0"], m["1"], m["2"], m["3"]) == (100.0, None, 100.0, None)
+
+
+def test_ltv_without_dates(spark):
+    s = spark.createDataFrame([("a", 10.0, "o1"), ("a", 20.0, "o2"), ("b", 5.0, "o3")],
+                              "customer_id string, revenue double, order_id string")
+    out = {r["customer_id"]: r for r in ltv.customer_ltv(s).collect()}
+    assert out["a"]["recency_days"] == 30 and out["a"]["customer_age_months"] == 6.0
+    assert out["a"]["order_rate"] == pytest.approx(2 / 6)
+    # churn 30/90, 12 months ahead: mean 15 x rate 1/3 x 8 months
+    assert out["a"]["predicted_future_ltv"] == pytest.approx(15 * (2 / 6) * 12 * (1 - 30 / 90))
+
+
+def test_missing_columns_give_typed_empty_frames(spark):
+    s = spark.createDataFrame([(d(2024, 1, 1), 5.0)], "date timestamp_ntz, revenue double")
+    assert products.top_products(s).columns == ["product", "revenue"]
+    assert products.top_products(s).count() == 0
+    assert basket.product_associations(s).count() == 0
+    assert cohort.cohort_counts(s).columns == ["cohort_month", "period", "customers"]
+    assert performance.product_performance(s).count() == 0
+
+
+def test_recommend_for_product(spark):
+    rules = spark.createDataFrame(
+        [("A", "B", 0.1, 0.5, 2.0), ("B", "C", 0.1, 0.4, 3.0), ("A", "C", 0.1, 0.3, 1.5)],
+        "product_a string, product_b string, support double, confidence double, lift double")
+    got = [(r["recommended"], r["lift"]) for r in
+           basket.recommend_for_product(rules, "C").orderBy("rank").collect()]
+    assert got == [("B", 3.0), ("A", 1.5)]
+    assert [r[0] for r in basket.rule_products(rules).collect()] == ["A", "B", "C"]
+
+
+def test_segment_insights_actions(spark):
+    summ = spark.createDataFrame([("Champions", 3, 10.0), ("At Risk", 2, 5.0)],
+                                 "segment string, customers bigint, avg_monetary double")
+    got = dict(rows(segments.segment_insights(summ), "segment", "action"))
+    assert got == {"Champions": "reward_loyalty", "At Risk": "win_back_campaign"}
