@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import (basket, churn, clean, cohort, currency, customers, forecast,
                                 insights, kpi, ltv, performance, products, segments, timeseries)
 from tillroll.functions import sig_round
+from tillroll.session import apply_defaults
 from tillroll.sources import derived, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +71,15 @@ def _sales_from_text_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.monthly_revenue(cleaned)
 
 
+def _with_defaults(q: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)
+        return q(spark, sf_dir)
+    return run
+
+
 def registry() -> dict[str, Query]:
-    q = _registry()
+    q = {k: _with_defaults(v) for k, v in _registry().items()}
     return {k: (_stable(v, STABLE[k], DIGITS.get(k, 12)) if k in STABLE else v)
             for k, v in q.items()}
 

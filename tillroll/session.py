@@ -33,12 +33,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    for key, value in _REQUIRED.items():
-        spark.conf.set(key, value)
+    apply_defaults(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def apply_defaults(spark: SparkSession) -> SparkSession:
+    """Set the session settings this library relies on (idempotent)."""
+    for key, value in _REQUIRED.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
