@@ -44,7 +44,3 @@ def month_index(col: str | Column) -> Column:
 
 def month_diff(later: str | Column, earlier: str | Column) -> Column:
     return month_index(later) - month_index(earlier)
-
-
-def add_days(col: str | Column, n: str | Column) -> Column:
-    return F.date_add(_c(col), _c(n) if not isinstance(n, int) else F.lit(n))

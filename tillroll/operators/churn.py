@@ -9,7 +9,6 @@ from tillroll.functions import round_even
 from tillroll.operators._common import reuse, with_scalars
 from tillroll.operators.customers import customer_features
 from tillroll.operators.stats import quantiles
-from tillroll.schema import empty
 
 # Fixed values of the churn rules.
 CHURN_DAYS = 90
@@ -147,7 +146,3 @@ def train_churn(sales: DataFrame, num_trees: int = 100, max_depth: int = 6, seed
 def churn_model_scores(sales: DataFrame) -> DataFrame:
     scores, _ = train_churn(sales)
     return scores
-
-
-def empty_scores(spark) -> DataFrame:
-    return empty(spark, "customer_id string, churn_probability double, risk_level string")

@@ -126,6 +126,7 @@ def _registry() -> dict[str, Query]:
         "retention_curve": _on_sales(cohort.retention_curve),
         "cohort_sizes": _on_sales(cohort.cohort_sizes),
         "cohort_summary": _on_sales(cohort.cohort_summary),
+        "retention_matrix": _on_sales(cohort.retention_matrix, max_periods=48),
         # lifetime value
         "customer_ltv": _on_sales(ltv.customer_ltv),
         "ltv_overview": _on_sales(lambda s: ltv.ltv_overview(ltv.customer_ltv(s))),

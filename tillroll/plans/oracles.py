@@ -639,4 +639,7 @@ SELECT (SELECT code FROM hits ORDER BY region_rank, code_rank, country_rank LIMI
         "SELECT CAST(NULL AS VARCHAR) AS product_a, CAST(NULL AS VARCHAR) AS product_b, "
         "CAST(NULL AS DOUBLE) AS support, CAST(NULL AS DOUBLE) AS confidence, "
         "CAST(NULL AS DOUBLE) AS lift WHERE 1 = 0")
+    cells = ", ".join(f'MAX(CASE WHEN period = {i} THEN retention_pct END) AS "{i}"'
+                      for i in range(48))
+    o["retention_matrix"] = _with(_COHORT + f" SELECT cohort_month, {cells} FROM crp GROUP BY 1")
     return o
