@@ -63,36 +63,40 @@ def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0,
     x0 (first label of the fitted series, days since epoch), mu, sc (centre and
     scale of the day number), a, b, c (y = a + b*u + c*u^2), r2, resid_std.
     Groups with fewer than ``MIN_DAYS`` positive days (or fewer than
-    ``min_lines`` lines) are absent."""
+    ``min_lines`` lines) are absent.
+
+    The daily and the weekly series are fitted side by side in the same
+    passes (keyed by group and ``weekly``); the choice between them - weekly
+    from ``MIN_WEEKS`` positive weeks on - is applied at the end."""
     keys = _keys(key)
+    gk = keys + ["weekly"]
     dg = day_groups(sales, key) if days is None else days
-    daily = _positive(dg, keys)
+    daily = _positive(dg, keys).withColumn("weekly", F.lit(False))
     weekly = _positive(dg.groupBy(*keys, week_end_label("date").alias("date"))
-                         .agg(F.sum("_rev").alias("_rev")), keys)
-    dstat = daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_days"),
-                                     F.min("date").alias("d_min"), F.max("date").alias("d_max"))
-    wstat = weekly.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_weeks"))
-    choice = (dstat.join(wstat, keys, "left")
-                   .filter(F.col("n_days") >= MIN_DAYS)
-                   .withColumn("weekly", F.coalesce(F.col("n_weeks"), F.lit(0)) >= MIN_WEEKS))
+                         .agg(F.sum("_rev").alias("_rev")), keys).withColumn("weekly", F.lit(True))
+    pts = reuse(daily.unionByName(weekly)
+                     .select(*gk, "date", F.unix_date("date").alias("x"), "y"))
+    # pass 1: size, span, centre and scale of the day number, mean of y
+    s1 = pts.groupBy(*gk).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.avg("x").alias("mu"),
+        ((F.max("x") - F.min("x")) / F.lit(2.0)).alias("sc"), F.avg("y").alias("ybar"),
+        F.min("date").alias("d_min"), F.max("date").alias("d_max"))
+    wk = F.col("weekly")
+    choice = s1.groupBy(*keys).agg(
+        F.max(F.when(~wk, F.col("n"))).alias("n_days"), F.max(F.when(wk, F.col("n"))).alias("n_weeks"),
+        F.max(F.when(~wk, F.col("d_min"))).alias("d_min"),
+        F.max(F.when(~wk, F.col("d_max"))).alias("d_max"))
+    choice = (choice.filter(F.col("n_days") >= MIN_DAYS)
+                    .select(*keys, "d_min", "d_max",
+                            (F.coalesce(F.col("n_weeks"), F.lit(0)) >= MIN_WEEKS).alias("weekly")))
     if min_lines:
         lines = dg.groupBy(*keys).agg(F.sum("_lines").alias("_lines"))
         choice = choice.join(lines, keys).filter(F.col("_lines") >= min_lines).drop("_lines")
-    choice = reuse(choice)
-    pts = reuse(daily.withColumn("_w", F.lit(False))
-                     .unionByName(weekly.withColumn("_w", F.lit(True)))
-                     .join(choice.select(*keys, "weekly"), keys)
-                     .filter(F.col("_w") == F.col("weekly"))
-                     .select(*keys, F.unix_date("date").alias("x"), "y"))
-    # pass 1: centre and scale of the day number, mean of y
-    s1 = pts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"),
-        F.avg("x").alias("mu"), ((F.max("x") - F.min("x")) / F.lit(2.0)).alias("sc"),
-        F.avg("y").alias("ybar"))
-    p = reuse(pts.join(s1, keys).withColumn("u", (F.col("x") - F.col("mu")) / F.col("sc")))
+    p = reuse(pts.join(s1.select(*gk, "mu", "sc", "ybar"), gk)
+                 .withColumn("u", F.try_divide(F.col("x") - F.col("mu"), F.col("sc"))))
     u, y = F.col("u"), F.col("y")
     # pass 2: power sums -> normal equations
-    s2 = p.groupBy(*keys).agg(
+    s2 = p.groupBy(*gk).agg(
         F.sum(u).alias("S1"), F.sum(u * u).alias("S2"), F.sum(u * u * u).alias("S3"),
         F.sum(u * u * u * u).alias("S4"), F.sum(y).alias("T0"), F.sum(u * y).alias("T1"),
         F.sum(u * u * y).alias("T2"), F.sum((y - F.col("ybar")) * (y - F.col("ybar"))).alias("SST"))
@@ -103,19 +107,21 @@ def quadratic_fit(sales: DataFrame, key: str | None = None, min_lines: int = 0,
     da = T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2)
     db = S0 * (T1 * S4 - S3 * T2) - T0 * (S1 * S4 - S3 * S2) + S2 * (S1 * T2 - T1 * S2)
     dc = S0 * (S2 * T2 - T1 * S3) - S1 * (S1 * T2 - T1 * S2) + T0 * (S1 * S3 - S2 * S2)
-    coef = s1.join(s2, keys).select(*keys, "n", "x0", "mu", "sc", "SST",
-                                    (da / det).alias("a"), (db / det).alias("b"),
-                                    (dc / det).alias("c"))
+    # a series too short for a quadratic (the one not chosen) gets NULL coefficients
+    coef = s1.join(s2, gk).select(*gk, "n", "x0", "mu", "sc", "SST",
+                                  F.try_divide(da, det).alias("a"), F.try_divide(db, det).alias("b"),
+                                  F.try_divide(dc, det).alias("c"))
     # pass 3: residuals
-    fitted = p.join(coef.select(*keys, "a", "b", "c"), keys)
+    fitted = p.join(coef.select(*gk, "a", "b", "c"), gk)
     resid = y - (F.col("a") + F.col("b") * u + F.col("c") * u * u)
-    s3 = fitted.groupBy(*keys).agg(F.sum(resid * resid).alias("SSE"),
-                                   F.stddev_pop(resid).alias("resid_std"))
-    out = (choice.select(*keys, "weekly", "d_min", "d_max").join(coef, keys).join(s3, keys)
+    s3 = fitted.groupBy(*gk).agg(F.sum(resid * resid).alias("SSE"),
+                                 F.stddev_pop(resid).alias("resid_std"))
+    out = (choice.join(coef, gk).join(s3, gk)
                  .withColumn("r2", F.when(F.col("SST") == 0, F.when(F.col("SSE") == 0, 1.0)
                                                                .otherwise(0.0))
                                     .otherwise(F.lit(1.0) - F.col("SSE") / F.col("SST"))))
-    return out.drop("SSE", "SST")
+    return out.select(*keys, "weekly", "d_min", "d_max", "n", "x0", "mu", "sc", "a", "b", "c",
+                      "resid_std", "r2")
 
 
 def _predict(x_days: Column) -> Column:
