@@ -46,14 +46,9 @@ def basket_items(sales: DataFrame, max_products: int = 50) -> DataFrame:
                  .select("order_id", "product", (F.col("_rev") > 0).alias("in_basket")))
 
 
-def _bit(words: list[str], i) -> F.Column:
-    """Bit ``i`` (a Column or int) of a multi-word mask."""
-    if isinstance(i, int):
-        return F.shiftright(F.col(words[i // BITS]), i % BITS).bitwiseAND(F.lit(1))
-    word = F.lit(0).cast("long")
-    for w, name in enumerate(words):
-        word = F.when(F.floor(i / BITS) == w, F.col(name)).otherwise(word)
-    return F.call_function("shiftright", word, (i % BITS).cast("int")).bitwiseAND(F.lit(1))
+def _bit(words: list[str], i: int) -> F.Column:
+    """Bit ``i`` of a multi-word mask."""
+    return F.shiftright(F.col(words[i // BITS]), i % BITS).bitwiseAND(F.lit(1))
 
 
 def cooccurrence(sales: DataFrame, max_products: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,16 +65,19 @@ def cooccurrence(sales: DataFrame, max_products: int = 50) -> tuple[DataFrame, D
     lines = non_null(sales, "order_id", "product").join(idx, "product")
     rev = F.col("revenue") if has(sales, "revenue") else F.lit(1)
     cells = lines.groupBy("order_id", "idx").agg(F.sum(rev).alias("_rev"))
+    in_basket = F.col("_rev") > 0
     masks = cells.groupBy("order_id").agg(*[
-        F.coalesce(F.bit_or(F.when((F.col("_rev") > 0) & (F.floor(F.col("idx") / BITS) == w),
+        F.coalesce(F.bit_or(F.when(in_basket & (F.floor(F.col("idx") / BITS) == w),
                                    F.call_function("shiftleft", F.lit(1).cast("long"),
                                                    (F.col("idx") % BITS).cast("int")))),
                    F.lit(0).cast("long")).alias(name)
-        for w, name in enumerate(words)])
-    baskets = reuse(masks.groupBy(*words).agg(F.count(F.lit(1)).alias("cnt")))
+        for w, name in enumerate(words)],
+        # the basket's item numbers (at most max_products per order)
+        F.sort_array(F.collect_list(F.when(in_basket, F.col("idx")))).alias("items"))
+    baskets = reuse(masks.groupBy(*words).agg(F.count(F.lit(1)).alias("cnt"),
+                                              F.first("items").alias("items")))
     total = baskets.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n"))
-    members = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: _bit(words, i) == 1)
-    per_item = baskets.select(F.explode(members).alias("a"), "cnt", *words)
+    per_item = baskets.select(F.explode("items").alias("a"), "cnt", *words)
     row = per_item.groupBy("a").agg(F.array(*[
         F.sum(F.when(_bit(words, b) == 1, F.col("cnt")).otherwise(F.lit(0))).cast("bigint")
         for b in range(k)]).alias("row"))
