@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.operators import kpi, products
-from tillroll.operators._common import band
+from tillroll.operators._common import band, reuse
 from tillroll.schema import has
 
 INSIGHT_COLS = ["seq", "area", "code", "severity", "subject", "value"]
@@ -46,12 +46,15 @@ def kpi_insights(sales: DataFrame) -> DataFrame:
     """Growth band, best month, top product, customer-growth sign, AOV."""
     parts = []
     g = F.col("revenue_growth")
-    parts.append(_row(kpi.revenue_growth_rate(sales), 1, "revenue",
+    monthly = reuse(kpi.monthly_totals(sales)) if has(sales, "date", "revenue") else None
+    growth = (kpi.last_step_growth(monthly, "revenue", "revenue_growth") if monthly is not None
+              else kpi.revenue_growth_rate(sales))
+    parts.append(_row(growth, 1, "revenue",
                       F.when(g > 10, "strong_growth").when(g > 0, "modest_growth")
                        .when(g < -10, "sharp_decline").when(g < 0, "slight_decline"),
                       F.when(g > 0, "positive").otherwise("negative"), None, g))
     if has(sales, "date", "revenue"):
-        best = kpi.monthly_totals(sales).agg(
+        best = monthly.agg(
             F.max_by("month", F.struct(F.col("revenue"), -F.unix_date("month"))).alias("m"),
             F.max("revenue").alias("r"))
         parts.append(_row(best.filter(F.col("m").isNotNull()), 2, "revenue", F.lit("best_month"),
@@ -149,7 +152,7 @@ def sales_observations(sales: DataFrame) -> DataFrame:
     """Seasonality verdicts: best / weakest month, trend band, seasonality."""
     from tillroll.operators.timeseries import seasonality_stats
 
-    s = seasonality_stats(sales)
+    s = reuse(seasonality_stats(sales))   # one row, read by the four rules
     a = F.col("avg_mom_growth")
     parts = [
         _row(s, 1, "revenue", F.lit("best_month"), F.lit("info"),

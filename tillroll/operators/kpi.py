@@ -29,7 +29,7 @@ def totals(sales: DataFrame) -> DataFrame:
          .otherwise(F.lit(0.0)))
 
 
-def _last_step_growth(series: DataFrame, value: str, out: str) -> DataFrame:
+def last_step_growth(series: DataFrame, value: str, out: str) -> DataFrame:
     """Growth of the last period present over the one before it.
 
     ``series`` is already aggregated to one row per month (a few hundred rows
@@ -50,7 +50,7 @@ def revenue_growth_rate(sales: DataFrame) -> DataFrame:
     spark = sales.sparkSession
     if not has(sales, "date", "revenue"):
         return spark.range(1).select(F.lit(0.0).alias("revenue_growth"))
-    return _last_step_growth(monthly_totals(sales), "revenue", "revenue_growth")
+    return last_step_growth(monthly_totals(sales), "revenue", "revenue_growth")
 
 
 def new_customers_by_month(sales: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def customer_growth_rate(sales: DataFrame) -> DataFrame:
     spark = sales.sparkSession
     if not has(sales, "date", "customer_id"):
         return spark.range(1).select(F.lit(0.0).alias("customer_growth"))
-    return _last_step_growth(new_customers_by_month(sales), "new_customers", "customer_growth")
+    return last_step_growth(new_customers_by_month(sales), "new_customers", "customer_growth")
 
 
 def kpi_summary(sales: DataFrame) -> DataFrame:
