@@ -40,9 +40,13 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_nationkey", F.col("n_name").alias("region")))
     cust_region = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
         "c_custkey", "region")
-    out = (li.join(orders, li.order_id == orders.o_orderkey)
-             .join(part, li.l_partkey == part.p_partkey)
-             .join(cust_region, orders.customer_id == cust_region.c_custkey))
+    # Join order for scale (no cost-based reordering is assumed): the region
+    # travels with the orders, so only two lineitem-sized shuffles remain
+    # (by order key, then by part key); AQE turns either into a broadcast
+    # join when its other side is measured small, and splits hot keys.
+    orders_region = orders.join(cust_region, orders.customer_id == cust_region.c_custkey)
+    out = (li.join(orders_region, li.order_id == orders_region.o_orderkey)
+             .join(part, li.l_partkey == part.p_partkey))
     return out.select("date", "revenue", "quantity", "customer_id", "product", "category",
                       "region", "order_id")
 
