@@ -71,4 +71,5 @@ def sig_round(col: str | Column, digits: int = 12) -> Column:
     Used on floating aggregates (averages / sums of doubles) whose last bits
     depend on the order in which partitions are combined, so that results are
     reproducible across runs and engines."""
-    return F.format_string(f"%.{digits - 1}e", _c(col)).cast("double")
+    c = _c(col)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c).cast("double"))
