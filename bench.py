@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tillroll.operators import (basket, churn, cohort, customers, forecast, kpi,  # noqa: E402
                                 ltv, performance, products, timeseries)
+from tillroll.operators._common import release  # noqa: E402
 from tillroll.session import get_spark  # noqa: E402
 from tillroll.sources import fixtures  # noqa: E402
 from tillroll.sources.tables import write_table  # noqa: E402
@@ -61,6 +62,7 @@ def main() -> None:
     for name, op in HEADLINE.items():
         def run():
             # operators persist their intermediates: start every run cold
+            release()
             spark.catalog.clearCache()
             t0 = time.perf_counter()
             op(sales).write.format("noop").mode("overwrite").save()

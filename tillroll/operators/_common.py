@@ -42,6 +42,9 @@ def band(value: Column, cuts: list[tuple[float, object]], default: object,
     return expr.otherwise(F.lit(default))
 
 
+_PERSISTED: list[DataFrame] = []
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Persist an intermediate that later steps read several times.
 
@@ -49,7 +52,16 @@ def reuse(df: DataFrame) -> DataFrame:
     (per customer, per day and group, per basket): the raw scan and its
     shuffle run once; later passes read the cached blocks (memory, spilling
     to disk).  A lost executor's blocks are recomputed from lineage.
-    Callers may ``spark.catalog.clearCache()`` between analyses."""
+    ``release()`` drops everything persisted this way."""
     from pyspark import StorageLevel
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(out)
+    return out
+
+
+def release() -> None:
+    """Unpersist the intermediates persisted by ``reuse`` (a DataFrame that
+    still refers to them recomputes them if it runs again)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)

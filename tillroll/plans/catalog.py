@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import (basket, churn, clean, cohort, currency, customers, forecast,
                                 insights, kpi, ltv, performance, products, segments, timeseries)
 from tillroll.functions import sig_round
+from tillroll.operators._common import release
 from tillroll.session import apply_defaults
 from tillroll.sources import derived, fixtures
 
@@ -74,6 +75,7 @@ def _sales_from_text_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with_defaults(q: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         apply_defaults(spark)
+        release()   # intermediates of the previous query are not needed any more
         return q(spark, sf_dir)
     return run
 
