@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master and master.startswith("local"):
         # local mode: the driver heap is the whole cluster's memory
-        builder = builder.config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("TILLROLL_DRIVER_MEMORY", "4g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
