@@ -34,7 +34,3 @@ def has(df: DataFrame, *cols: str) -> bool:
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     """Empty frame with the given DDL schema (lazy, no job)."""
     return spark.createDataFrame([], ddl)
-
-
-def present_flags(df: DataFrame) -> dict[str, bool]:
-    return {c: c in df.columns for c in STANDARD_COLUMNS}
