@@ -50,19 +50,23 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of this session.
 
-    The cluster's setting always wins.  Only when nothing is configured (a
-    local test run) is a fresh scratch folder created and registered.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    In this order: the folder the caller set with ``setCheckpointDir``, the
+    session's ``spark.checkpoint.dir``, and, for a local master only, a fresh
+    scratch folder.  On a cluster without a shared folder this raises: a
+    machine-local folder there would lose data with its machine."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -75,10 +79,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def env_sf_dir(default: str = "/root/testdata/sf0.01") -> str:
-    return os.environ.get("TILLROLL_SF_DIR", default)
-
-
 _SHIPPED: set[str] = set()
 
 
