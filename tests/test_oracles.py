@@ -10,9 +10,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from tillroll.plans.catalog import registry
+from tillroll.plans.oracles import oracles
 
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLES = oracles()
+QUERIES = registry()
 TABLES = ("region nation customer supplier part orders lineitem events").split()
 
 
