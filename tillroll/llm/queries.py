@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tillroll.llm.packing import op4_packing
 from tillroll.llm.pii import op9_pii
 from tillroll.llm.sharding import op3_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op9_pii": op9_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+}
