@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tillroll.llm.packing import op4_packing
 from tillroll.llm.pii import op9_pii
+from tillroll.llm.quality import op6_quality
 from tillroll.llm.sharding import op3_sharding
 from tillroll.llm.simhash import op7_simhash
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op9_pii": op9_pii,
 }
