@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillroll.llm.ann import op2_ann
 from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tillroll.llm.packing import op4_packing
 from tillroll.llm.pii import op9_pii
 from tillroll.llm.quality import op6_quality
 from tillroll.llm.sharding import op3_sharding
 from tillroll.llm.simhash import op7_simhash
+from tillroll.llm.topk import OP5_SQL, op5_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ann": op2_ann,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op9_pii": op9_pii,
@@ -24,4 +28,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op5_topk": OP5_SQL,
 }
