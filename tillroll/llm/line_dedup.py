@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tillroll.llm._common import P, table, without, written
 
 CLASS = 16        # lengths of one class: 16c to 16c + 15
-MAX_REST = 1024   # longer remainders are halved again before variants are made
+MAX_REST = 64     # longer remainders are halved again before variants are made
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,7 +108,11 @@ def variants(cand: DataFrame) -> DataFrame:
 def near_lines(cand: DataFrame) -> DataFrame:
     """(h, near): the earliest position of a line within one edit, for lines
     that have an earlier one."""
-    rows = variants(cand)
+    made = variants(cand)
+    # most keys belong to one line only: those go before anything else
+    shared = (made.groupBy("variant").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+              .where("low < high").select("variant"))
+    rows = written(made.join(shared, "variant", "left_semi"), "line-variants")
     who = F.struct("pos", "h", "key")
     centre = F.col("place") == -1
     groups = rows.groupBy("variant", "place").agg(F.min(who).alias("who"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm.ann import op2_ann
 from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
+from tillroll.llm.mixing import op8_mixing
 from tillroll.llm.packing import op4_packing
 from tillroll.llm.pii import op9_pii
 from tillroll.llm.quality import op6_quality
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
 }
 
