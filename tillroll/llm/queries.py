@@ -14,6 +14,7 @@ from tillroll.llm.pii import op9_pii
 from tillroll.llm.quality import op6_quality
 from tillroll.llm.sharding import op3_sharding
 from tillroll.llm.simhash import op7_simhash
+from tillroll.llm.substring import op10_substring_dedup
 from tillroll.llm.topk import OP5_SQL, op5_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
