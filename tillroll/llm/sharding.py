@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled by a seeded key inside each source, the i-th of the n rows
-of a source gets the fractional rank (i + 1/2) / n, and all rows are sorted by
-it.  Every stretch of that order holds the sources in their global
+of a source gets the fractional rank (i + u) / n, and all rows are sorted by
+it; u is a seeded number from 0 to 1 per source, so that small sources do not
+meet in one place.  Every stretch of that order holds the sources in their global
 proportions, so cutting it into equal stretches gives shards that all match
 the mixture, with row counts at most one apart.
 
@@ -40,7 +41,7 @@ def stratified_shards(rows: DataFrame, n_shards: int = N_SHARDS, by: str = "sour
     part = lambda frac: F.least(F.floor(frac * parts), F.lit(parts - 1)).cast("long")
     ranked = positions(keyed.withColumn(f"{P}part", part(unit(F.col(f"{P}key")))),
                        [f"{P}by"], f"{P}part", [f"{P}key"], f"{P}rank", f"{P}size")
-    frac = (F.col(f"{P}rank") + F.lit(0.5)) / F.col(f"{P}size")
+    frac = (F.col(f"{P}rank") + unit(shuffle_key(seed, f"{P}by"))) / F.col(f"{P}size")
     placed = positions(ranked.withColumn(f"{P}frac", frac).withColumn(f"{P}part", part(F.col(f"{P}frac"))),
                        [], f"{P}part", [f"{P}frac", f"{P}key", f"{P}by"], f"{P}pos")
     pos = F.col(f"{P}pos")
