@@ -111,7 +111,7 @@ def test_currency_from_files(spark, tmp_path):
     assert got == {"uk.csv": "GBP", "eu.csv": "EUR", "au.csv": "AUD"}
     par = {r["path"].rsplit("/", 1)[1]: r["code"]
            for r in currency.currency_from_files(spark, [uk, eu, au], parity=True).collect()}
-    assert par == {"uk.csv": "GBP", "eu.csv": "USD", "au.csv": "USD"}
+    assert par == {"uk.csv": "GBP", "eu.csv": "EUR", "au.csv": "USD"}
 
 
 def test_currency_from_region_and_name(spark):
@@ -139,9 +139,10 @@ def test_overrides_and_duplicates(spark):
     df, rep = standardize(raw, overrides={"mystery": "product"}, sniff=False)
     assert set(df.columns) == {"product", "quantity"}
     assert ("mystery", "manual") in rows(rep, "column_name", "method")
-    import pytest
-    with pytest.raises(ValueError):
-        standardize(raw, overrides={"mystery": "quantity"}, sniff=False)
+    # a manual choice replaces a wrong automatic one
+    df, rep = standardize(raw, overrides={"mystery": "quantity"}, sniff=False)
+    assert set(df.columns) == {"quantity", "qty"} and df.first()["quantity"] == "x"
+    assert ("qty", "unmapped") in rows(rep, "column_name", "method")
 
 
 def test_load_sample_latin1_and_empty(spark, tmp_path):

@@ -11,7 +11,6 @@ sys.path.insert(0, os.path.join(ROOT, "scripts"))
 
 from bench import HEADLINE  # noqa: E402
 from plan_report import rows_scanned  # noqa: E402
-from tillroll.operators._common import release  # noqa: E402
 from tillroll.sources import fixtures  # noqa: E402
 from tillroll.sources.tables import write_table  # noqa: E402
 
@@ -26,7 +25,6 @@ def sales(spark):
 
 @pytest.mark.parametrize("name", sorted(HEADLINE))
 def test_raw_passes_and_no_cartesian(spark, sales, name):
-    release()
     spark.catalog.clearCache()
     df = HEADLINE[name](sales)
     qe = df._jdf.queryExecution()

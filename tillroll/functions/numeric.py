@@ -25,13 +25,18 @@ def ratio(num: str | Column, den: str | Column) -> Column:
 
 
 def pct_change(cur: str | Column, prev: str | Column) -> Column:
-    """cur / prev - 1, times 100 (a ``pct_change() * 100``)."""
-    return (dbl(cur) / dbl(prev) - F.lit(1.0)) * F.lit(100.0)
+    """cur / prev - 1, times 100; NULL when prev is 0 or missing."""
+    return (ratio(cur, prev) - F.lit(1.0)) * F.lit(100.0)
+
+
+def share_pct(part: str | Column, total: str | Column) -> Column:
+    """part / total * 100; NULL when total is 0 or missing."""
+    return ratio(part, total) * F.lit(100.0)
 
 
 def growth_pct(cur: str | Column, prev: str | Column) -> Column:
     """(cur - prev) / prev * 100, rounded to 2, 0 when prev is 0 or missing."""
-    g = (dbl(cur) - dbl(prev)) / dbl(prev) * F.lit(100.0)
+    g = ratio(dbl(cur) - dbl(prev), prev) * F.lit(100.0)
     return F.when(_c(prev).isNull() | (dbl(prev) == 0), F.lit(0.0)).otherwise(F.bround(g, 2))
 
 

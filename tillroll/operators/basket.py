@@ -1,13 +1,14 @@
 """Market basket: item co-occurrence, association rules, recommendations.
 
-Pair counts are the Gram matrix of the order x product 0/1 matrix over the
-top ``max_products`` products.  Instead of emitting every pair inside an
-order, each order's basket is folded into a bitmask (``bit_or`` after a
-map-side-combined (order, product) aggregate), identical baskets are counted
-once, and every basket row contributes to one row of the co-occurrence matrix
-per item it contains (``max_products`` conditional sums).  Work per order is
-linear in its basket size; the pair table is only materialised from the
-(max_products x max_products) aggregate.
+A product whose own support is below the rule threshold cannot be in a rule, so
+the item counts come first and only frequent products go on.  Each order's
+basket is then one sorted list of frequent items; identical baskets are counted
+once, and pairs are counted over the distinct baskets, weighted by their count,
+with map-side combining.  No order is joined with another.
+
+Scale: frequent items are at most (mean basket size) / ``min_support``, which
+bounds the broadcast item table, the length of a basket list and the pair
+table.
 """
 
 from __future__ import annotations
@@ -15,105 +16,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions import round_even
+from tillroll.functions import ratio, round_even
 from tillroll.operators._common import non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
-BITS = 62          # bits used per LongType word
 MIN_LIFT = 1.1     # fixed value: rules must have lift above this
 RULES_SCHEMA = ("product_a string, product_b string, support double, confidence double, "
                 "lift double")
 
 
-def top_basket_products(sales: DataFrame, max_products: int = 50) -> DataFrame:
-    """(product, lines, idx): the ``max_products`` most frequent products by
-    line count (ties by name); ``idx`` numbers them in name order."""
-    top = (non_null(sales, "product").groupBy("product").agg(F.count(F.lit(1)).alias("lines"))
-           .orderBy(F.col("lines").desc(), F.col("product")).limit(max_products))
-    # at most max_products rows: the window and later broadcasts are bounded
-    return top.withColumn("idx", F.row_number().over(Window.orderBy("product")) - 1)
+def top_basket_products(sales: DataFrame, max_products: int) -> DataFrame:
+    """(product): the ``max_products`` most frequent products by line count
+    (ties by name)."""
+    lines = non_null(sales, "product").groupBy("product").agg(F.count(F.lit(1)).alias("lines"))
+    return lines.orderBy(F.col("lines").desc(), F.col("product")).limit(max_products).select("product")
 
 
-def basket_items(sales: DataFrame, max_products: int = 50) -> DataFrame:
-    """Long basket matrix: (order_id, product, in_basket) for orders with any
-    top product; ``in_basket`` when the line revenue of the pair sums above 0."""
+def basket_items(sales: DataFrame, max_products: int | None = None) -> DataFrame:
+    """Long basket matrix: (order_id, product, in_basket); ``in_basket`` when the
+    line revenue of the pair sums above 0.  ``max_products`` keeps the lines of
+    the most frequent products only."""
     if not has(sales, "order_id", "product"):
         return empty(sales.sparkSession, "order_id string, product string, in_basket boolean")
-    top = F.broadcast(top_basket_products(sales, max_products).select("product"))
-    lines = non_null(sales, "order_id", "product").join(top, "product", "left_semi")
+    lines = non_null(sales, "order_id", "product")
+    if max_products is not None:
+        lines = lines.join(F.broadcast(top_basket_products(sales, max_products)), "product", "left_semi")
     rev = F.col("revenue") if has(sales, "revenue") else F.lit(1)
     return (lines.groupBy("order_id", "product").agg(F.sum(rev).alias("_rev"))
-                 .select("order_id", "product", (F.col("_rev") > 0).alias("in_basket")))
+                 .select("order_id", "product", F.coalesce(F.col("_rev") > 0, F.lit(False)).alias("in_basket")))
 
 
-def _bit(words: list[str], i: int) -> F.Column:
-    """Bit ``i`` of a multi-word mask."""
-    return F.shiftright(F.col(words[i // BITS]), i % BITS).bitwiseAND(F.lit(1))
-
-
-def cooccurrence(sales: DataFrame, max_products: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cooccurrence(sales: DataFrame, min_support: float = 0.0,
+                 max_products: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (items, pairs, total):
 
-    items: (idx, product, orders) - orders whose basket holds the product;
-    pairs: (a, b, both) for a < b with both > 0;
-    total: one row (n) - orders with at least one top product.
+    items: (product, orders) - orders whose basket holds the product, for
+    products in at least ``min_support`` of the orders;
+    pairs: (product_a, product_b, both) for a before b by name;
+    total: one row (n) - orders with at least one line of a product.
     """
-    top = reuse(top_basket_products(sales, max_products))
-    k = max_products
-    words = [f"w{w}" for w in range((k + BITS - 1) // BITS)]
-    idx = F.broadcast(top.select("product", "idx"))
-    lines = non_null(sales, "order_id", "product").join(idx, "product")
-    rev = F.col("revenue") if has(sales, "revenue") else F.lit(1)
-    cells = lines.groupBy("order_id", "idx").agg(F.sum(rev).alias("_rev"))
-    in_basket = F.col("_rev") > 0
-    masks = cells.groupBy("order_id").agg(*[
-        F.coalesce(F.bit_or(F.when(in_basket & (F.floor(F.col("idx") / BITS) == w),
-                                   F.call_function("shiftleft", F.lit(1).cast("long"),
-                                                   (F.col("idx") % BITS).cast("int")))),
-                   F.lit(0).cast("long")).alias(name)
-        for w, name in enumerate(words)],
-        # the basket's item numbers (at most max_products per order)
-        F.sort_array(F.collect_list(F.when(in_basket, F.col("idx")))).alias("items"))
-    baskets = reuse(masks.groupBy(*words).agg(F.count(F.lit(1)).alias("cnt"),
-                                              F.first("items").alias("items")))
-    total = baskets.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("n"))
-    per_item = baskets.select(F.explode("items").alias("a"), "cnt", *words)
-    row = per_item.groupBy("a").agg(F.array(*[
-        F.sum(F.when(_bit(words, b) == 1, F.col("cnt")).otherwise(F.lit(0))).cast("bigint")
-        for b in range(k)]).alias("row"))
-    row = reuse(row)   # max_products rows, read for items and for pairs
-    items = (row.select(F.col("a").alias("idx"), F.get("row", F.col("a")).alias("orders"))
-                .join(idx, "idx"))
-    pairs = (row.select("a", F.posexplode("row").alias("b", "both"))
-                .filter((F.col("b") > F.col("a")) & (F.col("both") > 0)))
+    cells = reuse(basket_items(sales, max_products))
+    total = cells.agg(F.count_distinct("order_id").alias("n"))
+    held = cells.filter("in_basket").select("order_id", "product")
+    items = with_scalars(held.groupBy("product").agg(F.count(F.lit(1)).alias("orders")), total)
+    items = reuse(items.filter(ratio("orders", "n") >= F.lit(float(min_support))).select("product", "orders"))
+    # at most (mean basket size) / min_support rows; left to the planner without one
+    known = F.broadcast(items.select("product")) if min_support > 0 else items.select("product")
+    baskets = (held.join(known, "product").groupBy("order_id")
+               .agg(F.sort_array(F.collect_list("product")).alias("items"))
+               .groupBy("items").agg(F.count(F.lit(1)).alias("cnt")))
+    first = baskets.select(F.posexplode("items").alias("at", "product_a"), "items", "cnt")
+    pairs = (first.select("product_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items")))
+                          .alias("product_b"), "cnt")
+             .groupBy("product_a", "product_b").agg(F.sum("cnt").alias("both")))
     return items, pairs, total
 
 
-def product_associations(sales: DataFrame, min_support: float = 0.02, max_products: int = 50,
-                         top: int = 30) -> DataFrame:
+def product_associations(sales: DataFrame, min_support: float = 0.02, max_products: int | None = None,
+                         top: int | None = None) -> DataFrame:
     """Pair rules a -> b (a before b by name): support, confidence of a -> b
-    and lift; kept when support >= ``min_support`` and lift > 1.1; the
-    ``top`` rules by (rounded) lift."""
+    and lift; kept when support >= ``min_support`` and lift > 1.1.  ``top``
+    keeps the best rules by (rounded) lift, ``max_products`` looks at the most
+    frequent products only."""
     if not has(sales, "order_id", "product"):
         return empty(sales.sparkSession, RULES_SCHEMA)
-    items, pairs, total = cooccurrence(sales, max_products)
-    ia = F.broadcast(items.select(F.col("idx").alias("a"), F.col("product").alias("product_a"),
-                                  F.col("orders").alias("n_a")))
-    ib = F.broadcast(items.select(F.col("idx").alias("b"), F.col("product").alias("product_b"),
-                                  F.col("orders").alias("n_b")))
-    r = with_scalars(pairs.join(ia, "a").join(ib, "b"), total)
-    support = F.col("both") / F.col("n")
+    items, pairs, total = cooccurrence(sales, min_support, max_products)
+    ia = items.select(F.col("product").alias("product_a"), F.col("orders").alias("n_a"))
+    ib = items.select(F.col("product").alias("product_b"), F.col("orders").alias("n_b"))
+    frequent = with_scalars(pairs, total).withColumn("_support", F.col("both") / F.col("n")) \
+        .filter(F.col("_support") >= F.lit(float(min_support)))
+    r = frequent.join(ia, "product_a").join(ib, "product_b")
     conf = F.col("_support") / (F.col("n_a") / F.col("n"))
     lift = F.col("_confidence") / (F.col("n_b") / F.col("n"))
-    rules = (r.withColumn("_support", support).withColumn("_confidence", conf)
-              .withColumn("_lift", lift)
-              .filter((F.col("_support") >= F.lit(float(min_support))) &
-                      (F.col("_lift") > F.lit(MIN_LIFT))))
+    rules = (r.withColumn("_confidence", conf).withColumn("_lift", lift)
+              .filter(F.col("_lift") > F.lit(MIN_LIFT)))
     out = rules.select("product_a", "product_b",
                        round_even("_support", 4).alias("support"),
                        round_even("_confidence", 4).alias("confidence"),
                        round_even("_lift", 3).alias("lift"))
-    return out.orderBy(F.col("lift").desc(), "product_a", "product_b").limit(top)
+    out = out.orderBy(F.col("lift").desc(), "product_a", "product_b")
+    return out if top is None else out.limit(top)
 
 
 def recommendations(rules: DataFrame, n: int = 5) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions import round_even
+from tillroll.functions import round_even, share_pct
 from tillroll.operators._common import reuse, with_scalars
 from tillroll.operators.customers import customer_features
 from tillroll.operators.stats import quantiles
@@ -79,9 +79,9 @@ def churn_insights(scores: DataFrame) -> DataFrame:
          .alias("high_value_high_risk"),
         F.first("median_aov").alias("median_aov"),
     ).select("customers", "high_risk",
-             (F.col("high_risk") / F.col("customers") * 100).alias("high_risk_pct"),
+             share_pct("high_risk", "customers").alias("high_risk_pct"),
              "medium_risk",
-             (F.col("medium_risk") / F.col("customers") * 100).alias("medium_risk_pct"),
+             share_pct("medium_risk", "customers").alias("medium_risk_pct"),
              "high_value_high_risk", "median_aov")
 
 
@@ -89,12 +89,24 @@ def churn_insights(scores: DataFrame) -> DataFrame:
 # Random-forest model (pyspark.ml; distributed training)
 # --------------------------------------------------------------------------
 
-def _split(features: DataFrame, test_fraction: float, seed: int) -> DataFrame:
-    """Deterministic hash split, applied per class, so both classes keep
-    about ``test_fraction`` of their rows in the test part (stratified
-    without a window over the whole table)."""
-    h = F.abs(F.xxhash64(F.col("customer_id").cast("string"), F.lit(seed))) % 1_000_000
-    return features.withColumn("is_test", h < int(test_fraction * 1_000_000))
+def split_stratified(features: DataFrame, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``is_test``: in each class a share ``test_fraction`` of the rows
+    (rounded, but at least one row stays on either side of a class of two or
+    more), in an order hashed from the customer.
+
+    Rows are numbered in 4,096 hash ranges per class whose counts give each
+    range its start, so no task orders a whole class."""
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("customer_id").cast("string")))
+    rows = features.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 3))
+    parts = rows.groupBy("churned", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    by_class = Window.partitionBy("churned")                 # at most 4,096 rows each
+    starts = parts.select("churned", "_part", (F.sum("_n").over(by_class.orderBy("_part")) - F.col("_n")).alias("_start"),
+                          F.sum("_n").over(by_class).alias("_all"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("churned", "_part").orderBy("_key", "customer_id"))
+    size = F.greatest(F.round(F.col("_all") * F.lit(test_fraction)), F.lit(1))
+    size = F.least(size, F.col("_all") - 1)
+    return (rows.join(F.broadcast(starts), ["churned", "_part"]).withColumn("is_test", place <= size)
+            .drop("_key", "_part", "_start", "_all"))
 
 
 def train_churn(sales: DataFrame, num_trees: int = 100, max_depth: int = 6, seed: int = 42,
@@ -102,8 +114,9 @@ def train_churn(sales: DataFrame, num_trees: int = 100, max_depth: int = 6, seed
     """Fit scaler + random forest on the training part with balanced class
     weights; returns (scores DataFrame, metrics dict).
 
-    Falls back to the rule score when fewer than ``min_customers`` customers
-    or a single class exist."""
+    Falls back to the rule score when there are fewer than ``min_customers``
+    customers, a single class, or a class of fewer than two.  ``method`` says
+    which of the two ("model" or "rule") made the scores."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
@@ -118,11 +131,11 @@ def train_churn(sales: DataFrame, num_trees: int = 100, max_depth: int = 6, seed
     counts = {r["churned"]: r["n"] for r in
               f.groupBy("churned").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    if len(counts) < 2 or total < min_customers:
-        return churn_rule(sales), {}
+    if len(counts) < 2 or total < min_customers or min(counts.values()) < 2:
+        return churn_rule(sales).withColumn("method", F.lit("rule")), {}
     weights = f.sparkSession.createDataFrame(
         [(int(k), float(total) / (2.0 * v)) for k, v in counts.items()], "churned int, w double")
-    data = _split(f, test_fraction, seed).join(F.broadcast(weights), "churned")
+    data = split_stratified(f, test_fraction, seed).join(F.broadcast(weights), "churned")
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"),
               StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
@@ -130,19 +143,30 @@ def train_churn(sales: DataFrame, num_trees: int = 100, max_depth: int = 6, seed
                                      numTrees=num_trees, maxDepth=max_depth, seed=seed)]
     model = Pipeline(stages=stages).fit(train)
     scored_test = model.transform(test)
-    metrics = {}
-    if test.limit(1).count():
-        auc = BinaryClassificationEvaluator(labelCol="churned", metricName="areaUnderROC",
-                                            rawPredictionCol="rawPrediction").evaluate(scored_test)
-        acc = MulticlassClassificationEvaluator(labelCol="churned", metricName="accuracy",
-                                                predictionCol="prediction").evaluate(scored_test)
-        metrics = {"auc": round(auc, 3), "accuracy": round(acc, 3)}
+    auc = BinaryClassificationEvaluator(labelCol="churned", metricName="areaUnderROC",
+                                        rawPredictionCol="rawPrediction").evaluate(scored_test)
+    acc = MulticlassClassificationEvaluator(labelCol="churned", metricName="accuracy",
+                                            predictionCol="prediction").evaluate(scored_test)
+    metrics = {"auc": round(auc, 3), "accuracy": round(acc, 3)}
     out = model.transform(f).withColumn(
         "churn_probability", round_even(vector_to_array("probability")[1], 3))
     cols = ["customer_id"] + FEATURES + ["churned", "churn_probability"]
-    return out.select(*cols).withColumn("risk_level", risk_level("churn_probability")), metrics
+    out = out.select(*cols).withColumn("risk_level", risk_level("churn_probability"))
+    return out.withColumn("method", F.lit("model")), metrics
 
 
 def churn_model_scores(sales: DataFrame) -> DataFrame:
     scores, _ = train_churn(sales)
     return scores
+
+
+def churn_metrics(sales: DataFrame, **options) -> DataFrame:
+    """(metric, value): AUC and accuracy on the test part; empty for the rule."""
+    _, metrics = train_churn(sales, **options)
+    return sales.sparkSession.createDataFrame(list(metrics.items()), "metric string, value double")
+
+
+def churn_split_sizes(sales: DataFrame) -> DataFrame:
+    """(churned, customers, test): class sizes and their test parts."""
+    split = split_stratified(label_churn(customer_features(sales)))
+    return split.groupBy("churned").agg(F.count(F.lit(1)).alias("customers"), F.count_if("is_test").alias("test"))

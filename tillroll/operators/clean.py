@@ -6,15 +6,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import parse_amount
-from tillroll.operators.columns import parse_timestamp
+from tillroll.functions import parse_amount, ratio
+from tillroll.operators._common import with_scalars
+from tillroll.operators.columns import day_first_share, parse_timestamp
 
 
-def clean_date(df: DataFrame) -> DataFrame:
+def parsed_date(df: DataFrame, day_first: bool | None = None) -> DataFrame:
+    """``df`` with ``date`` as a timestamp without zone, NULL where it does not
+    parse.  Date and timestamp columns pass unchanged.  ``day_first`` None: the
+    order that more of the column's numeric dates need."""
+    kind = df.schema["date"].dataType.typeName()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return df.withColumn("date", F.col("date").cast("timestamp_ntz"))
+    if day_first is not None:
+        return df.withColumn("date", parse_timestamp(F.col("date"), day_first))
+    flagged = with_scalars(df, day_first_share(df, "date").withColumnRenamed("day_first", "_day_first"))
+    return flagged.withColumn("date", parse_timestamp(F.col("date"), F.col("_day_first"))).drop("_day_first")
+
+
+def clean_date(df: DataFrame, day_first: bool | None = None) -> DataFrame:
     if "date" not in df.columns:
         return df
-    return (df.withColumn("date", parse_timestamp(F.col("date")))
-              .filter(F.col("date").isNotNull()))
+    return parsed_date(df, day_first).filter(F.col("date").isNotNull())
+
+
+def date_report(df: DataFrame, day_first: bool | None = None) -> DataFrame:
+    """One row: values of ``date``, how many parse, how many ``clean_date`` drops."""
+    given = F.count(F.nullif(F.trim(F.col("_given")), F.lit("")))
+    out = parsed_date(df.withColumn("_given", F.col("date").cast("string")), day_first)
+    return out.agg(given.alias("given"), F.count("date").alias("parsed"), (given - F.count("date")).alias("unparsed"))
 
 
 def clean_revenue(df: DataFrame, parity: bool = False) -> DataFrame:
@@ -26,11 +46,14 @@ def clean_revenue(df: DataFrame, parity: bool = False) -> DataFrame:
 
 
 def clean_quantity(df: DataFrame) -> DataFrame:
-    """Numeric or 1, truncated to an integer; keep > 0."""
+    """Numeric or 1 (also for NaN and infinities), truncated to an integer; keep
+    > 0.  A number beyond a long is no quantity: its row goes."""
     if "quantity" not in df.columns:
         return df
-    q = F.coalesce(F.trim(F.col("quantity").cast("string")).try_cast("double"), F.lit(1.0))
-    return df.withColumn("quantity", q.cast("int")).filter(F.col("quantity") > 0)
+    q = F.trim(F.col("quantity").cast("string")).try_cast("double")
+    finite = F.when(~F.isnan(q) & (F.abs(q) < float("inf")), q)
+    return (df.withColumn("quantity", F.coalesce(finite, F.lit(1.0)).try_cast("bigint"))
+              .filter(F.col("quantity") > 0))
 
 
 def derive_revenue(df: DataFrame) -> DataFrame:
@@ -62,7 +85,7 @@ def unit_price_flag(df: DataFrame, share: float = 0.3, std_limit: float = 0.5) -
                       F.count_if(multi).alias("multi"), F.count_if(hit).alias("hits"),
                       F.max("qty_max").alias("qty_max"))
     flag = ((F.col("qty_max") > 1) & (F.col("orders") < F.col("rows") * 0.8) &
-            (F.col("multi") > 0) & (F.col("hits") / F.col("multi") > share))
+            (ratio("hits", "multi") > share))
     return g.select(F.coalesce(flag, F.lit(False)).alias("unit_price"))
 
 
@@ -81,9 +104,10 @@ def fix_unit_price(df: DataFrame, unit_price: bool | None = None) -> DataFrame:
                     .otherwise(F.col("revenue"))).drop("unit_price")
 
 
-def clean_sales(df: DataFrame, parity: bool = False, unit_price: bool | None = None) -> DataFrame:
+def clean_sales(df: DataFrame, parity: bool = False, unit_price: bool | None = None,
+                day_first: bool | None = None) -> DataFrame:
     """Dates, revenue, quantity, derived revenue, unit-price fix - in this order."""
-    out = clean_date(df)
+    out = clean_date(df, day_first)
     out = clean_revenue(out, parity=parity)
     out = clean_quantity(out)
     out = derive_revenue(out)

@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import month_diff, month_start
-from tillroll.operators._common import band, reuse
+from tillroll.operators._common import band, reuse, with_scalars
 from tillroll.schema import empty, has
 
-DISPLAY_COHORTS = 18
-DISPLAY_PERIODS = 18
 # Month-1 retention bands.
 M1_BANDS = [(30.0, "strong"), (15.0, "moderate")]
 
@@ -50,54 +48,61 @@ def cohort_retention(sales: DataFrame) -> DataFrame:
                          F.col("customers") / F.col("cohort_size") * F.lit(100.0)))
 
 
-def retention_matrix(sales: DataFrame, max_periods: int = 48) -> DataFrame:
-    """Wide view (one column per period) of the retention matrix; period
-    columns are fixed by ``max_periods`` so the schema does not depend on data."""
+def retention_matrix(sales: DataFrame) -> DataFrame:
+    """Wide view of the retention matrix: per cohort an array with one place per
+    period from 0 to the last period of any cohort (NULL where absent)."""
     r = cohort_retention(sales)
-    return (r.groupBy("cohort_month").pivot("period", list(range(max_periods)))
-             .agg(F.first("retention_pct")).orderBy("cohort_month"))
+    last = r.agg(F.max("period").alias("_last"))
+    cells = r.groupBy("cohort_month").agg(
+        F.map_from_entries(F.collect_list(F.struct("period", "retention_pct"))).alias("_cells"))
+    every = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda p: F.try_element_at("_cells", p))
+    return (with_scalars(cells, last).select("cohort_month", every.alias("retention_pct"))
+            .orderBy("cohort_month"))
 
 
-def cohort_display(sales: DataFrame, cohorts: int = DISPLAY_COHORTS,
-                   periods: int = DISPLAY_PERIODS) -> DataFrame:
-    """The displayed window: the last ``cohorts`` cohorts and the first
-    ``periods`` period columns present anywhere in the matrix."""
+def cohort_display(sales: DataFrame, cohorts: int | None = None, periods: int | None = None) -> DataFrame:
+    """The retention cells; with ``cohorts`` / ``periods`` only those of the last
+    cohorts / of the first periods present anywhere in the matrix."""
     r = cohort_retention(sales)
+    if cohorts is None and periods is None:
+        return r.select("cohort_month", "period", "retention_pct").orderBy("cohort_month", "period")
     cohort_rank = F.dense_rank().over(Window.orderBy(F.col("cohort_month").desc()))
     period_rank = F.dense_rank().over(Window.orderBy("period"))
     # Both windows run over the aggregated matrix (cohorts x periods cells).
     return (r.withColumn("_cr", cohort_rank).withColumn("_pr", period_rank)
-             .filter((F.col("_cr") <= cohorts) & (F.col("_pr") <= periods))
+             .filter((F.col("_cr") <= (cohorts or 2 ** 31 - 1)) & (F.col("_pr") <= (periods or 2 ** 31 - 1)))
              .select("cohort_month", "period", "retention_pct")
              .orderBy("cohort_month", "period"))
 
 
-def retention_curve(sales: DataFrame) -> DataFrame:
-    """Mean retention per period over the displayed cohorts (absent cells skipped)."""
-    d = cohort_display(sales)
+def retention_curve(sales: DataFrame, cohorts: int | None = None, periods: int | None = None) -> DataFrame:
+    """Mean retention per period over all cohorts, or those of ``cohort_display``
+    (absent cells skipped)."""
+    d = cohort_display(sales, cohorts, periods)
     return (d.groupBy("period").agg(F.avg("retention_pct").alias("retention_pct"),
                                     F.count(F.lit(1)).alias("cohorts"))
              .orderBy("period"))
 
 
-def cohort_sizes(sales: DataFrame, last: int = DISPLAY_COHORTS) -> DataFrame:
-    """New customers of the last ``last`` cohorts."""
+def cohort_sizes(sales: DataFrame, last: int | None = None) -> DataFrame:
+    """New customers per cohort (of the last ``last`` cohorts)."""
     c = cohort_counts(sales).filter(F.col("period") == 0)
-    return (c.orderBy(F.col("cohort_month").desc()).limit(last)
-             .select("cohort_month", F.col("customers").alias("new_customers"))
+    if last is not None:
+        c = c.orderBy(F.col("cohort_month").desc()).limit(last)
+    return (c.select("cohort_month", F.col("customers").alias("new_customers"))
              .orderBy("cohort_month"))
 
 
-def cohort_summary(sales: DataFrame) -> DataFrame:
+def cohort_summary(sales: DataFrame, cohorts: int | None = None, periods: int | None = None) -> DataFrame:
     """One row: mean cohort size (truncated), best acquisition month (first
-    of ties), mean retention at months 1/3/6 over the displayed cohorts, the
+    of ties), mean retention at months 1/3/6 (over ``cohort_display``), the
     month-1 band and the best / worst month-1 cohorts (earliest of ties)."""
     c = cohort_counts(sales).filter(F.col("period") == 0)
     sizes = c.agg(F.avg("customers").cast("bigint").alias("avg_cohort_size"),
                   F.max_by("cohort_month", F.struct(F.col("customers"),
                                                     -F.unix_date("cohort_month")))
                    .alias("best_acquisition_month"))
-    d = cohort_display(sales)
+    d = cohort_display(sales, cohorts, periods)
     m1 = F.when(F.col("period") == 1, F.col("retention_pct"))
     ret = d.agg(
         F.avg(m1).alias("m1_retention"),

@@ -28,7 +28,6 @@ SOURCE_HINTS = {
     "BRL": ["brazil", "olist", "brasil"],
 }
 DEFAULT_CURRENCY = "USD"
-SCAN_BYTES = 5000
 
 
 def symbol_counts(text: Column, parity: bool = False) -> list[tuple[str, Column]]:
@@ -58,26 +57,22 @@ def _most_frequent(counts: list[tuple[str, Column]]) -> Column:
     return best
 
 
-def currency_from_files(spark: SparkSession, paths: str | list[str],
-                        parity: bool = False) -> DataFrame:
-    """(path, code): the most frequent currency symbol of each file (first
-    registry entry on ties; NULL when none).
+def currency_from_texts(texts: DataFrame, key: str, text: Column, parity: bool = False) -> DataFrame:
+    """(key, code): the most frequent currency symbol of each key's texts (first
+    registry entry on ties; NULL when none).  Counts are combined map-side."""
+    counts = symbol_counts(text, parity)
+    per_key = texts.groupBy(key).agg(*[F.sum(n).alias(code) for code, n in counts])
+    return per_key.select(key, _most_frequent([(c, F.col(c)) for c, _ in counts]).alias("code"))
 
-    Default: every line of every file, read line by line (splittable, so a
-    large file is scanned by many tasks); a line that is not valid UTF-8 is
-    read as Latin-1.  ``parity``: the first 5000 bytes decoded as Latin-1,
-    like the original (reads each file whole: meant for single uploads)."""
-    if parity:
-        raw = spark.read.format("binaryFile").load(paths).select(
-            "path", F.substring("content", 1, SCAN_BYTES).alias("head"))
-        text = F.decode(F.col("head"), "ISO-8859-1")
-        return raw.select("path", _most_frequent(symbol_counts(text, parity=True)).alias("code"))
+
+def currency_from_files(spark: SparkSession, paths: str | list[str], parity: bool = False) -> DataFrame:
+    """(path, code) by ``currency_from_texts`` over every line of every file,
+    read line by line (splittable, so a large file is scanned by many tasks); a
+    line that is not valid UTF-8 is read as Latin-1."""
     lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value")
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
         F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    counts = symbol_counts(text)
-    per_file = lines.groupBy("path").agg(*[F.sum(n).alias(code) for code, n in counts])
-    return per_file.select("path", _most_frequent([(c, F.col(c)) for c, _ in counts]).alias("code"))
+    return currency_from_texts(lines, "path", text, parity)
 
 
 def registry_table(spark: SparkSession) -> DataFrame:

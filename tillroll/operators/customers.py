@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import elapsed_days, round_even
+from tillroll.functions import elapsed_days, ratio, round_even
 from tillroll.operators._common import non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
@@ -19,7 +19,8 @@ def customer_groups(sales: DataFrame) -> DataFrame:
     """One aggregation of the raw lines per customer_id, the NULL customer
     included (it still counts for the dataset's latest date); persisted,
     since every customer operator reads it more than once."""
-    aggs = [F.sum("revenue").alias("revenue_sum"), F.count(F.lit(1)).alias("lines")]
+    # lines without revenue count as neither orders' lines nor in their mean
+    aggs = [F.sum("revenue").alias("revenue_sum"), F.count("revenue").alias("lines")]
     if has(sales, "order_id"):
         aggs.append(F.count_distinct("order_id").alias("orders"))
     if has(sales, "date"):
@@ -28,7 +29,7 @@ def customer_groups(sales: DataFrame) -> DataFrame:
     if not has(sales, "order_id"):
         g = g.withColumn("orders", F.col("lines"))
     return reuse(g.withColumn(
-        "avg_line_revenue", F.col("revenue_sum").cast("double") / F.col("lines")))
+        "avg_line_revenue", ratio("revenue_sum", "lines")))
 
 
 def customer_base(sales: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import elapsed_days, round_even
+from tillroll.functions import elapsed_days, round_even, share_pct
 from tillroll.operators._common import reuse, with_scalars
 from tillroll.operators.customers import customer_base, customer_groups, reference_date
 from tillroll.operators.stats import quantiles
@@ -108,7 +108,7 @@ def ltv_segment_breakdown(ltv: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"), F.sum("total_ltv").alias("total_ltv"))
     tot = g.agg(F.sum("total_ltv").alias("_all"))
     return (with_scalars(g, tot)
-            .withColumn("pct_of_ltv", round_even(F.col("total_ltv") / F.col("_all") * 100, 1))
+            .withColumn("pct_of_ltv", round_even(share_pct("total_ltv", "_all"), 1))
             .drop("_all"))
 
 
@@ -134,8 +134,8 @@ def ltv_insights(ltv: DataFrame) -> DataFrame:
     high = [SEGMENTS[0][1], SEGMENTS[1][1]]
     return ltv.agg(
         (F.avg((F.col("ltv_segment") == top).cast("double")) * 100).alias("platinum_pct"),
-        (F.sum(F.when(F.col("ltv_segment") == top, F.col("total_ltv")))
-         / F.sum("total_ltv") * 100).alias("platinum_ltv_pct"),
+        share_pct(F.sum(F.when(F.col("ltv_segment") == top, F.col("total_ltv"))), F.sum("total_ltv"))
+        .alias("platinum_ltv_pct"),
         F.avg("total_ltv").alias("avg_ltv"),
         F.avg("avg_order_value").alias("avg_aov"),
         F.sum("predicted_future_ltv").alias("predicted_total"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import round_even
+from tillroll.functions import ratio, round_even
 from tillroll.operators._common import non_null, reuse, with_scalars
 from tillroll.schema import empty, has
 
@@ -23,7 +23,7 @@ def product_stats(sales: DataFrame) -> DataFrame:
     """Per product: revenue, line count, mean line revenue and the trend
     inputs (revenue in the last 30 days vs the 30 days before), all in one
     aggregation."""
-    aggs = [F.sum("revenue").alias("_rev"), F.count(F.lit(1)).alias("order_count")]
+    aggs = [F.sum("revenue").alias("_rev"), F.count("revenue").alias("order_count")]
     if has(sales, "date"):
         ref = F.col("_max_date")
         cut = ref - F.expr(f"INTERVAL {TREND_DAYS} DAYS")
@@ -40,14 +40,14 @@ def product_stats(sales: DataFrame) -> DataFrame:
     g = src.groupBy("product").agg(*aggs)
     out = g.select("product", F.col("_rev").cast("double").alias("total_revenue"),
                    F.col("order_count").cast("bigint").alias("order_count"),
-                   (F.col("_rev").cast("double") / F.col("order_count")).alias("avg_price"),
+                   ratio("_rev", "order_count").alias("avg_price"),
                    _trend(g) if has(sales, "date") else F.lit(0.0).alias("trend_pct"))
     return out
 
 
 def _trend(g: DataFrame) -> Column:
     prev = F.col("_previous").cast("double")
-    pct = (F.col("_recent").cast("double") - prev) / prev * F.lit(100.0)
+    pct = ratio(F.col("_recent").cast("double") - prev, prev) * F.lit(100.0)
     ok = (F.col("_n_recent") > 0) & (F.col("_n_previous") > 0) & (prev != 0)
     return round_even(F.when(ok, pct).otherwise(F.lit(0.0)), 1).alias("trend_pct")
 

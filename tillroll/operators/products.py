@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions import round_even
-from tillroll.operators._common import band, non_null, reuse, with_scalars
+from tillroll.functions import round_even, share_pct
+from tillroll.operators._common import band, non_null, reuse, running_totals, with_scalars
 from tillroll.schema import empty, has
 
 
@@ -39,7 +39,7 @@ def _share_by(sales: DataFrame, key: str) -> DataFrame:
     g = non_null(sales, key).groupBy(key).agg(F.sum("revenue").cast("double").alias("revenue"))
     total = g.agg(F.sum("revenue").alias("_total"))
     out = with_scalars(g, total).withColumn(
-        "percentage", round_even(F.col("revenue") / F.col("_total") * F.lit(100.0), 2))
+        "percentage", round_even(share_pct("revenue", "_total"), 2))
     return out.drop("_total").orderBy(F.col("revenue").desc(), F.col(key))
 
 
@@ -61,37 +61,40 @@ def weakest_category(sales: DataFrame) -> DataFrame:
     return with_scalars(last, n).filter(F.col("n") > 1).select("category", "percentage")
 
 
-def product_pareto(sales: DataFrame, top: int = 100, show: int = 30) -> DataFrame:
-    """Cumulative revenue share over the top ``top`` products (share of those
-    products' revenue), first ``show`` ranks."""
+def _largest(totals: DataFrame, top: int | None) -> DataFrame:
+    return totals if top is None else totals.orderBy(F.col("revenue").desc(), F.col("product")).limit(top)
+
+
+def product_pareto(sales: DataFrame, top: int | None = None, show: int | None = None) -> DataFrame:
+    """Cumulative revenue share by product rank: of all products, or of the
+    ``top`` largest; all ranks, or the first ``show``.
+
+    Products are ranked in value ranges cut by approximate quantiles, so no
+    task sorts all of them."""
     if not has(sales, "product", "revenue"):
         return empty(sales.sparkSession,
                      "product_rank int, product string, revenue double, cumulative_pct double")
-    t = product_totals(sales).select("product", "revenue") \
-        .orderBy(F.col("revenue").desc(), F.col("product")).limit(top)
-    w = _ranked(t, "revenue", "product")
-    ranked = (t.withColumn("product_rank", F.row_number().over(w))
-               .withColumn("cum", F.sum("revenue").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("total", F.sum("revenue").over(Window.partitionBy())))
-    return (ranked.filter(F.col("product_rank") <= show)
-            .select("product_rank", "product", F.col("revenue").cast("double").alias("revenue"),
-                    (F.col("cum").cast("double") / F.col("total").cast("double") * F.lit(100.0))
-                    .alias("cumulative_pct"))
+    t = _largest(reuse(product_totals(sales).select("product", "revenue")), top)
+    ranked = running_totals(t, "revenue", "product")
+    if show is not None:
+        ranked = ranked.filter(F.col("rank") <= show)
+    return (ranked.select(F.col("rank").cast("int").alias("product_rank"), "product",
+                          F.col("revenue").cast("double").alias("revenue"),
+                          share_pct("running", "total").alias("cumulative_pct"))
             .orderBy("product_rank"))
 
 
-def product_concentration(sales: DataFrame, top: int = 100) -> DataFrame:
-    """Share of the top 3 / top 10 products within the top ``top``."""
+def product_concentration(sales: DataFrame, top: int | None = None) -> DataFrame:
+    """Share of the top 3 / top 10 products in all revenue, or in that of the
+    ``top`` largest products."""
     if not has(sales, "product", "revenue"):
         return empty(sales.sparkSession, "top3_pct double, top10_pct double, level string")
-    t = product_totals(sales).select("product", "revenue") \
-        .orderBy(F.col("revenue").desc(), F.col("product")).limit(top)
-    r = t.withColumn("rk", F.row_number().over(_ranked(t, "revenue", "product")))
-    s = r.agg(F.sum(F.when(F.col("rk") <= 3, F.col("revenue"))).cast("double").alias("t3"),
-              F.sum(F.when(F.col("rk") <= 10, F.col("revenue"))).cast("double").alias("t10"),
-              F.sum("revenue").cast("double").alias("t"))
-    s = s.select((F.col("t3") / F.col("t") * 100).alias("top3_pct"),
-                 (F.col("t10") / F.col("t") * 100).alias("top10_pct"))
+    t = _largest(reuse(product_totals(sales).select("product", "revenue")), top)
+    best = t.orderBy(F.col("revenue").desc(), F.col("product")).limit(10)
+    r = best.withColumn("rk", F.row_number().over(_ranked(best, "revenue", "product")))
+    parts = r.agg(F.sum(F.when(F.col("rk") <= 3, F.col("revenue"))).alias("t3"), F.sum("revenue").alias("t10"))
+    s = with_scalars(parts, t.agg(F.sum("revenue").alias("t")))
+    s = s.select(share_pct("t3", "t").alias("top3_pct"), share_pct("t10", "t").alias("top10_pct"))
     return s.withColumn("level", band(F.col("top3_pct"), [(60, "HIGH"), (40, "MODERATE")],
                                       "HEALTHY"))
 
@@ -117,7 +120,7 @@ def customer_concentration(sales: DataFrame) -> DataFrame:
                     .cast("double").alias(f"t{k}") for k in (5, 10, 20, 100)])
     total = c.agg(F.sum("revenue").cast("double").alias("total"))
     s = with_scalars(parts, total)
-    s = s.select(*[(F.col(f"t{k}") / F.col("total") * 100).alias(f"top{k}_pct")
+    s = s.select(*[share_pct(f"t{k}", "total").alias(f"top{k}_pct")
                    for k in (5, 10, 20, 100)])
     return (s.withColumn("level", band(F.col("top10_pct"), [(50, "HIGH"), (30, "MODERATE")],
                                        "HEALTHY"))

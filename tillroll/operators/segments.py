@@ -100,4 +100,4 @@ def segment_insights(summary: DataFrame) -> DataFrame:
     actions = summary.sparkSession.createDataFrame(list(SEGMENT_ACTIONS.items()),
                                                    "segment string, action string")
     return summary.join(F.broadcast(actions), "segment", "left").select(
-        "segment", "customers", "avg_monetary", "action")
+        "segment", "customers", "avg_monetary", F.coalesce("action", F.lit("review_segment")).alias("action"))

@@ -9,12 +9,10 @@ a value window around it:
 2. one counting pass counts the window's values below a, equal to a,
    strictly between, equal to b: a rank inside a run of equal values is
    resolved at once, otherwise the open interval (a, b) becomes the window;
-3. once a window holds at most ``max_window`` values they are collected
-   (sorted) and x(r) is read off.
+3. this goes on until each rank falls on a bracket value.
 
 Each round shrinks a window by about accuracy / (2 * margin), so a few rounds
-suffice for any N, and no task ever holds more than ``max_window`` values or
-one sketch.  All ranks advance together: one sketch job and one counting job
+suffice for any N, and no task ever holds more than the sketches.  All ranks advance together: one sketch job and one counting job
 per round.  The interpolation is numpy's linear method.
 """
 
@@ -35,7 +33,7 @@ def lerp(a: float, b: float, t: float) -> float:
 
 
 def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int = 10000,
-                     margin: float = 4.0, max_window: int = 1_000_000) -> dict[int, float]:
+                     margin: float = 4.0) -> dict[int, float]:
     """Exact x(r) (0-based, ascending) of column ``x`` of ``vals`` for each r.
 
     A window is the open value interval (lo, hi) (None = unbounded) holding
@@ -54,23 +52,9 @@ def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int =
 
     while len(found) < len(ranks):
         todo = [r for r in ranks if r not in found]
-        small = [r for r in todo if state[r][3] <= max_window]
-        big = [r for r in todo if state[r][3] > max_window]
-        if small:
-            windows: dict = {}
-            for r in small:
-                windows.setdefault(state[r][:2], []).append(r)
-            keys = list(windows)
-            row = vals.agg(*[F.sort_array(F.collect_list(F.when(inside(lo, hi), x))).alias(f"w{i}")
-                             for i, (lo, hi) in enumerate(keys)]).first()
-            for i, key in enumerate(keys):
-                for r in windows[key]:
-                    found[r] = row[f"w{i}"][r - state[r][2]]
-        if not big:
-            continue
         eps = margin / accuracy
         sk = []
-        for i, r in enumerate(big):            # one sketch job for all big ranks
+        for i, r in enumerate(todo):            # one sketch job for all open ranks
             lo, hi, below, cnt = state[r]
             p = (r - below) / max(cnt - 1, 1)
             sk.append(F.percentile_approx(F.when(inside(lo, hi), x),
@@ -78,7 +62,7 @@ def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int =
                       .alias(f"b{i}"))
         brackets = vals.agg(*sk).first()
         cnts = []
-        for i, r in enumerate(big):            # one counting job for all big ranks
+        for i, r in enumerate(todo):            # one counting job for all open ranks
             lo, hi, _, _ = state[r]
             a, b = brackets[f"b{i}"]
             w = inside(lo, hi)
@@ -88,7 +72,7 @@ def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int =
                      F.count_if(w & (x == F.lit(b))).alias(f"eb{i}")]
         c = vals.agg(*cnts).first()
         missed = False
-        for i, r in enumerate(big):
+        for i, r in enumerate(todo):
             lo, hi, below, cnt = state[r]
             a, b = brackets[f"b{i}"]
             start_a = below + c[f"lt{i}"]
@@ -108,8 +92,7 @@ def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int =
     return found
 
 
-def quantiles(df: DataFrame, col: str, probs: dict[str, float], accuracy: int = 10000,
-              max_window: int = 1_000_000) -> DataFrame:
+def quantiles(df: DataFrame, col: str, probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
     """One row, one double column per entry of ``probs`` (name -> probability
     in [0, 1]); NULLs in ``col`` are ignored, an empty input gives NULLs.
 
@@ -127,7 +110,7 @@ def quantiles(df: DataFrame, col: str, probs: dict[str, float], accuracy: int =
         k = math.floor(h)
         plan[nm] = (k, min(k + 1, n - 1), h - k)
     ranks = sorted({r for k, k1, _ in plan.values() for r in (k, k1)})
-    xs = order_statistics(vals, n, ranks, accuracy=accuracy, max_window=max_window)
+    xs = order_statistics(vals, n, ranks, accuracy=accuracy)
     vals.unpersist()
     row = tuple(lerp(xs[k], xs[k1], t) for k, k1, t in (plan[nm] for nm in names))
     return spark.createDataFrame([row], schema)

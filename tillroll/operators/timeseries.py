@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions import day, month_start, pct_change, week_end_label, week_start
+from tillroll.functions import day, month_start, pct_change, ratio, week_end_label, week_start
 from tillroll.schema import empty, has
 
 
@@ -68,10 +68,14 @@ def time_series(sales: DataFrame, freq: str = "D") -> DataFrame:
     """Positive-revenue series for forecasting.
 
     ``D``: calendar days.  ``W``: Monday-to-Sunday weeks labelled by the
-    closing Sunday.  Periods whose sum is <= 0 are dropped; gaps stay gaps."""
+    closing Sunday.  ``M``: calendar months labelled by their last day.
+    Periods whose sum is <= 0 are dropped; gaps stay gaps."""
+    keys = {"D": day, "W": week_end_label, "M": F.last_day}
+    if freq.upper() not in keys:
+        raise ValueError(f"freq must be D, W or M, not {freq!r}")
     if not has(sales, "date", "revenue"):
         return empty(sales.sparkSession, "date date, revenue double")
-    key = day("date") if freq.upper() == "D" else week_end_label("date")
+    key = keys[freq.upper()]("date")
     return (_dated(sales).groupBy(key.alias("date"))
             .agg(F.sum("revenue").alias("revenue"))
             .filter(F.col("revenue") > 0)
@@ -98,7 +102,7 @@ def seasonality_stats(sales: DataFrame, min_months: int = 3, cv_months: int = 6,
         F.min_by("month", F.struct(F.col("revenue"), F.unix_date("month"))).alias("worst_month"),
         F.min("revenue").alias("worst_revenue"),
         F.avg("mom_growth").alias("avg_mom_growth"),
-        (F.stddev_samp("revenue") / F.avg("revenue")).alias("cv"))
+        ratio(F.stddev_samp("revenue"), F.avg("revenue")).alias("cv"))
     cv_ok = F.col("months") >= cv_months
     return (stats.filter(F.col("months") >= min_months)
                  .withColumn("cv", F.when(cv_ok, F.col("cv")))

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import (basket, churn, clean, cohort, currency, customers, forecast,
+from tillroll.operators import (basket, churn, clean, cohort, columns, currency, customers, forecast,
                                 insights, kpi, ltv, performance, products, segments, timeseries)
 from tillroll.functions import sig_round
-from tillroll.operators._common import release
+from tillroll.operators._common import intermediates, release
 from tillroll.session import apply_defaults
 from tillroll.sources import derived, fixtures
 
@@ -44,6 +44,7 @@ STABLE: dict[str, list[str]] = {
     "forecast_summary": ["total_predicted", "avg_predicted"],
     "forecast_insights": ["recent_avg", "forecast_avg", "change_pct", "total_projected"],
     "sales_observations": ["value"],
+    "fixed_cluster_summary": ["total_revenue"],
 }
 
 MIN_SUPPORT = 0.005   # the page's default support threshold
@@ -72,16 +73,68 @@ def _sales_from_text_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.monthly_revenue(cleaned)
 
 
-def _with_defaults(q: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        apply_defaults(spark)
-        release()   # intermediates of the previous query are not needed any more
-        return q(spark, sf_dir)
-    return run
+def _days(texts: Query) -> Query:
+    """Rows per calendar day after date cleaning."""
+    return lambda spark, sf_dir: (clean.clean_date(texts(spark, sf_dir))
+                                  .groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("rows")))
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = derived.sales_as_text(spark, sf_dir)
+    names = ["Order Date", "Qty", "Sub-Category", "Country"]
+    # a dotted header and a column without any value are ordinary input
+    odd = text.withColumnRenamed("Country", "Ship.Country").withColumn("Empty", F.lit(None).cast("string"))
+    out = columns.profile_columns(odd, [*names[:3], "Ship.Country", "Empty"])
+    return out.select("column_name", "non_null", "date_rate", "numeric_rate", sig_round("mean").alias("mean"),
+                      "all_integer")
+
+
+def _mapping_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that say nothing: only the contents can name the columns."""
+    from tillroll.plans.ingest import standardize
+
+    unknown = {"date": "zz1", "revenue": "zz2", "quantity": "zz3", "product": "zz4", "category": "zz5"}
+    raw = derived.sales_under(spark, sf_dir, unknown).select(*unknown.values())
+    plain = raw.withColumn("zz2", F.regexp_replace("zz2", "[$]", ""))
+    _, report = standardize(plain, file_id="unknown")
+    return report.select("column_name", "standard", "method")
+
+
+def _fuzzy_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillroll.plans.ingest import standardize
+
+    mapped, _ = standardize(derived.sales_under(spark, sf_dir, derived.FUZZY_HEADERS), file_id="fuzzy", sniff=False)
+    return products.revenue_by_category(clean.clean_sales(mapped).withColumn(
+        "revenue", F.col("revenue").cast("decimal(18,4)")))
+
+
+def _supplier_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = fixtures.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    texts = derived.amount_texts(spark, sf_dir).join(li, ["l_orderkey", "l_linenumber"])
+    return currency.currency_from_texts(texts, "l_suppkey", F.col("amount_text"))
+
+
+def _fixed_clusters(sales: DataFrame) -> DataFrame:
+    assigned = customers.rfm(sales).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))
+    return segments.segment_summary(segments.label_clusters(assigned, 5))
 
 
 def registry() -> dict[str, Query]:
-    q = {k: _with_defaults(v) for k, v in _registry().items()}
+    """The queries.  What one of them persists is released when the same
+    registry starts its next query."""
+    last: list[DataFrame] = []
+
+    def with_defaults(q: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_defaults(spark)
+            release(last)
+            with intermediates() as frames:
+                out = q(spark, sf_dir)
+            last.extend(frames)
+            return out
+        return run
+
+    q = {k: with_defaults(v) for k, v in _registry().items()}
     return {k: (_stable(v, STABLE[k], DIGITS.get(k, 12)) if k in STABLE else v)
             for k, v in q.items()}
 
@@ -124,11 +177,11 @@ def _registry() -> dict[str, Query]:
         # cohorts
         "cohort_counts": _on_sales(cohort.cohort_counts),
         "cohort_retention": _on_sales(cohort.cohort_retention),
-        "cohort_display": _on_sales(cohort.cohort_display),
+        "cohort_display": _on_sales(cohort.cohort_display, cohorts=18, periods=18),
         "retention_curve": _on_sales(cohort.retention_curve),
         "cohort_sizes": _on_sales(cohort.cohort_sizes),
         "cohort_summary": _on_sales(cohort.cohort_summary),
-        "retention_matrix": _on_sales(cohort.retention_matrix, max_periods=48),
+        "retention_matrix": _on_sales(cohort.retention_matrix),
         # lifetime value
         "customer_ltv": _on_sales(ltv.customer_ltv),
         "ltv_overview": _on_sales(lambda s: ltv.ltv_overview(ltv.customer_ltv(s))),
@@ -183,8 +236,29 @@ def _registry() -> dict[str, Query]:
         "churn_rule_purchases": _on_purchases(churn.churn_rule),
         "forecast_revenue_purchases": _on_purchases(forecast.forecast_revenue),
         "forecast_fit_quality_purchases": _on_purchases(forecast.forecast_fit_quality),
-        "top_products_purchases": _on_purchases(products.top_products),
-        "product_associations_purchases": _on_purchases(basket.product_associations),
+        # ingest rules over renderings of the tables
+        "clean_dates_by_day": _days(derived.order_date_texts),
+        "clean_dates_day_first": _days(lambda s, d: derived.order_date_texts(s, d, ["d/M/yyyy", "d.M.yyyy"])),
+        "clean_event_timestamps": _days(lambda s, d: fixtures.table(s, d, "events").select(F.col("ts").alias("date"))),
+        "date_report": lambda s, d: clean.date_report(derived.order_date_texts(s, d, ["M/d/yyyy", "'on' d MMM"])),
+        "clean_quantities": lambda s, d: clean.clean_quantity(derived.quantity_texts(s, d)),
+        "unit_price_fixed": lambda s, d: clean.fix_unit_price(derived.flat_price_lines(s, d))
+                                              .groupBy("order_id").agg(F.sum("revenue").alias("revenue")),
+        "derived_revenue": lambda s, d: clean.derive_revenue(derived.priced_lines(s, d))
+                                             .select("l_orderkey", "l_linenumber", "revenue"),
+        "sales_columns_profile": _profile,
+        "mapping_unknown_headers": _mapping_unknown,
+        "fuzzy_headers_by_category": _fuzzy_by_category,
+        "dataset_overview": _on_sales(columns.dataset_overview),
+        "supplier_currency": _supplier_currency,
+        "country_currency": lambda s, d: currency.currency_from_region(derived.sales_by_country(s, d)),
+        "revenue_series_weekly": _on_sales(timeseries.revenue_series, granularity="weekly"),
+        "time_series_monthly": _on_sales(timeseries.time_series, freq="M"),
+        "customer_ltv_no_date": _on_sales(lambda s: ltv.customer_ltv(s.drop("date"))),
+        "fixed_cluster_summary": _on_sales(_fixed_clusters),
+        "fixed_cluster_insights": _on_sales(lambda s: segments.segment_insights(_fixed_clusters(s))),
+        "churn_split_sizes": _on_sales(churn.churn_split_sizes),
+        "churn_metrics": _on_sales(churn.churn_metrics),
         # models (no SQL oracle: row checks and invariants in tests)
         "kmeans_segments": _on_sales(segments.kmeans_segments),
         "segment_summary": _on_sales(lambda s: segments.segment_summary(

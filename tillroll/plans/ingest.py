@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import clean, columns
+from tillroll.operators import clean, columns, currency
+from tillroll.operators._common import with_scalars
+from tillroll.schema import STANDARD_COLUMNS
 from tillroll.sources.csv import read_sales_csv
 
 
@@ -48,16 +50,18 @@ def standardize(raw: DataFrame, file_id: str = "upload", overrides: dict[str, st
             inv = {v: k for k, v in by_header.items()}
             report += [(file_id, inv[c], std, "sniffed", None) for c, std in picks.items()]
     if overrides:
-        rename.update({_normalized(k) if _normalized(k) in final else k: v
-                       for k, v in overrides.items()})
+        manual = {_normalized(k) if _normalized(k) in final else k: v for k, v in overrides.items()}
+        # a manual choice replaces the automatic mapping of its standard and of its column
+        dropped = {k for k, v in rename.items() if v in manual.values() or k in manual}
+        rename = {k: v for k, v in rename.items() if k not in dropped} | manual
+        report = [r for r in report if by_header.get(r[1]) not in dropped]
         report += [(file_id, k, v, "manual", None) for k, v in overrides.items()]
     targets = list(rename.values())
     dupes = {t for t in targets if targets.count(t) > 1}
     if dupes:
         raise ValueError(f"two columns mapped to the same standard: {sorted(dupes)}")
     mapped = {k for k, _ in rename.items()}
-    report += [(file_id, h, None, "unmapped", None) for h in names
-               if by_header[h] not in mapped and not any(r[1] == h for r in report)]
+    report += [(file_id, h, None, "unmapped", None) for h in names if by_header[h] not in mapped]
     rep = spark.createDataFrame(report, columns.MAPPING_SCHEMA)
     return df.withColumnsRenamed(rename), rep
 
@@ -65,11 +69,30 @@ def standardize(raw: DataFrame, file_id: str = "upload", overrides: dict[str, st
 def load_sales(spark: SparkSession, path: str, overrides: dict[str, str] | None = None,
                encoding: str | None = None, parity: bool = False,
                unit_price: bool | None = None,
-               multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+               multi_line: bool = False, day_first: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Read, standardise and clean one sales file -> (sales, mapping report)."""
     raw = read_sales_csv(spark, path, encoding, multi_line=multi_line)
     df, report = standardize(raw, file_id=path, overrides=overrides)
-    return clean.clean_sales(df, parity=parity, unit_price=unit_price), report
+    return clean.clean_sales(df, parity=parity, unit_price=unit_price, day_first=day_first), report
+
+
+def load_currency(spark: SparkSession, path: str, sales: DataFrame) -> DataFrame:
+    """(path, code) for every file of ``path``: the symbols in its text, else the
+    regions of the loaded sales, else its name, else the default."""
+    files = currency.currency_from_files(spark, path).withColumnRenamed("code", "text_code")
+    named = currency.currency_from_name(files, "path").withColumnRenamed("code", "name_code")
+    region = currency.currency_from_region(sales).withColumnRenamed("code", "region_code")
+    both = with_scalars(named, region)
+    return both.select("path", currency.detect_currency(F.col("text_code"), F.col("region_code"),
+                                                        F.col("name_code")).alias("code"))
+
+
+def load_files(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """Several files with headers of their own: each is mapped by its own header
+    and cleaned; the union lacks nothing that any of them has (columns missing
+    in a file are NULL)."""
+    frames = [load_sales(spark, p, **options)[0] for p in paths]
+    return union_sales([f.select(*[c for c in STANDARD_COLUMNS if c in f.columns]) for f in frames])
 
 
 def load_sample(spark: SparkSession, path: str, parity: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -94,8 +117,3 @@ def union_sales(frames: list[DataFrame]) -> DataFrame:
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     return df.limit(n)
-
-
-def overview_row(df: DataFrame) -> DataFrame:
-    return columns.dataset_overview(df).withColumn("standard_columns", F.lit(
-        sum(1 for c in df.columns if c in columns.COLUMN_ALIASES)))

@@ -6,7 +6,6 @@ pre-registered tables; the fixture views are shared CTEs.
 
 from __future__ import annotations
 
-from tillroll.functions.numeric import AMOUNT_PATTERN
 from tillroll.sources.fixtures import PURCHASES_SQL, SALES_SQL
 
 
@@ -58,10 +57,9 @@ FROM g
 """
 
 
-_PRODUCT_TOP100 = """
+_PRODUCT_RANKS = """
 p AS (SELECT product, SUM(revenue) AS revenue FROM sales WHERE product IS NOT NULL GROUP BY 1),
-t AS (SELECT product, revenue, row_number() OVER (ORDER BY revenue DESC, product) AS rk
-      FROM p ORDER BY revenue DESC, product LIMIT 100)
+t AS (SELECT product, revenue, row_number() OVER (ORDER BY revenue DESC, product) AS rk FROM p)
 """
 
 
@@ -116,10 +114,7 @@ cr AS (SELECT cohort_month, period, customers,
               MAX(CASE WHEN period = 0 THEN customers END) OVER (PARTITION BY cohort_month) AS cohort_size
        FROM cc),
 crp AS (SELECT *, customers / cohort_size * 100.0::DOUBLE AS retention_pct FROM cr),
-disp AS (SELECT cohort_month, period, retention_pct FROM (
-           SELECT *, dense_rank() OVER (ORDER BY cohort_month DESC) AS c_r,
-                     dense_rank() OVER (ORDER BY period) AS p_r FROM crp) z
-         WHERE c_r <= 18 AND p_r <= 18)"""
+disp AS (SELECT cohort_month, period, retention_pct FROM crp)"""
 
 _LTV = _BASE + """,
 l0 AS (SELECT customer_id, CAST(revenue_sum AS DOUBLE) AS historical_ltv,
@@ -146,7 +141,7 @@ _LTV = (_LTV.replace("P90", quantile_sql("l5", "total_ltv", 0.9))
 def _rules(min_support: float) -> str:
     return f"""
 top AS (SELECT product, COUNT(*) AS lines FROM sales WHERE product IS NOT NULL
-        GROUP BY 1 ORDER BY lines DESC, product LIMIT 50),
+        GROUP BY 1),
 cells AS (SELECT order_id, product, SUM(revenue) AS rev FROM sales
           WHERE order_id IS NOT NULL AND product IN (SELECT product FROM top) GROUP BY 1, 2),
 tot AS (SELECT COUNT(DISTINCT order_id) AS n FROM cells),
@@ -160,7 +155,7 @@ r3 AS (SELECT r2.*, conf / (cb.c / n) AS lft FROM r2 JOIN ic cb ON cb.product =
 rules AS (SELECT product_a, product_b, round_even(s, 4) AS support, round_even(conf, 4) AS confidence,
                  round_even(lft, 3) AS lift FROM r3
           WHERE s >= CAST({min_support!r} AS DOUBLE) AND lft > 1.1::DOUBLE
-          ORDER BY lift DESC, product_a, product_b LIMIT 30)"""
+         )"""
 
 
 _PERF = """
@@ -304,12 +299,9 @@ def _amount_sql(parity: bool) -> str:
     if parity:
         rev = "TRY_CAST(NULLIF(regexp_replace(amount_text, '[^0-9.]', '', 'g'), '') AS DOUBLE)"
     else:
-        pat = AMOUNT_PATTERN
-        cmp = "regexp_replace(amount_text, '[,\\s]', '', 'g')"
-        rev = f"""CASE WHEN regexp_full_match({cmp}, '{pat}') THEN
-          TRY_CAST(regexp_extract({cmp}, '{pat}', 2) AS DOUBLE) *
-          CASE WHEN contains(regexp_extract({cmp}, '{pat}', 1), '-')
-                 OR contains(regexp_extract({cmp}, '{pat}', 1), '(') THEN -1.0 ELSE 1.0 END END"""
+        # the texts hold one plain number; brackets make it negative
+        number = "regexp_extract(replace(amount_text, ',', ''), '[0-9]+[.][0-9]+', 0)"
+        rev = f"CAST({number} AS DOUBLE) * CASE WHEN amount_text LIKE '(%' THEN -1.0 ELSE 1.0 END"
     return f"""
 WITH tx AS (SELECT l_orderkey, l_linenumber, {text} AS amount_text FROM lineitem),
 pr AS (SELECT l_orderkey, l_linenumber, amount_text, {rev} AS revenue FROM tx)
@@ -339,6 +331,88 @@ def oracles() -> dict[str, str]:
     return o
 
 
+def _ingest_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    by_day = "SELECT CAST(o_orderdate AS DATE) AS date, COUNT(*) AS rows FROM orders GROUP BY 1"
+    o["clean_dates_by_day"] = by_day
+    o["clean_dates_day_first"] = by_day
+    o["clean_event_timestamps"] = "SELECT CAST(ts AS DATE) AS date, COUNT(*) AS rows FROM events GROUP BY 1"
+    o["date_report"] = """SELECT COUNT(*) AS given, COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS parsed,
+       COUNT(*) FILTER (WHERE o_orderkey % 2 = 1) AS unparsed FROM orders"""
+    o["clean_quantities"] = """
+SELECT l_orderkey, l_linenumber, CAST(CASE n WHEN 1 THEN 99999999999 WHEN 3 THEN 7 WHEN 0 THEN CAST(l_quantity AS INT)
+                                        ELSE 1 END AS BIGINT) AS quantity
+FROM (SELECT *, (l_orderkey + l_linenumber) % 8 AS n FROM lineitem) z WHERE n NOT IN (5, 6)"""
+    o["unit_price_fixed"] = """
+SELECT l_orderkey AS order_id, SUM(CAST(l_quantity AS INT) * p) AS revenue
+FROM lineitem JOIN (SELECT l_orderkey, MIN(CAST(l_extendedprice AS DECIMAL(12,2))) AS p FROM lineitem GROUP BY 1) m
+  USING (l_orderkey) GROUP BY 1"""
+    o["derived_revenue"] = """
+SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) * CAST(l_quantity AS INT) AS revenue
+FROM lineitem WHERE l_extendedprice > 0"""
+    o["sales_columns_profile"] = _with("""
+one AS (SELECT COUNT(*) AS n, CAST(printf('%.11e', AVG(quantity)) AS DOUBLE) AS q FROM sales)
+SELECT 'Order Date' AS column_name, n AS non_null, 1.0::DOUBLE AS date_rate, 0.0::DOUBLE AS numeric_rate,
+       CAST(NULL AS DOUBLE) AS mean, true AS all_integer FROM one
+UNION ALL SELECT 'Qty', n, 0.0, 1.0, q, true FROM one
+UNION ALL SELECT 'Sub-Category', n, 0.0, 0.0, NULL, true FROM one
+UNION ALL SELECT 'Ship.Country', n, 0.0, 0.0, NULL, true FROM one
+UNION ALL SELECT 'Empty', 0, NULL, NULL, NULL, true""")
+    o["mapping_unknown_headers"] = _with("""
+s AS (SELECT AVG(revenue) AS r, AVG(quantity) AS q, COUNT(DISTINCT product) AS p, COUNT(DISTINCT category) AS c,
+             BOOL_AND(revenue = floor(revenue)) AS whole FROM sales)
+SELECT 'zz1' AS column_name, 'date' AS standard, 'sniffed' AS method
+UNION ALL SELECT 'zz2', 'revenue', 'sniffed' FROM s WHERE r > 1 AND NOT whole
+UNION ALL SELECT 'zz3', 'quantity', 'sniffed' FROM s WHERE q < 1000
+UNION ALL SELECT 'zz4', 'product', 'sniffed' FROM s WHERE p > 20
+UNION ALL SELECT 'zz5', 'category', 'sniffed' FROM s WHERE c <= 20""")
+    o["fuzzy_headers_by_category"] = _with(_share("category"))
+    o["dataset_overview"] = _with("""
+SELECT COUNT(*) AS rows, CAST(8 AS INT) AS columns, MIN(date) AS first_date, MAX(date) AS last_date FROM sales""")
+    o["supplier_currency"] = """
+SELECT l_suppkey, CASE WHEN d = 0 AND p = 0 THEN NULL WHEN p >= d THEN 'GBP' ELSE 'USD' END AS code
+FROM (SELECT l_suppkey, COUNT(*) FILTER (WHERE l_returnflag = 'A') AS d,
+             COUNT(*) FILTER (WHERE l_returnflag NOT IN ('A', 'R') AND l_linestatus <> 'O') AS p
+      FROM lineitem GROUP BY 1) z"""
+    o["country_currency"] = _with("""
+c AS (SELECT CAST(regexp_extract(region, '[0-9]+$') AS INT) % 4 AS k, COUNT(*) AS n FROM sales GROUP BY 1)
+SELECT CASE k WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'INR' ELSE 'BRL' END AS code FROM c
+ORDER BY n DESC, CASE k WHEN 0 THEN 'germany' WHEN 1 THEN 'united kingdom' WHEN 2 THEN 'india' ELSE 'brazil' END LIMIT 1""")
+    o["revenue_series_weekly"] = _with(f"SELECT {WEEK} AS period, CAST(SUM(revenue) AS DOUBLE) AS revenue "
+                                       "FROM sales WHERE date IS NOT NULL GROUP BY 1")
+    o["time_series_monthly"] = _with("SELECT last_day(CAST(date AS DATE)) AS date, CAST(SUM(revenue) AS DOUBLE) AS revenue "
+                                     "FROM sales WHERE date IS NOT NULL GROUP BY 1 HAVING SUM(revenue) > 0")
+    no_date = (_LTV.replace("GREATEST(date_sub('day', first_date, ref_date), 1) AS customer_age_days",
+                            "CAST(NULL AS BIGINT) AS customer_age_days")
+               .replace("date_sub('day', last_date, ref_date) AS recency_days", "CAST(30 AS BIGINT) AS recency_days")
+               .replace("customer_age_days / 30.44::DOUBLE AS", "6.0::DOUBLE AS")
+               .replace("total_orders / GREATEST(customer_age_months, 1.0::DOUBLE)", "total_orders / 6.0::DOUBLE"))
+    o["customer_ltv_no_date"] = _with(no_date + " SELECT * EXCLUDE (customer_id), customer_id FROM ltv")
+    summary = _BASE + """,
+r AS (SELECT customer_id, date_sub('day', last_date, ref_date + INTERVAL 1 DAY) AS recency, CAST(orders AS BIGINT) AS frequency,
+             CAST(revenue_sum AS DOUBLE) AS monetary, CAST(customer_id % 5 AS INT) AS cluster FROM b, ref),
+mn AS (SELECT cluster, AVG(recency) AS r, AVG(frequency) AS f, AVG(monetary) AS m FROM r GROUP BY 1),
+rk AS (SELECT x.cluster,
+              SUM(CASE WHEN y.m < x.m THEN 1.0 WHEN y.m = x.m THEN 0.5 ELSE 0 END)
+            + SUM(CASE WHEN y.f < x.f THEN 1.0 WHEN y.f = x.f THEN 0.5 ELSE 0 END)
+            - SUM(CASE WHEN y.r < x.r THEN 1.0 WHEN y.r = x.r THEN 0.5 ELSE 0 END) AS score FROM mn x, mn y GROUP BY 1),
+lb AS (SELECT cluster, row_number() OVER (ORDER BY score DESC, cluster) AS pos FROM rk),
+sg AS (SELECT r.*, CASE pos WHEN 1 THEN 'Champions' WHEN 2 THEN 'Loyal Customers' WHEN 3 THEN 'At Risk'
+                            WHEN 4 THEN 'Lost/Inactive' ELSE 'Segment ' || pos END AS segment FROM r JOIN lb USING (cluster)),
+sm AS (SELECT segment, COUNT(*) AS customers, CAST(round_even(AVG(recency), 0) AS BIGINT) AS avg_recency,
+              round_even(AVG(frequency), 1) AS avg_frequency, round_even(AVG(monetary), 2) AS avg_monetary,
+              SUM(monetary) AS total_revenue FROM sg GROUP BY 1)"""
+    o["fixed_cluster_summary"] = _with(summary + " SELECT * FROM sm")
+    o["fixed_cluster_insights"] = _with(summary + """
+SELECT segment, customers, avg_monetary, CASE segment WHEN 'Champions' THEN 'reward_loyalty'
+  WHEN 'Loyal Customers' THEN 'upsell_premium' WHEN 'At Risk' THEN 'win_back_campaign'
+  WHEN 'Lost/Inactive' THEN 're_engagement_offer' ELSE 'review_segment' END AS action FROM sm""")
+    o["churn_split_sizes"] = _with(_CHURN_RULE + """
+SELECT churned, COUNT(*) AS customers,
+       CAST(LEAST(GREATEST(round(COUNT(*) * 0.2::DOUBLE), 1), COUNT(*) - 1) AS BIGINT) AS test FROM cr GROUP BY 1""")
+    return o
+
+
 def _oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["monthly_growth"] = _with(f"""
@@ -389,12 +463,12 @@ g AS (SELECT category, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM sales
       WHERE category IS NOT NULL GROUP BY 1)
 SELECT category, round_even(revenue / (SELECT SUM(revenue) FROM g) * 100, 2) AS percentage
 FROM g WHERE (SELECT COUNT(*) FROM g) > 1 ORDER BY revenue ASC, category DESC LIMIT 1""")
-    o["product_pareto"] = _with(_PRODUCT_TOP100 + """
+    o["product_pareto"] = _with(_PRODUCT_RANKS + """
 SELECT CAST(rk AS INT) AS product_rank, product, CAST(revenue AS DOUBLE) AS revenue,
        CAST(SUM(revenue) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
          / CAST((SELECT SUM(revenue) FROM t) AS DOUBLE) * 100 AS cumulative_pct
-FROM t QUALIFY rk <= 30""")
-    o["product_concentration"] = _with(_PRODUCT_TOP100 + """,
+FROM t""")
+    o["product_concentration"] = _with(_PRODUCT_RANKS + """,
 s AS (SELECT CAST(SUM(CASE WHEN rk <= 3 THEN revenue END) AS DOUBLE) / CAST(SUM(revenue) AS DOUBLE) * 100 AS top3_pct,
              CAST(SUM(CASE WHEN rk <= 10 THEN revenue END) AS DOUBLE) / CAST(SUM(revenue) AS DOUBLE) * 100 AS top10_pct
       FROM t)
@@ -448,12 +522,15 @@ SELECT customers, high_risk, high_risk / customers * 100 AS high_risk_pct, mediu
        medium_risk / customers * 100 AS medium_risk_pct, high_value_high_risk, median_aov FROM s""")
     o["cohort_counts"] = _with(_COHORT + " SELECT cohort_month, period, customers FROM cc")
     o["cohort_retention"] = _with(_COHORT + " SELECT * FROM crp")
-    o["cohort_display"] = _with(_COHORT + " SELECT * FROM disp")
+    o["cohort_display"] = _with(_COHORT + """
+SELECT cohort_month, period, retention_pct FROM (
+  SELECT *, dense_rank() OVER (ORDER BY cohort_month DESC) AS c_r,
+            dense_rank() OVER (ORDER BY period) AS p_r FROM crp) z
+WHERE c_r <= 18 AND p_r <= 18""")
     o["retention_curve"] = _with(_COHORT + """
 SELECT period, AVG(retention_pct) AS retention_pct, COUNT(*) AS cohorts FROM disp GROUP BY 1""")
     o["cohort_sizes"] = _with(_COHORT + """
-SELECT cohort_month, customers AS new_customers FROM cc WHERE period = 0
-ORDER BY cohort_month DESC LIMIT 18""")
+SELECT cohort_month, customers AS new_customers FROM cc WHERE period = 0""")
     o["cohort_summary"] = _with(_COHORT + """,
 sz AS (SELECT CAST(trunc(AVG(customers)) AS BIGINT) AS avg_cohort_size,
               arg_max(cohort_month, customers * 100000 - epoch(cohort_month) / 86400)
@@ -501,10 +578,8 @@ SELECT AVG(CAST(ltv_segment = 'Platinum' AS DOUBLE)) * 100 AS platinum_pct,
        COUNT(*) FILTER (WHERE churn_probability > 0.7 AND ltv_segment IN ('Platinum', 'Gold'))
          AS high_value_at_risk FROM ltv""")
     o["basket_items"] = _with("""
-top AS (SELECT product, COUNT(*) AS lines FROM sales WHERE product IS NOT NULL
-        GROUP BY 1 ORDER BY lines DESC, product LIMIT 50)
 SELECT order_id, product, SUM(revenue) > 0 AS in_basket FROM sales
-WHERE order_id IS NOT NULL AND product IN (SELECT product FROM top) GROUP BY 1, 2""")
+WHERE order_id IS NOT NULL AND product IS NOT NULL GROUP BY 1, 2""")
     o["product_associations"] = _with(_rules(0.005) + " SELECT * FROM rules")
     o["product_associations_low_support"] = _with(_rules(0.001) + " SELECT * FROM rules")
     o["product_recommendations"] = _with(_rules(0.005) + """,
@@ -633,13 +708,10 @@ SELECT (SELECT code FROM hits ORDER BY region_rank, code_rank, country_rank LIMI
         PURCHASES_SQL)
     o["forecast_fit_quality_purchases"] = _with(_fit("0", 0) + f" SELECT {_FIT_LABELS} FROM fit",
                                                 PURCHASES_SQL)
-    o["top_products_purchases"] = ("SELECT CAST(NULL AS VARCHAR) AS product, "
-                                   "CAST(NULL AS DOUBLE) AS revenue WHERE 1 = 0")
-    o["product_associations_purchases"] = (
-        "SELECT CAST(NULL AS VARCHAR) AS product_a, CAST(NULL AS VARCHAR) AS product_b, "
-        "CAST(NULL AS DOUBLE) AS support, CAST(NULL AS DOUBLE) AS confidence, "
-        "CAST(NULL AS DOUBLE) AS lift WHERE 1 = 0")
-    cells = ", ".join(f'MAX(CASE WHEN period = {i} THEN retention_pct END) AS "{i}"'
-                      for i in range(48))
-    o["retention_matrix"] = _with(_COHORT + f" SELECT cohort_month, {cells} FROM crp GROUP BY 1")
-    return o
+    o["retention_matrix"] = _with(_COHORT + """,
+months AS (SELECT DISTINCT cohort_month FROM crp),
+axis AS (SELECT unnest(range(0, (SELECT MAX(period) + 1 FROM crp))) AS period),
+grid AS (SELECT months.cohort_month, CAST(axis.period AS INT) AS period FROM months, axis)
+SELECT cohort_month, list(retention_pct ORDER BY period) AS retention_pct
+FROM grid LEFT JOIN crp USING (cohort_month, period) GROUP BY 1""")
+    return o | _ingest_oracles()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UTF8 = "UTF-8"
 LATIN1 = "ISO-8859-1"
 
+# Cell texts that mean "no value".
+NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 
 def detect_encodings(spark: SparkSession, paths: str | list[str]) -> dict[str, str]:
     """Per file: UTF-8 when every line is valid UTF-8, else Latin-1.
@@ -21,13 +27,23 @@ def detect_encodings(spark: SparkSession, paths: str | list[str]) -> dict[str, s
 
 def read_sales_csv(spark: SparkSession, path: str, encoding: str | None = None,
                    multi_line: bool = False) -> DataFrame:
-    """Header row + all columns as strings (types come from cleaning).
+    """Header row + all columns as strings (types come from cleaning); null
+    markers are NULL.  Files of a folder are read in the encoding of each.
 
     Files are split across tasks.  ``multi_line=True`` accepts quoted fields
     that span lines, at the price of one task per file (such files cannot be
     split)."""
+    groups: dict[str, list[str]] = {}
     if encoding is None:
-        found = set(detect_encodings(spark, path).values())
-        encoding = LATIN1 if LATIN1 in found else UTF8
-    return (spark.read.option("header", True).option("encoding", encoding)
-                 .option("multiLine", multi_line).option("escape", '"').csv(path))
+        for file, code in detect_encodings(spark, path).items():
+            groups.setdefault(code, []).append(file)
+    parts = [spark.read.option("header", True).option("encoding", code)
+                  .option("multiLine", multi_line).option("escape", '"').csv(files)
+             for code, files in (groups or {encoding or UTF8: [path]}).items()]
+    return nulls_for_markers(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def nulls_for_markers(raw: DataFrame) -> DataFrame:
+    """Cells that hold a null marker become NULL."""
+    cell = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return raw.select(*[F.when(~F.trim(cell(c)).isin(NULL_MARKERS), cell(c)).alias(c) for c in raw.columns])

@@ -45,3 +45,72 @@ def sales_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return s.select(*[(cols.get(c, F.col(c).cast("string"))).alias(h)
                       for c, h in TEXT_HEADERS.items()])
+
+
+# Date spellings of the text rendering, by order number.
+DATE_STYLES = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "M/d/yyyy h:mm a", "yyyyMMdd",
+               "MMMM d, yyyy", "d MMM yyyy", "M/d/yyyy"]
+
+
+def order_date_texts(spark: SparkSession, sf_dir: str, styles: list[str] = DATE_STYLES) -> DataFrame:
+    """(o_orderkey, date): every order's date as text, in a style that changes
+    from order to order."""
+    o = table(spark, sf_dir, "orders")
+    pick = F.pmod(F.col("o_orderkey"), F.lit(len(styles)))
+    text = F.lit(None).cast("string")
+    for i, style in enumerate(styles):
+        text = F.when(pick == i, F.date_format("o_orderdate", style)).otherwise(text)
+    return o.select("o_orderkey", text.alias("date"))
+
+
+def quantity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, quantity): quantities as text, with blanks,
+    decimals, words, NaN and numbers beyond an int or a long among them."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(8))
+    odd = {1: "99999999999", 2: "NaN", 3: " 7.9 ", 4: "many", 5: "1e30", 6: "-3"}
+    text = F.col("l_quantity").cast("int").cast("string")
+    for k, v in odd.items():
+        text = F.when(n == k, F.lit(v)).otherwise(text)
+    return li.select("l_orderkey", "l_linenumber", F.when(n != 7, text).alias("quantity"))
+
+
+# Misspelt headers, each within the fuzzy threshold of its standard.
+FUZZY_HEADERS = {
+    "date": "Ordr Date", "revenue": "Revenuee", "quantity": "Quantty", "customer_id": "Custmer ID",
+    "product": "Product Nme", "category": "Catgory", "region": "Regionn", "order_id": "Order Idd",
+}
+
+
+def sales_under(spark: SparkSession, sf_dir: str, headers: dict[str, str]) -> DataFrame:
+    """The text rendering of the sales view under other headers."""
+    return sales_as_text(spark, sf_dir).withColumnsRenamed({TEXT_HEADERS[k]: v for k, v in headers.items()})
+
+
+# Country names that stand for the nations of the tables.
+COUNTRIES = ["Germany", "United Kingdom", "India", "Brazil"]
+
+
+def sales_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales view with country names as regions: a nation's number, modulo
+    the number of names, chooses the name."""
+    s = sales(spark, sf_dir)
+    number = F.regexp_extract("region", "([0-9]+)$", 1).cast("int")
+    return s.withColumn("region", F.get(F.array(*[F.lit(c) for c in COUNTRIES]), F.pmod(number, F.lit(len(COUNTRIES)))))
+
+
+def flat_price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order_id, quantity, revenue): lines that carry a unit price, the same on
+    every line of an order, where a line total should be."""
+    li = table(spark, sf_dir, "lineitem")
+    price = li.groupBy("l_orderkey").agg(F.min(F.col("l_extendedprice").cast("decimal(12,2)")).alias("revenue"))
+    return li.select("l_orderkey", F.col("l_quantity").cast("int").alias("quantity")).join(price, "l_orderkey") \
+        .withColumnRenamed("l_orderkey", "order_id")
+
+
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, quantity, list_price): no revenue column, prices
+    as text."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"),
+                     F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("list_price"))
