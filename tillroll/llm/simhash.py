@@ -5,14 +5,18 @@ its word shingles.  Fingerprints link at ``MAX_BITS`` = 4 or fewer differing
 bits; documents of one connected component are near copies.
 
 Candidate search.  The fingerprint is cut into three segments of 22, 21 and 21
-bits, read as words of the perfect binary Golay code [23, 12, 7].  The keys of
-a word are the indices (12 bits) of all codewords within distance 4 of it: the
+bits, read as words of the perfect binary Golay code [23, 12, 7].  The indices
+(12 bits) of a word are those of all codewords within distance 4 of it: the
 nearest one alone when that is within 2, else the nearest and the five at
-distance 4.  Two words within distance 2 always share such a codeword (tested
-for all words and errors).  Of 4 errors in three segments the two least damaged
-ones have at most 2 together, so a pair of links agrees in a key of two
-segments: 24 bits and the pair's number.  A fingerprint has 84 keys on average;
-of n fingerprints about 28 n / 2^24 meet by chance at a key.
+distance 4, 5.35 on average.  Two words within distance 2 always share such a
+codeword.  Of 4 errors in three segments, either
+
+- a segment has none, and of the other two one has at most 2: the keys are a
+  whole segment with an index of another one (six ways, 34 bits), or
+- every segment has one or two: the key is an index of all three (36 bits).
+
+A fingerprint has 185 keys on average, selective enough that strangers rarely
+meet: rows after the key count stay in proportion to the near copies.
 
 Groups of copies.  Equal fingerprints are one node.  At every key, members link
 to the key's smallest fingerprint (verified), which joins dense groups without
@@ -29,7 +33,7 @@ and components are joins and aggregates on (key, fingerprint), 16 bytes a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -145,15 +149,19 @@ def codeword_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every fingerprint: for each pair of segments, the pair's
-    number and one codeword index of either."""
-    indexed = [codeword_indices((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)) for at, bits in SEGMENTS]
+    """(row, key) of every fingerprint: a segment with an index of another one,
+    and indices of all three; the high bits say which."""
+    parts = [((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
+    indexed = [codeword_indices(p) for p in parts]
     rows, keys = [], []
-    for no, ((ia, ra), (ib, rb)) in enumerate(combinations(indexed, 2)):
-        real = ra[:, :, None] & rb[:, None, :]
-        key = (no << 24) | (ia[:, :, None] << 12) | ib[:, None, :]
+    for no, (i, j) in enumerate(permutations(range(3), 2)):
+        index, real = indexed[j]
         rows.append(np.nonzero(real)[0])
-        keys.append(key[real])
+        keys.append(((no << 36) | (parts[i][:, None] << 12) | index)[real])
+    (ia, ra), (ib, rb), (ic, rc) = indexed
+    real = ra[:, :, None, None] & rb[:, None, :, None] & rc[:, None, None, :]
+    rows.append(np.nonzero(real)[0])
+    keys.append(((6 << 36) | (ia[:, :, None, None] << 24) | (ib[:, None, :, None] << 12) | ic[:, None, None, :])[real])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -161,8 +169,8 @@ def keyed(prints: DataFrame) -> DataFrame:
     """(print) -> (key, print), several keys each."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 4096):
-                p = b["print"].to_numpy(dtype=np.int64)[at:at + 4096]
+            for at in range(0, len(b), 1024):
+                p = b["print"].to_numpy(dtype=np.int64)[at:at + 1024]
                 row, key = golay_keys(p.view(np.uint64))
                 yield pd.DataFrame({"key": key, "print": p[row]})
 
@@ -242,11 +250,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one document of each component: the one with the smallest
     id.  Rows equal in all columns count as one; a component without any id
     keeps its distinct rows."""
-    found = near_copies(docs, id_col, text_col, words, bits)
-    own = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept = found.where(own).select(F.col(id_col).alias(f"{P}id")).distinct()
-    row = f"{P}row"
-    return (docs.join(kept, F.col(id_col).eqNullSafe(F.col(f"{P}id")), "left_semi")
+    text, row = f"{P}text", f"{P}row"
+    hashed = docs.select(id_col, F.xxhash64(text_col).alias(text), fingerprints(words)(F.col(text_col)).alias("print"))
+    found = near_prints(hashed, id_col, bits).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col(id_col).alias(f"{P}id"), F.col(text).alias(f"{P}kept")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(f"{P}id")) & (F.xxhash64(text_col) == F.col(f"{P}kept"))
+    return (docs.join(kept, same, "left_semi")
             .withColumn(row, F.xxhash64(*docs.columns)).dropDuplicates([id_col, row]).drop(row))
 
 
