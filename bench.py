@@ -18,7 +18,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tillroll.operators import (basket, churn, cohort, customers, forecast, kpi,  # noqa: E402
+from tillroll.operators import (basket, churn, cohort, customers, forecast, insights, kpi,  # noqa: E402
                                 ltv, performance, products, timeseries)
 from tillroll.operators._common import intermediates, release  # noqa: E402
 from tillroll.session import get_spark  # noqa: E402
@@ -40,6 +40,7 @@ HEADLINE = {
     "forecast_revenue": forecast.forecast_revenue,
     "forecast_by_category": forecast.forecast_by_category,
     "moving_average_forecast": forecast.moving_average_forecast,
+    "recommendations": insights.recommendations,
 }
 
 

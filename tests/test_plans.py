@@ -15,7 +15,7 @@ from tillroll.sources import fixtures  # noqa: E402
 from tillroll.sources.tables import write_table  # noqa: E402
 
 # measured in PLANS.md; extra passes are narrow column scans
-EXTRA_PASSES = {"kpi_summary": 3, "product_associations": 2, "product_performance": 2}
+EXTRA_PASSES = {"kpi_summary": 3, "product_performance": 2, "recommendations": 4}
 
 
 @pytest.fixture(scope="module")

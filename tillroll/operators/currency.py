@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Currency code -> (symbol, name, countries / regions).
+# Currency code -> (symbol, countries / regions).
 CURRENCIES = {
-    "GBP": ("£", "British Pound",
-            ["united kingdom", "uk", "england", "scotland", "wales", "great britain"]),
-    "USD": ("$", "US Dollar", ["united states", "usa", "us", "america"]),
-    "EUR": ("€", "Euro",
-            ["france", "germany", "italy", "spain", "netherlands", "belgium",
+    "GBP": ("£", ["united kingdom", "uk", "england", "scotland", "wales", "great britain"]),
+    "USD": ("$", ["united states", "usa", "us", "america"]),
+    "EUR": ("€", ["france", "germany", "italy", "spain", "netherlands", "belgium",
              "portugal", "austria", "finland", "ireland", "greece", "europe"]),
-    "INR": ("₹", "Indian Rupee", ["india"]),
-    "JPY": ("¥", "Japanese Yen", ["japan"]),
-    "AUD": ("A$", "Australian Dollar", ["australia"]),
-    "CAD": ("C$", "Canadian Dollar", ["canada"]),
-    "BRL": ("R$", "Brazilian Real", ["brazil", "brasil"]),
+    "INR": ("₹", ["india"]),
+    "JPY": ("¥", ["japan"]),
+    "AUD": ("A$", ["australia"]),
+    "CAD": ("C$", ["canada"]),
+    "BRL": ("R$", ["brazil", "brasil"]),
 }
 # File-name hints, checked in this order.
 SOURCE_HINTS = {
@@ -34,8 +32,8 @@ def symbol_counts(text: Column, parity: bool = False) -> list[tuple[str, Column]
     """(code, count) per registry currency.  Default: a plain ``$`` is only
     counted where it is not part of ``A$``/``C$``/``R$``."""
     out = []
-    multi = [sym for sym, _, _ in CURRENCIES.values() if len(sym) > 1]
-    for code, (sym, _, _) in CURRENCIES.items():
+    multi = [sym for sym, _ in CURRENCIES.values() if len(sym) > 1]
+    for code, (sym, _) in CURRENCIES.items():
         n = F.regexp_count(text, F.lit(_quote(sym)))
         if not parity and sym == "$":
             for m in multi:
@@ -76,7 +74,7 @@ def currency_from_files(spark: SparkSession, paths: str | list[str], parity: boo
 
 
 def registry_table(spark: SparkSession) -> DataFrame:
-    rows = [(code, ci, name, ri) for ci, (code, (_, _, regions)) in enumerate(CURRENCIES.items())
+    rows = [(code, ci, name, ri) for ci, (code, (_, regions)) in enumerate(CURRENCIES.items())
             for ri, name in enumerate(regions)]
     return spark.createDataFrame(rows, "code string, code_rank int, country string, "
                                        "country_rank int")

@@ -28,7 +28,8 @@ def top_products(sales: DataFrame, n: int = 10) -> DataFrame:
     """Top ``n`` products by revenue (ties by product name).  ``orderBy +
     limit`` plans as TakeOrderedAndProject: each task keeps only n rows."""
     if not has(sales, "product", "revenue"):
-        return empty(sales.sparkSession, "product string, revenue double")
+        return empty(sales.sparkSession, "product string, revenue double"
+                     + ", quantity bigint" * has(sales, "quantity") + ", orders bigint" * has(sales, "order_id"))
     t = product_totals(sales).orderBy(F.col("revenue").desc(), F.col("product")).limit(n)
     return t.withColumn("revenue", F.col("revenue").cast("double"))
 
@@ -36,7 +37,8 @@ def top_products(sales: DataFrame, n: int = 10) -> DataFrame:
 def _share_by(sales: DataFrame, key: str) -> DataFrame:
     if not has(sales, key, "revenue"):
         return empty(sales.sparkSession, f"{key} string, revenue double, percentage double")
-    g = non_null(sales, key).groupBy(key).agg(F.sum("revenue").cast("double").alias("revenue"))
+    # read for the rows and the total: one pass over the lines for both
+    g = reuse(non_null(sales, key).groupBy(key).agg(F.sum("revenue").cast("double").alias("revenue")))
     total = g.agg(F.sum("revenue").alias("_total"))
     out = with_scalars(g, total).withColumn(
         "percentage", round_even(share_pct("revenue", "_total"), 2))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions import round_even
 from tillroll.operators.customers import rfm
-from tillroll.schema import empty
+from tillroll.schema import empty, has
 
 # Segment names by cluster score (best first) and their actions.
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Lost/Inactive"]
@@ -48,10 +48,10 @@ def label_clusters(assigned: DataFrame, k: int, parity: bool = False) -> DataFra
     return assigned.join(F.broadcast(labels), "cluster", "left")  # k rows
 
 
-def kmeans_segments(sales: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42,
+def kmeans_segments(sales: DataFrame, k: int = 4, restarts: int = 1, seed: int = 42,
                     parity: bool = False) -> DataFrame:
-    """Standardised RFM -> k-means (best of ``restarts`` seeds by training
-    cost) -> labelled segments.  Fewer customers than k: the RFM table with
+    """Standardised RFM -> k-means (k-means|| starts; best of
+    ``restarts`` seeds by training cost) -> labelled segments.  Fewer customers than k: the RFM table with
     NULL cluster / segment."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
@@ -60,7 +60,7 @@ def kmeans_segments(sales: DataFrame, k: int = 4, restarts: int = 10, seed: int
     from tillroll.session import cut_lineage
 
     r = rfm(sales)
-    if "recency" not in r.columns:
+    if not has(sales, "date", "customer_id", "revenue"):
         return empty(sales.sparkSession, "customer_id string, recency bigint, frequency bigint, "
                                          "monetary double, cluster int, segment string")
     r = cut_lineage(r)   # k-means iterates over it restarts x iterations times
