@@ -159,3 +159,54 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(show(base), 256).alias("base_sha256"), show(pii).alias("spans"),
         F.array_join(F.transform(pii, lambda s: s["score"].cast("string")), ",").alias("scores"))
+
+
+def _op9_sql() -> str:
+    """The spans by splitting at the matches; the patterns in the plain form of
+    the contract.  RE2 has no look-around: word boundaries stand in for it."""
+    plain = PATTERNS | {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    }
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, t, {no} AS no, '{k}' AS kind, regexp_extract_all(t, '{plain[k]}') AS ms, "
+        f"string_split_regex(t, '{plain[k]}') AS gaps FROM d" for no, k in enumerate(KINDS))
+    base = "CASE kind " + " ".join(f"WHEN '{k}' THEN {SCORES[k]}" for k in KINDS) + " END"
+    near = " OR ".join(f"(kind = '{k}' AND regexp_matches(near, '{CONTEXT[k]}'))" for k in KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({matches}),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT doc_id, t, no, kind, ms[i] AS x, regexp_replace(ms[i], '[^0-9]', '', 'g') AS ds, replace(ms[i], ' ', '') AS ib,
+             CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(g) FOR g IN ms[1:i - 1]]), 0) AS BIGINT) AS a
+      FROM e),
+v AS (SELECT *, a + length(x) AS z FROM s WHERE CASE kind
+        WHEN 'email' THEN true
+        WHEN 'ip' THEN len([p FOR p IN string_split(x, '.') IF length(ltrim(p, '0')) > 3
+                            OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INT), 0) > 255]) = 0
+        WHEN 'card' THEN length(ds) BETWEEN 14 AND 19 AND list_sum([
+               CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(ds), i, 1) AS INT)
+                    ELSE (2 * CAST(substr(reverse(ds), i, 1) AS INT)) // 10 + (2 * CAST(substr(reverse(ds), i, 1) AS INT)) % 10 END
+               FOR i IN range(1, length(ds) + 1)]) % 10 = 0
+        WHEN 'phone' THEN length(ds) BETWEEN 10 AND 15
+        ELSE length(ib) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, [CASE WHEN ascii(c) < 65 THEN ascii(c) - 48
+               ELSE ascii(c) - 55 END FOR c IN string_split(ib[5:] || ib[:4], '')]),
+               lambda r, c: CASE WHEN c < 10 THEN (r * 10 + c) % 97 ELSE (r * 100 + c) % 97 END) = 1 END),
+c AS (SELECT *, lower(substr(t, greatest(a - {CONTEXT_CHARS}, 0) + 1, least(a, {CONTEXT_CHARS})) || ' '
+                      || substr(t, z + 1, {CONTEXT_CHARS})) AS near FROM v),
+f AS (SELECT doc_id, no, kind, a, z, kind || ':' || a || ':' || z AS span,
+             round({base} + CASE WHEN {near} THEN {CONTEXT_WEIGHT} ELSE {-CONTEXT_WEIGHT / 3} END, 2) AS score FROM c),
+g AS (SELECT doc_id, COUNT(*) FILTER (kind = 'email') AS n_email, COUNT(*) FILTER (kind = 'ip') AS n_ip,
+             COUNT(*) FILTER (kind = 'card') AS n_card, COUNT(*) FILTER (kind = 'phone') AS n_phone,
+             coalesce(string_agg(span, ',' ORDER BY a, no) FILTER (kind <> 'iban'), '') AS base,
+             string_agg(span, ',' ORDER BY a, no) AS spans,
+             string_agg(CAST(CAST(score AS DOUBLE) AS VARCHAR), ',' ORDER BY a, no) AS scores
+      FROM f WHERE kind <> 'iban' OR score >= {MIN_SCORE} GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (doc_id)"""
+
+
+OP9_SQL = _op9_sql()

@@ -10,9 +10,9 @@ from tillroll.llm.ann import op2_ann
 from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tillroll.llm.mixing import op8_mixing
 from tillroll.llm.packing import op4_packing
-from tillroll.llm.pii import op9_pii
+from tillroll.llm.pii import OP9_SQL, op9_pii
 from tillroll.llm.quality import op6_quality
-from tillroll.llm.sharding import op3_sharding
+from tillroll.llm.sharding import OP3_SQL, op3_sharding
 from tillroll.llm.simhash import op7_simhash
 from tillroll.llm.substring import op10_substring_dedup
 from tillroll.llm.topk import OP5_SQL, op5_topk
@@ -32,5 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op3_sharding": OP3_SQL,
     "op5_topk": OP5_SQL,
+    "op9_pii": OP9_SQL,
 }

@@ -67,3 +67,25 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stratified_shards(rows, N_SHARDS, "source", ("doc_id", "size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+# CRC-32 byte by byte, with its table made from the polynomial; the seeded order
+# and the cuts as in stratified_shards, by plain row numbers.
+OP3_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, source, coalesce(strlen(text), 0) + 16 AS size,
+             [CAST('0x' || p AS BIGINT) FOR p IN regexp_extract_all(hex(coalesce(text, '')), '..')] AS bytes FROM documents),
+c AS (SELECT doc_id, source, CAST(size AS BIGINT) AS size,
+             xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(t[CAST((xor(a, b) & 255) + 1 AS INT)], a >> 8)),
+                 4294967295) AS text_crc32 FROM d, tbl),
+k AS (SELECT *, coalesce('=' || source, 'null') AS stratum,
+             md5('20|' || coalesce('=' || doc_id, 'null') || '|=' || size || '|=' || text_crc32) AS key FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n_s,
+             CAST('0x' || substr(md5('20|=' || stratum), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank + u) / n_s, key, stratum) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * 40 // n AS INT) AS shard,
+       pos - (pos * 40 // n * n + 39) // 40 AS slot, CAST(NULL AS INT) AS grown_shard, source FROM p
+"""
