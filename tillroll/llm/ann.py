@@ -195,9 +195,10 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = K, fraction
             share = np.concatenate([np.arange(c) for c in copies]) if copies.sum() else np.array([], dtype=np.int64)
             yield out.assign(share=share)
 
-    shares = F.create_map(*[F.lit(x) for b, s in asked.items() if s > 1 for x in (b, s)]) if max(
-        asked.values(), default=0) > 1 else F.lit(None).cast("map<long,int>")
-    left = probes.withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce(shares[F.col("block")], F.lit(1))).cast("long"))
+    # at most MAX_BLOCKS rows and the blocks of split cells
+    shares = index.sparkSession.createDataFrame([(b, s) for b, s in asked.items()], "block long, shares long")
+    left = (probes.join(F.broadcast(shares), "block")
+            .withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares"))).drop("shares"))
     right = (index.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 40)))
              .mapInPandas(deal, "id long, v array<double>, cell long, block long, share long"))
     tiles = max(1, sum(asked.values()))
