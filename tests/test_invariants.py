@@ -28,8 +28,8 @@ def test_shares_sum_to_100(sales):
 def test_support_bounded_by_item_support(sales):
     items, pairs, total = basket.cooccurrence(sales)
     n = total.first()["n"]
-    counts = dict(items.select("idx", "orders").collect())
-    for a, b, both in pairs.select("a", "b", "both").collect():
+    counts = dict(items.select("product", "orders").collect())
+    for a, b, both in pairs.select("product_a", "product_b", "both").collect():
         assert both <= min(counts[a], counts[b]) <= n
     for r in basket.product_associations(sales, min_support=0.001).collect():
         assert r["support"] <= r["confidence"] + 1e-4 and r["lift"] > 1.1
