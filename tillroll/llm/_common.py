@@ -27,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back, so
     later passes and lost executors restart from the files."""
+    ship_package(df.sparkSession)
     return write_table(df, f"llm-{name}")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tillroll.llm._common import P, table, without
+from tillroll.session import ship_package
 
 TRIGRAM_BITS = 18
 REPEATS = 8         # word n-grams of one repeated word, n = 2 to 9
@@ -165,6 +166,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     class, all documents get the same score, on that class's side (class 1
     without labels).  Repeated rows get equal scores; an empty table gives an
     empty result; input columns named score or predicted are replaced."""
+    ship_package(docs.sparkSession)
     ratio, w, bias = train(docs if train_docs is None else train_docs, labels, id_col, text_col, **options)
     # what the margin needs per feature, in single precision: fixed size
     model = docs.sparkSession.sparkContext.broadcast((ratio.astype(np.float32), w.astype(np.float32), bias))
