@@ -72,6 +72,9 @@ def blocks(rows: DataFrame) -> DataFrame:
     keyed = halves(rows)
     shared = (keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
               .where("low < high").select("key"))
+    # a written table: joined from files, the key of a line that fills a third of
+    # the corpus is a skewed key that adaptive execution splits
+    shared = written(shared, "line-keys")
     return (keyed.join(shared, "key", "left_semi").groupBy("key", "h")
             .agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")))
 
@@ -143,6 +146,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = here.groupBy("h", "g").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"))
     earliest = (first.join(near, "h", "left").where((F.col("n") > 1) | F.col("near").isNotNull())
                 .select("h", "g", F.least("first", F.coalesce("near", "first")).alias("first")))
+    earliest = written(earliest, "line-first")
     return here.join(earliest, ["h", "g"]).where(F.col("first") < pos).select("doc", "text_hash", "line_no")
 
 
