@@ -243,7 +243,7 @@ def _registry() -> dict[str, Query]:
         "date_report": lambda s, d: clean.date_report(derived.order_date_texts(s, d, ["M/d/yyyy", "'on' d MMM"])),
         "clean_quantities": lambda s, d: clean.clean_quantity(derived.quantity_texts(s, d)),
         "unit_price_fixed": lambda s, d: clean.fix_unit_price(derived.flat_price_lines(s, d))
-                                              .groupBy("order_id").agg(F.sum("revenue").alias("revenue")),
+                                              .groupBy("order_id").agg(F.sum("revenue").cast("decimal(38,2)").alias("revenue")),
         "derived_revenue": lambda s, d: clean.derive_revenue(derived.priced_lines(s, d))
                                              .select("l_orderkey", "l_linenumber", "revenue"),
         "sales_columns_profile": _profile,
