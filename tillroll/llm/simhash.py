@@ -37,7 +37,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -188,21 +188,27 @@ def linked(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     be distinct."""
     if not 0 <= bits <= 4:
         raise ValueError("the Golay keys find links of at most 4 differing bits")
-    keys = keyed(prints)
-    heads = (keys.groupBy("key").agg(F.min("print").alias("head"), F.max("print").alias("last"))
-             .where("head < last").select("key", "head"))
-    members = written(keys.join(heads, "key"), "simhash-members")
+    # a fingerprint is 8 bytes but has 185 keys: spread them before making keys
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keyed(prints.repartition(parts, "print"))
+    # one shuffle of 16-byte rows; a key holds distinct fingerprints that agree in
+    # 34 bits or more, however many documents have them
+    at_key = Window.partitionBy("key")
+    members = written(keys.withColumns({"head": F.min("print").over(at_key), "last": F.max("print").over(at_key)})
+                      .where("head < last").drop("last"), "simhash-members")
     stars = members.where(F.col("print") != F.col("head")).where(near("print", "head", bits))
     found = written(components(stars.select(F.col("print").alias("a"), F.col("head").alias("b"))), "simhash-stars")
     labels = found.select(F.col("node").alias("print"), F.col("component").alias("label"))
-    placed = (members.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
-              .join(labels.select(F.col("print").alias("head"), F.col("label").alias("head_label")), "head", "left")
-              .withColumn("head_label", F.coalesce("head_label", "head")))
-    # keys at which members of a second component stand
-    mixed = placed.where("label <> head_label").select("key").distinct()
-    placed = written(placed.join(mixed, "key", "left_semi"), "simhash-mixed")
-    outside = placed.where("label <> head_label").select("key", F.col("print").alias("one"), F.col("label").alias("one_label"))
-    others = placed.select("key", F.col("print").alias("two"), F.col("label").alias("two_label"))
+    # members linked to their head are in its component; of the others, those of
+    # another component, and whom they can meet at their keys
+    heads = labels.select(F.col("print").alias("head"), F.col("label").alias("head_label"))
+    far = (members.where(F.col("print") != F.col("head")).where(~near("print", "head", bits))
+           .join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
+           .join(heads, "head", "left").withColumn("head_label", F.coalesce("head_label", "head")))
+    outside = written(far.where("label <> head_label")
+                      .select("key", F.col("print").alias("one"), F.col("label").alias("one_label")), "simhash-outside")
+    others = (members.join(outside.select("key").distinct(), "key", "left_semi").join(labels, "print", "left")
+              .select("key", F.col("print").alias("two"), F.coalesce("label", "print").alias("two_label")))
     more = (outside.join(others, (outside["key"] == others["key"]) & (F.col("one_label") != F.col("two_label"))
                          & near("one", "two", bits))
             .select(F.col("one_label").alias("a"), F.col("two_label").alias("b")).distinct())
