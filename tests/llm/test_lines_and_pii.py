@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -47,6 +48,19 @@ def test_lines_match_brute_force(spark):
     assert got == set(zip((i for i, _ in docs), brute_dedup(docs)))
 
 
+def test_insertions_at_every_length_match_brute_force(spark):
+    rnd = random.Random(93)
+    short = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in range(1, 501)]
+    insert = lambda t, i: t[:i] + "#" + t[i:]
+    docs = [(1, "\n".join(short)), (2, "\n".join(insert(t, len(t) // 8) for t in short))]
+    other = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n)) for n in range(1, 501)]
+    docs += [(3, "\n".join(insert(t, len(t) * 7 // 8) for t in other)), (4, "\n".join(other))]
+    got = {r["doc_id"]: r["text"] for r in dicts(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))}
+    for (i, _), want in zip(docs, brute_dedup(docs)):
+        assert sorted(map(len, got[i].split("\n"))) == sorted(map(len, want.split("\n")))
+        assert got[i] == want
+
+
 def test_lines_odd_rows(spark):
     out = line_dedup.dedup_lines(odd(spark).withColumnRenamed("shard", "n_lines"))
     rows = dicts(out)

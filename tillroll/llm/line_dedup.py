@@ -9,7 +9,9 @@ distance 1 (one character inserted, deleted or replaced).  Blank lines stay.
    (the length of a half depends only on the line's length class, so partners
    of different length agree on it), and only lines whose key another text
    shares go on.  This is lossless and leaves a few per cent of prose.
-   Remainders still longer than ``MAX_REST`` are halved again the same way.
+   Remainders still longer than ``MAX_REST`` are halved again the same way;
+   those of just ``MAX_REST`` both stay and are halved, as the partner of either
+   length needs.
 2. ``variants``: every deletion of one character from the remainder, as a
    hashed key with the deleted place, and the remainder itself as a centre.
 3. Equal keys are joined: a variant that equals a centre is an insertion or
@@ -89,10 +91,13 @@ def candidates(lines: DataFrame) -> DataFrame:
              .agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")))
     columns = ["key", "h", "pos", "rest"]
     found = written(blocks(start.where(size >= CLASS)).select(columns).unionByName(short.select(columns)), "line-blocks")
+    done = found.where(size <= MAX_REST)
     while (found.agg(F.max(size)).first()[0] or 0) > MAX_REST:
-        found = written(blocks(found.where(size > MAX_REST)).select(columns)
-                        .unionByName(found.where(size <= MAX_REST)), "line-blocks")
-    return found
+        # remainders of MAX_REST are compared as they are, and also halved: the
+        # partner that is one character longer is
+        found = written(blocks(found.where(size >= MAX_REST)).select(columns), "line-blocks")
+        done = done.unionByName(found.where(size <= MAX_REST))
+    return done
 
 
 def variants(cand: DataFrame) -> DataFrame:
