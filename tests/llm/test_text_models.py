@@ -217,6 +217,16 @@ def test_chain_is_optimal(seed):
     assert abs(value(paths[0]) - brute_chain(x, y, n)) < 1e-9
 
 
+def test_stock_sentences_do_not_hide_a_passage(spark):
+    # every seed of the passage stands in a piece, and every piece in an earlier and a later document
+    passage = prose(600, 60).split()
+    stock = [" ".join(passage[i:i + 24]) for i in range(0, 37, 12)]
+    docs = [(100, f"{prose(700, 40)} {' '.join(passage)} {prose(701, 40)}"), (200, f"{prose(702, 30)} {' '.join(passage)} {prose(703, 30)}")]
+    docs += [(low + i, f"{prose(710 + low + i, 30)} {t} {prose(1310 + low + i, 30)}") for low in (1, 301) for i, t in enumerate(stock)]
+    rows = dicts(substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert any(r["doc_id"] == 200 and r["other_doc_id"] == 100 and r["start_word"] <= 30 and r["end_word"] >= 90 for r in rows)
+
+
 def test_substring_odd_rows(spark):
     rows = dicts(substring.repeated_passages(odd(spark)))
     assert {(r["doc_id"], r["other_doc_id"]) for r in rows} == {(2, 1), (7, 6), (12, 1), (12, 2)}
