@@ -110,6 +110,16 @@ def test_pack_odd_rows_and_long_documents(spark):
     assert dicts(packing.pack(none(spark), packing.word_count("text"))) == []
 
 
+def test_boundaries_over_long_documents_are_optimal(spark):
+    lengths = [9001] * 3 + [9002] * 2 + [20_001, 20_003, 20_005, 20_005, 70_001]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, words long")
+    rows = dicts(packing.pack(df, F.col("words"), n_buckets=4))
+    check_packed(rows, packing.TOKEN_BUDGET)
+    best = min(padding(Counter(lengths), [*edges, 70_001]) for edges in itertools.combinations(sorted(set(lengths))[:-1], 3))
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in rows) == best
+    assert max(r["bucket_len"] for r in rows) == 70_001
+
+
 def test_length_bins(spark):
     got = spark.range(1, 70_000, 7).select("id", packing.binned(F.col("id")).alias("b")).collect()
     assert all(r["id"] <= r["b"] <= r["id"] * (1 + 1 / 2048) + 1e-9 for r in got)

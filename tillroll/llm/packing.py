@@ -6,11 +6,10 @@ total padding when every document is padded to its bucket's boundary.  Inside
 each bucket, documents in seeded-shuffled order form batches whose padded size
 stays within the token budget.
 
-Scale: the histogram is one map-side-combined aggregate with at most 4,096
-bins per power of two of document length (lengths above 4,096 round up to
-their bin's edge, below 0.03 %), so its size does not grow with the number of
-documents.  Places inside a bucket come from ``positions``: no task holds a
-whole bucket.
+Scale: the histogram is one map-side-combined aggregate with one row per
+distinct length, so its size is bounded by the lengths that occur, of which few
+are long, and not by the number of documents.  Places inside a bucket come from
+``positions``: no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ def word_count(text: str) -> Column:
 
 def binned(length: Column) -> Column:
     """Exact up to 4,096; above, rounded up to the edge of one of 4,096 bins
-    per power of two."""
+    per power of two.  ``pack`` does not round: its lengths are exact."""
     step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(length)) - F.lit(13), F.lit(0)))
     return F.when(length <= 4096, length).otherwise((F.ceil(length / step) * step).cast("long"))
 
@@ -95,7 +94,7 @@ def pack(docs: DataFrame, length: Column, n_buckets: int = N_BUCKETS, token_budg
     measured = docs.withColumn(f"{P}n", length)
     docs = without(measured, *out).withColumnRenamed(f"{P}n", "n_tokens")
     cols = docs.columns
-    rows = written(docs.withColumn(f"{P}len", binned(F.col("n_tokens")))
+    rows = written(docs.withColumn(f"{P}len", F.col("n_tokens"))
                    .withColumn(f"{P}key", shuffle_key(seed, id_col, "n_tokens")), "pack-rows")
     histogram = {r[0]: r[1] for r in rows.groupBy(f"{P}len").count().collect()}
     edges = optimal_boundaries(histogram, n_buckets)
