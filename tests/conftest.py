@@ -3,10 +3,8 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-SF_SMALL = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
 
 @pytest.fixture(scope="session")
@@ -17,9 +15,3 @@ def spark():
     checkpoint_dir(s)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Sorted list of tuples (selected columns), for order-free comparison."""
-    sel = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in sel.collect())

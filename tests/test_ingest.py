@@ -4,7 +4,7 @@ import difflib
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from shared import rows
 from tillroll.operators import clean, columns, currency
 from tillroll.plans.ingest import load_sales, standardize
 from tillroll.sources.csv import LATIN1, UTF8, detect_encodings

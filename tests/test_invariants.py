@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from shared import SF_SMALL
 from tillroll.operators import (basket, churn, cohort, forecast, ltv, products)
 from tillroll.sources import fixtures
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from shared import SF_SMALL
 from tillroll.operators import churn, segments
 from tillroll.sources import fixtures
 

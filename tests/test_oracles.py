@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from shared import SF_SMALL
 from tillroll.plans.catalog import registry
 from tillroll.plans.oracles import oracles
 

@@ -6,7 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from shared import rows
 from tillroll.operators import _common, churn, clean, cohort, columns, customers, kpi, ltv, performance, products, timeseries
 from tillroll.operators.columns import parse_timestamp
 from tillroll.plans.ingest import load_currency, load_files, load_sales, preview

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from shared import rows
 from tillroll.functions import elapsed_days, parse_amount
 from tillroll.operators import (basket, cohort, forecast, kpi, ltv, performance, products,
                                 segments, stats, timeseries)
