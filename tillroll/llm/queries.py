@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm.ann import op2_ann
+from tillroll.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tillroll.llm.mixing import op8_mixing
 from tillroll.llm.packing import op4_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op3_sharding": OP3_SQL,
     "op5_topk": OP5_SQL,
     "op9_pii": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
