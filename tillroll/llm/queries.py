@@ -16,6 +16,7 @@ from tillroll.llm.quality import op6_quality
 from tillroll.llm.sharding import OP3_SQL, op3_sharding
 from tillroll.llm.simhash import op7_simhash
 from tillroll.llm.substring import op10_substring_dedup
+from tillroll.llm.token_files import op11_token_files
 from tillroll.llm.topk import OP5_SQL, op5_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_files": op11_token_files,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
