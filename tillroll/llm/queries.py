@@ -11,6 +11,7 @@ from tillroll.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from tillroll.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tillroll.llm.mixing import op8_mixing
 from tillroll.llm.packing import op4_packing
+from tillroll.llm.periodic import op12_periodic_runs
 from tillroll.llm.pii import OP9_SQL, op9_pii
 from tillroll.llm.quality import op6_quality
 from tillroll.llm.sharding import OP3_SQL, op3_sharding
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_files": op11_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
