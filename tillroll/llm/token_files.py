@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,8 +50,9 @@ INDEX_ROWS = 1_000
 BLOOM_FPP = 0.01
 MAX_TOKENIZER_BYTES = 64 << 20
 MAX_FILES_BROADCAST = 1_000_000      # (file, offset) pairs of 16 bytes
-CACHE_BYTES = 160 << 20               # per Python worker
-BATCH_BYTES = 4 << 20                # text whose ids are in memory at once (one text may be longer)
+CACHE_BYTES = 160 << 20              # per Python worker
+ENTRY_BYTES = 170                    # of a kept piece besides its bytes and ids
+BATCH_BYTES = 8 << 20                # text whose ids are in memory at once (one text may be longer)
 FILE_SCHEMA = "part int, doc_id long, before long, n_tokens int, ids array<int>"
 
 
@@ -67,28 +69,39 @@ def cuttable(tokenizer_json: str) -> bool:
 
 
 def _kinds() -> np.ndarray:
-    """Kind of every byte: 1 visible ASCII, 2 blank or line feed, 4 ASCII letter,
-    8 line feed."""
+    """Kind of every byte: 1 visible ASCII, 2 blank or line feed, 4 ASCII letter."""
     kind = np.zeros(256, dtype=np.uint8)
     kind[0x21:0x7f] = 1
     kind[[0x20, 0x0a]] = 2
-    kind[0x0a] |= 8
     kind[np.r_[0x41:0x5b, 0x61:0x7b]] |= 4
     return kind
 
 
-KINDS = _kinds()
+def _letter_leads() -> np.ndarray:
+    """First bytes of two-byte characters that are all letters but U+00D7 and
+    U+00F7: U+00C0 to U+027F and U+0400 to U+047F."""
+    lead = np.zeros(256, dtype=bool)
+    lead[np.r_[0xc3:0xca, 0xd0:0xd2]] = True
+    return lead
+
+
+KINDS, LETTER_LEADS = _kinds(), _letter_leads()
 
 
 def piece_starts(data: np.ndarray) -> np.ndarray:
     """Marks of the UTF-8 bytes where a piece always starts: a blank or line feed
-    after a visible character, another visible character after a letter, a
-    visible character after a line feed that follows one."""
+    after a visible character, a visible ASCII character that is no letter after
+    a letter, a visible character after a line feed that follows one."""
     kind = KINDS[data]
+    lead = np.flatnonzero(LETTER_LEADS[data])
+    lead = lead[lead + 1 < len(data)]
+    lead = lead[~((data[lead] == 0xc3) & np.isin(data[lead + 1], [0x97, 0xb7]))]
+    kind[lead + 1] = 5                                       # the last byte of a letter
     visible, blank, letter = (kind & 1).astype(bool), (kind & 2).astype(bool), (kind & 4).astype(bool)
+    plain = visible & ~letter
     starts = np.zeros(len(data) + 1, dtype=bool)
-    starts[1:-1] = (visible[:-1] & blank[1:]) | (letter[:-1] & visible[1:] & ~letter[1:])
-    starts[2:-1] |= visible[:-2] & (kind[1:-1] == 10) & visible[2:]
+    starts[1:-1] = (visible[:-1] & blank[1:]) | (letter[:-1] & plain[1:])
+    starts[2:-1] |= visible[:-2] & (data[1:-1] == 10) & (visible[2:] & (data[2:] < 128))
     return starts
 
 
@@ -114,18 +127,21 @@ class Encoder:
         cut = self.cut and len(data) > 1 and not any(a in data for a in self.added)
         starts = piece_starts(np.frombuffer(data, dtype=np.uint8)) if cut else np.zeros(len(data) + 1, dtype=bool)
         starts[0] = starts[ends] = True
-        cuts = np.flatnonzero(starts)
-        places = cuts.tolist()
-        pieces = [data[a:b] for a, b in zip(places, places[1:])]
+        cuts = np.flatnonzero(starts).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         if self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
-        new = list(set(pieces).difference(self.known))
-        for piece, found in zip(new, self.encode([p.decode() for p in new], add_special_tokens=False)):
-            self.known[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
-            self.held += 200 + len(piece) + 4 * len(found.ids)
-        codes = list(map(self.known.__getitem__, pieces))
-        sizes = np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4)])
-        return np.frombuffer(b"".join(codes), dtype="<u4"), sizes[np.searchsorted(cuts, ends)]
+        distinct = pieces.dictionary.to_pylist()
+        codes = list(map(self.known.get, distinct))
+        missing = [i for i, code in enumerate(codes) if code is None]
+        for i, found in zip(missing, self.encode([distinct[i].decode() for i in missing], add_special_tokens=False)):
+            codes[i] = self.known[distinct[i]] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+            self.held += ENTRY_BYTES + len(distinct[i]) + len(codes[i])
+        sizes = np.fromiter(map(len, codes), dtype=np.int32, count=len(codes)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                         pa.array(np.frombuffer(b"".join(codes), dtype="<u4")))
+        upto = np.concatenate([[0], np.cumsum(sizes[pieces.indices.to_numpy()], dtype=np.int64)])
+        return lists.take(pieces.indices).flatten().to_numpy(), upto[np.searchsorted(cuts, ends)]
 
 
 _ENCODERS: dict[int, Encoder] = {}
