@@ -3,7 +3,7 @@ aggregate for the unit-price test."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions import parse_amount, ratio
@@ -45,15 +45,20 @@ def clean_revenue(df: DataFrame, parity: bool = False) -> DataFrame:
               .filter(F.col("revenue") > 0))
 
 
+def parse_quantity(col: Column) -> Column:
+    """Numeric or 1 (also for NaN and infinities), truncated to an integer; NULL
+    for a number beyond a long."""
+    q = F.trim(col.cast("string")).try_cast("double")
+    finite = F.when(~F.isnan(q) & (F.abs(q) < float("inf")), q)
+    return F.coalesce(finite, F.lit(1.0)).try_cast("bigint")
+
+
 def clean_quantity(df: DataFrame) -> DataFrame:
-    """Numeric or 1 (also for NaN and infinities), truncated to an integer; keep
-    > 0.  A number beyond a long is no quantity: its row goes."""
+    """``parse_quantity``; keep > 0.  A number beyond a long is no quantity: its
+    row goes."""
     if "quantity" not in df.columns:
         return df
-    q = F.trim(F.col("quantity").cast("string")).try_cast("double")
-    finite = F.when(~F.isnan(q) & (F.abs(q) < float("inf")), q)
-    return (df.withColumn("quantity", F.coalesce(finite, F.lit(1.0)).try_cast("bigint"))
-              .filter(F.col("quantity") > 0))
+    return df.withColumn("quantity", parse_quantity(F.col("quantity"))).filter(F.col("quantity") > 0)
 
 
 def derive_revenue(df: DataFrame) -> DataFrame:
@@ -68,25 +73,26 @@ def derive_revenue(df: DataFrame) -> DataFrame:
     return df.withColumn("revenue", r).filter(F.col("revenue") > 0)
 
 
-def unit_price_flag(df: DataFrame, share: float = 0.3, std_limit: float = 0.5) -> DataFrame:
-    """One row (flag): does ``revenue`` look like a unit price?
+def unit_price_flag(df: DataFrame, share: float = 0.3, std_limit: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (flag), or one per group of ``by``: does ``revenue`` look like a
+    unit price?
 
     Over orders with at least two lines: flat revenue (sample std < 0.5) with
     some quantity above 1; when more than ``share`` of those orders look like
     that, and lines per order are repeated (distinct orders < 80 % of lines),
     revenue is a unit price.  Computed on all rows, deterministic."""
-    per_order = (df.filter(F.col("order_id").isNotNull()).groupBy("order_id")
+    per_order = (df.filter(F.col("order_id").isNotNull()).groupBy(*by, "order_id")
                    .agg(F.count(F.lit(1)).alias("lines"),
                         F.coalesce(F.stddev_samp("revenue"), F.lit(0.0)).alias("rev_std"),
                         F.max("quantity").alias("qty_max")))
     multi = F.col("lines") >= 2
     hit = multi & (F.col("rev_std") < std_limit) & (F.col("qty_max") > 1)
-    g = per_order.agg(F.sum("lines").alias("rows"), F.count(F.lit(1)).alias("orders"),
+    g = per_order.groupBy(*by).agg(F.sum("lines").alias("rows"), F.count(F.lit(1)).alias("orders"),
                       F.count_if(multi).alias("multi"), F.count_if(hit).alias("hits"),
                       F.max("qty_max").alias("qty_max"))
     flag = ((F.col("qty_max") > 1) & (F.col("orders") < F.col("rows") * 0.8) &
             (ratio("hits", "multi") > share))
-    return g.select(F.coalesce(flag, F.lit(False)).alias("unit_price"))
+    return g.select(*by, F.coalesce(flag, F.lit(False)).alias("unit_price"))
 
 
 def fix_unit_price(df: DataFrame, unit_price: bool | None = None) -> DataFrame:

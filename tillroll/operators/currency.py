@@ -46,7 +46,7 @@ def _quote(s: str) -> str:
     return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}" else ch for ch in s)
 
 
-def _most_frequent(counts: list[tuple[str, Column]]) -> Column:
+def most_frequent(counts: list[tuple[str, Column]]) -> Column:
     best = F.lit(None).cast("string")
     best_n = F.lit(0)
     for code, n in counts:  # strictly greater: the first registry entry wins ties
@@ -60,7 +60,7 @@ def currency_from_texts(texts: DataFrame, key: str, text: Column, parity: bool =
     registry entry on ties; NULL when none).  Counts are combined map-side."""
     counts = symbol_counts(text, parity)
     per_key = texts.groupBy(key).agg(*[F.sum(n).alias(code) for code, n in counts])
-    return per_key.select(key, _most_frequent([(c, F.col(c)) for c, _ in counts]).alias("code"))
+    return per_key.select(key, most_frequent([(c, F.col(c)) for c, _ in counts]).alias("code"))
 
 
 def currency_from_files(spark: SparkSession, paths: str | list[str], parity: bool = False) -> DataFrame:
@@ -80,18 +80,22 @@ def registry_table(spark: SparkSession) -> DataFrame:
                                        "country_rank int")
 
 
-def currency_from_region(sales: DataFrame, parity: bool = False) -> DataFrame:
-    """One row (code): the first of the 3 most frequent regions (lower case)
-    that names a registry country.  Default: whole-word match either way;
-    ``parity``: plain substring either way (so "australia" hits "us")."""
+def currency_from_region(sales: DataFrame, parity: bool = False, by: str | None = None) -> DataFrame:
+    """One row (code), or one per value of ``by`` that has regions: the first of
+    the 3 most frequent regions (lower case) that names a registry country.
+    Default: whole-word match either way; ``parity``: plain substring either
+    way (so "australia" hits "us")."""
     spark = sales.sparkSession
+    keys = [by] if by else []
     if "region" not in sales.columns:
-        return spark.range(1).select(F.lit(None).cast("string").alias("code"))
-    top = (sales.filter(F.col("region").isNotNull())
-                .groupBy(F.lower("region").alias("region")).agg(F.count(F.lit(1)).alias("n"))
-                .orderBy(F.col("n").desc(), F.col("region")).limit(3))
-    ranked = top.withColumn("region_rank", F.row_number().over(
-        Window.orderBy(F.col("n").desc(), F.col("region"))))
+        none = F.lit(None).cast("string").alias("code")
+        return sales.select(by, none).distinct() if by else spark.range(1).select(none)
+    counted = sales.filter(F.col("region").isNotNull()).groupBy(*keys, F.lower("region").alias("region")).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("n").desc(), F.col("region")]
+    if not by:                               # one group: the top 3 without a window over all regions
+        counted = counted.orderBy(*order).limit(3)
+    ranked = counted.withColumn("region_rank", F.row_number().over(
+        Window.partitionBy(*keys).orderBy(*order))).where(F.col("region_rank") <= 3)
     reg = F.broadcast(registry_table(spark))  # fixed registry: a few dozen rows
     r, c = F.col("region"), F.col("country")
     if parity:
@@ -99,9 +103,8 @@ def currency_from_region(sales: DataFrame, parity: bool = False) -> DataFrame:
     else:
         cond = _words(r).contains(_words(c)) | _words(c).contains(_words(r))
     hits = ranked.join(reg, cond)
-    pick = hits.agg(F.min_by("code", F.struct("region_rank", "code_rank", "country_rank"))
-                    .alias("code"))
-    return pick
+    pick = F.min_by("code", F.struct("region_rank", "code_rank", "country_rank")).alias("code")
+    return hits.groupBy(*keys).agg(pick)
 
 
 def _words(col: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import (basket, churn, clean, cohort, columns, currency, customers, forecast,
-                                insights, kpi, ltv, performance, products, segments, timeseries)
+                                insights, kpi, ltv, performance, products, profiles, segments, timeseries)
 from tillroll.functions import sig_round
 from tillroll.operators._common import intermediates, release
 from tillroll.session import apply_defaults
@@ -114,6 +114,32 @@ def _supplier_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return currency.currency_from_texts(texts, "l_suppkey", F.col("amount_text"))
 
 
+def _files_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files with headers of their own: the same lines, the same months."""
+    from tillroll.plans.files import load_cells
+
+    loaded = load_cells(*derived.sales_files(spark, sf_dir)).sales
+    return timeseries.monthly_revenue(loaded.withColumn("revenue", F.col("revenue").cast("decimal(18,4)")))
+
+
+def _files_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = profiles.cell_values(derived.sales_files(spark, sf_dir)[0])
+    found = profiles.exact_distinct(values, profiles.column_profiles(profiles.profile_sketches(values)))
+    return found.select("file_id", "position", "non_null", "date_rate", "numeric_rate", sig_round("mean").alias("mean"),
+                        "all_integer", (F.col("distinct") <= columns.CATEGORY_LIMIT).alias("few_values"))
+
+
+def _files_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillroll.plans.files import load_cells
+
+    return load_cells(*derived.nation_files(spark, sf_dir)).currencies()
+
+
+def _files_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = columns.file_availability(columns.match_headers(derived.customer_headers(spark, sf_dir)))
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
 def _fixed_clusters(sales: DataFrame) -> DataFrame:
     assigned = customers.rfm(sales).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))
     return segments.segment_summary(segments.label_clusters(assigned, 5))
@@ -259,6 +285,13 @@ def _registry() -> dict[str, Query]:
         "fixed_cluster_insights": _on_sales(lambda s: segments.segment_insights(_fixed_clusters(s))),
         "churn_split_sizes": _on_sales(churn.churn_split_sizes),
         "churn_metrics": _on_sales(churn.churn_metrics),
+        # many files with headers of their own
+        "files_monthly_revenue": _files_monthly,
+        "files_header_mapping": lambda s, d: columns.match_headers(derived.customer_headers(s, d)).select(
+            "file_id", "column_name", "standard", "method"),
+        "files_column_profiles": _files_profile,
+        "files_currency": _files_currency,
+        "files_availability": _files_availability,
         # models (no SQL oracle: row checks and invariants in tests)
         "kmeans_segments": _on_sales(segments.kmeans_segments),
         "segment_summary": _on_sales(lambda s: segments.segment_summary(

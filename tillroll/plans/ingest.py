@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import clean, columns, currency
 from tillroll.operators._common import with_scalars
+from tillroll.plans.files import load_tables
 from tillroll.schema import STANDARD_COLUMNS
-from tillroll.sources.csv import read_sales_csv
+from tillroll.sources.csv import header_groups, read_sales_csv
 
 
 def _normalized(name: str) -> str:
@@ -44,8 +45,14 @@ def standardize(raw: DataFrame, file_id: str = "upload", overrides: dict[str, st
         taken = set(rename.values())
         open_cols = [c for c in final if c not in rename and c not in columns.COLUMN_ALIASES]
         if open_cols and len(taken) < len(columns.COLUMN_ALIASES):
-            prof = columns.profile_columns(df, open_cols).collect()
-            picks = columns.sniff_pick([r.asDict() for r in prof], taken)
+            prof = [r.asDict() for r in columns.profile_columns(df, open_cols).collect()]
+            close = [p["column_name"] for p in prof if columns.near_limit(p["distinct"])]
+            if close:                       # few values, by their estimate: counted exactly
+                sets = df.agg(*[F.size(F.collect_set(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")))).alias(f"n{i}")
+                                for i, c in enumerate(close)]).first()
+                exact_counts = dict(zip(close, sets))
+                prof = [p | {"distinct": exact_counts.get(p["column_name"], p["distinct"])} for p in prof]
+            picks = columns.sniff_pick(prof, taken)
             rename.update(picks)
             inv = {v: k for k, v in by_header.items()}
             report += [(file_id, inv[c], std, "sniffed", None) for c, std in picks.items()]
@@ -70,8 +77,14 @@ def load_sales(spark: SparkSession, path: str, overrides: dict[str, str] | None
                encoding: str | None = None, parity: bool = False,
                unit_price: bool | None = None,
                multi_line: bool = False, day_first: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """Read, standardise and clean one sales file -> (sales, mapping report)."""
-    raw = read_sales_csv(spark, path, encoding, multi_line=multi_line)
+    """Read, standardise and clean one sales file, or a folder of them -> (sales,
+    mapping report).  Files with headers of their own are mapped by each."""
+    groups, alike = header_groups(spark, path, encoding)
+    if not alike:
+        found = load_tables(spark, path, encoding, multi_line, overrides=overrides, parity=parity, unit_price=unit_price,
+                            day_first=day_first)
+        return found.sales.drop("file_id"), found.report
+    raw = read_sales_csv(spark, path, encoding or (next(iter(groups)) if len(groups) == 1 else None), multi_line=multi_line)
     df, report = standardize(raw, file_id=path, overrides=overrides)
     return clean.clean_sales(df, parity=parity, unit_price=unit_price, day_first=day_first), report
 
@@ -87,12 +100,12 @@ def load_currency(spark: SparkSession, path: str, sales: DataFrame) -> DataFrame
                                                         F.col("name_code")).alias("code"))
 
 
-def load_files(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+def load_files(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """Several files with headers of their own: each is mapped by its own header
-    and cleaned; the union lacks nothing that any of them has (columns missing
-    in a file are NULL)."""
-    frames = [load_sales(spark, p, **options)[0] for p in paths]
-    return union_sales([f.select(*[c for c in STANDARD_COLUMNS if c in f.columns]) for f in frames])
+    and cleaned; the result lacks nothing that any of them has (columns missing
+    in a file are NULL).  One plan for all files, see ``plans.files``."""
+    sales = load_tables(spark, paths, **options).sales
+    return sales.select(*[c for c in STANDARD_COLUMNS if c in sales.columns])
 
 
 def load_sample(spark: SparkSession, path: str, parity: bool = False) -> tuple[DataFrame, DataFrame]:

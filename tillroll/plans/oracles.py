@@ -6,6 +6,7 @@ pre-registered tables; the fixture views are shared CTEs.
 
 from __future__ import annotations
 
+from tillroll.sources.derived import FILE_HEADERS
 from tillroll.sources.fixtures import PURCHASES_SQL, SALES_SQL
 
 
@@ -325,6 +326,45 @@ def _words_sql(x: str) -> str:
     return f"(' ' || trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')) || ' ')"
 
 
+# Outcome per header style of a customer's file (customer number modulo 5).
+_STYLE_MATCHES = """
+st(k, column_name, standard, method) AS (VALUES
+  (0, 'Order Date', 'date', 'exact'), (0, 'Total', 'revenue', 'exact'), (0, 'Qty', 'quantity', 'exact'),
+  (1, 'order_date', 'date', 'exact'), (1, 'AMOUNT', 'revenue', 'exact'), (1, 'Order_Quantity', 'quantity', 'suggestion'),
+  (1, 'sku', 'product', 'exact'), (2, 'Dtae', 'date', 'suggestion'), (2, 'Custmer ID', 'customer_id', 'fuzzy'),
+  (2, 'Regionn', 'region', 'fuzzy'), (3, 'Invoicedate', 'date', 'exact'), (3, 'Prodct', 'product', 'fuzzy'),
+  (3, 'Product Nme', 'category', 'fuzzy'), (3, 'invoice date', 'order_id', 'suggestion'), (4, 'Total Price', 'revenue', 'exact'))"""
+
+
+def _file_profiles() -> str:
+    numeric = ("quantity", "customer_id", "order_id")
+    parts = []
+    for i, (name, header) in enumerate(FILE_HEADERS.items()):
+        for j, (c, _) in enumerate(header):
+            if c:
+                mean = f"CAST(printf('%.11e', AVG(CAST({c} AS DOUBLE))) AS DOUBLE)" if c in numeric else "CAST(NULL AS DOUBLE)"
+                parts.append(f"SELECT '{name}' AS file_id, {j} AS position, COUNT(*) AS non_null, {float(c == 'date')}::DOUBLE AS date_rate, "
+                             f"{float(c in numeric)}::DOUBLE AS numeric_rate, {mean} AS mean, true AS all_integer, "
+                             f"COUNT(DISTINCT {c}) <= 20 AS few_values FROM sales WHERE order_id % {len(FILE_HEADERS)} = {i} HAVING COUNT(*) > 0")
+    return _with("\nUNION ALL ".join(parts))
+
+
+def _file_oracles() -> dict[str, str]:
+    o = {"files_monthly_revenue": _with(_MONTHLY), "files_column_profiles": _file_profiles()}
+    o["files_header_mapping"] = f"""WITH {_STYLE_MATCHES}
+SELECT CAST(c_custkey AS VARCHAR) AS file_id, column_name, standard, method FROM customer JOIN st ON c_custkey % 5 = k"""
+    o["files_availability"] = f"""WITH {_STYLE_MATCHES},
+req(module, standard) AS (VALUES ('sales', 'date'), ('sales', 'revenue'), ('forecast', 'date'), ('forecast', 'revenue'),
+  ('customers', 'customer_id'), ('churn', 'customer_id'), ('products', 'product'), ('basket', 'product'), ('basket', 'order_id'))
+SELECT CAST(c_custkey AS VARCHAR) AS file_id, module, COUNT(*) = COUNT(st.standard) AS available,
+       COALESCE(string_agg(CASE WHEN st.standard IS NULL THEN req.standard END, ',' ORDER BY req.standard), '') AS missing
+FROM customer CROSS JOIN req LEFT JOIN st ON c_custkey % 5 = k AND st.standard = req.standard AND method <> 'suggestion' GROUP BY 1, 2"""
+    o["files_currency"] = """
+SELECT ['lines', 'olist', 'flipkart', 'lines'][n % 4 + 1] || '_' || n AS file_id, ['GBP', 'EUR', 'INR', 'USD'][n % 4 + 1] AS code
+FROM (SELECT CAST(regexp_extract(n_name, '([0-9]+)$', 1) AS INT) AS n FROM nation)"""
+    return o
+
+
 def oracles() -> dict[str, str]:
     from tillroll.plans.catalog import DIGITS, STABLE
     o = _oracles()
@@ -719,4 +759,4 @@ axis AS (SELECT unnest(range(0, (SELECT MAX(period) + 1 FROM crp))) AS period),
 grid AS (SELECT months.cohort_month, CAST(axis.period AS INT) AS period FROM months, axis)
 SELECT cohort_month, list(retention_pct ORDER BY period) AS retention_pct
 FROM grid LEFT JOIN crp USING (cohort_month, period) GROUP BY 1""")
-    return o | _ingest_oracles()
+    return o | _ingest_oracles() | _file_oracles()

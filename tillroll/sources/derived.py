@@ -114,3 +114,65 @@ def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"),
                      F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("list_price"))
+
+
+# Headers of three files with the same lines: another order and other names in
+# each, a misspelt name, a column that says nothing.
+FILE_HEADERS = {
+    "orders_a": [("date", "Order Date"), ("revenue", "Sales"), ("quantity", "Qty"), ("customer_id", "Customer Name"),
+                 ("product", "Product Name"), ("category", "Sub-Category"), ("region", "Country"), ("order_id", "Order ID")],
+    "orders_b": [("order_id", "InvoiceNo"), ("region", "Country"), ("category", "Catgory"), ("product", "Description"),
+                 ("customer_id", "CustomerID"), ("quantity", "Quantity"), ("revenue", "Amount"), ("date", "InvoiceDate")],
+    "orders_c": [("product", "zz1"), (None, "blank column"), ("quantity", "Quantty"), ("date", "zz2"), ("order_id", "Order Idd"),
+                 ("revenue", "Revenuee"), ("region", "Regionn"), ("customer_id", "Custmer ID"), ("category", "Product Line")],
+}
+
+
+def sales_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, catalog) of three files that share the lines of the sales view by
+    order number, day-first dates in the second one."""
+    s = sales(spark, sf_dir)
+    number = F.pmod(F.col("order_id"), F.lit(len(FILE_HEADERS)))
+    shown = {c: F.col(c).cast("string") for c in s.columns} | {
+        "date": F.date_format("date", "M/d/yyyy"), "revenue": F.concat(F.lit("$"), F.col("revenue").cast("string"))}
+    cells = None
+    for i, (name, header) in enumerate(FILE_HEADERS.items()):
+        own = shown | {"date": F.date_format("date", "dd.MM.yyyy")} if name == "orders_b" else shown
+        row = F.struct(F.lit(name).alias("file_id"), F.array(*[own.get(c, F.lit(None).cast("string")) for c, _ in header]).alias("cells"))
+        cells = F.when(number == i, row) if cells is None else cells.when(number == i, row)
+    rows = [(name, i, h) for name, header in FILE_HEADERS.items() for i, (_, h) in enumerate(header)]
+    return s.select(cells.alias("r")).select("r.*"), spark.createDataFrame(rows, "file_id string, position int, column_name string")
+
+
+# Header spellings of a customer's file, by customer number: exact, doubled,
+# misspelt, suggested and unknown names.
+HEADER_STYLES = [["Order Date", "Unit Price", "Total", "Qty"], ["order_date", "AMOUNT", "Order_Quantity", "sku"],
+                 ["Dtae", "Custmer ID", "Regionn", "nothing"], ["invoice date", "Invoicedate", "Prodct", "Product Nme"],
+                 ["colour", "w", "", "Total Price"]]
+
+
+def customer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, position, column_name): one file per customer."""
+    styles = F.array(*[F.array(*[F.lit(h) for h in style]) for style in HEADER_STYLES])
+    c = table(spark, sf_dir, "customer")
+    style = F.get(styles, F.pmod(F.col("c_custkey"), F.lit(len(HEADER_STYLES))).cast("int"))
+    return c.select(F.col("c_custkey").cast("string").alias("file_id"), F.posexplode(style).alias("position", "column_name"))
+
+
+# What tells the currency of a nation's file, by nation number:
+# symbols in the cells, the regions, the name, nothing.
+CURRENCY_FILES = [("lines", "£", "Nowhere"), ("olist", "", "Germany"), ("flipkart", "", "Nowhere"), ("lines", "", "Nowhere")]
+
+
+def nation_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, catalog): the order lines of each nation as a file (date, amount,
+    country), with prices in pounds, a country, or neither."""
+    s = sales(spark, sf_dir).withColumn("n", F.regexp_extract("region", "([0-9]+)$", 1).cast("int"))
+    kind = F.pmod(F.col("n"), F.lit(len(CURRENCY_FILES)))
+    pick = lambda i: F.get(F.array(*[F.lit(f[i]) for f in CURRENCY_FILES]), kind)
+    file_id = F.concat(pick(0), F.lit("_"), F.col("n").cast("string"))
+    cells = s.select(file_id.alias("file_id"), F.array(
+        F.date_format("date", "yyyy-MM-dd"), F.concat(pick(1), F.col("revenue").cast("string")), pick(2)).alias("cells"))
+    header = F.array(*[F.lit(h) for h in ("date", "amount", "country")])
+    nations = table(spark, sf_dir, "nation").withColumn("n", F.regexp_extract("n_name", "([0-9]+)$", 1).cast("int"))
+    return cells, nations.select(file_id.alias("file_id"), F.posexplode(header).alias("position", "column_name"))
