@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import round_even, share_pct
 from tillroll.operators._common import reuse, with_scalars
 from tillroll.operators.customers import customer_features
-from tillroll.operators.stats import quantiles
+from tillroll.operators.stats import auc, quantiles
+from tillroll.session import checkpoint_dir, cut_lineage
+from tillroll.sources.tables import path_exists
 
 # Fixed values of the churn rules.
 CHURN_DAYS = 90
@@ -109,50 +114,101 @@ def split_stratified(features: DataFrame, test_fraction: float = 0.2, seed: int
             .drop("_key", "_part", "_start", "_all"))
 
 
-def train_churn(sales: DataFrame, num_trees: int = 100, max_depth: int = 6, seed: int = 42,
-                test_fraction: float = 0.2, min_customers: int = 10):
+@dataclass(frozen=True)
+class ChurnModel:
+    """A fitted pipeline in the shared folder and its metrics on the test part;
+    without a path, the rule scores stand in for it."""
+
+    path: str | None
+    metrics: dict[str, float]
+
+    @property
+    def method(self) -> str:
+        return "model" if self.path else "rule"
+
+
+def model_features(sales: DataFrame) -> DataFrame:
+    """The labelled features a model is fitted to and scores."""
+    return label_churn(customer_features(sales)).na.fill(0, subset=FEATURES)
+
+
+def model_folder(features: DataFrame, *params: object) -> str:
+    """Where the model of these rows and parameters is kept: equal data, in any
+    order and partitioning, and equal parameters give the same folder."""
+    hashed = features.select(F.xxhash64("customer_id", "churned", *FEATURES).alias("h"))
+    stamp = hashed.agg(F.count(F.lit(1)), F.expr("bit_xor(h)"), F.sum(F.col("h").cast("decimal(38,0)")))
+    text = "|".join(map(str, [*stamp.first(), *params]))
+    name = hashlib.sha256(text.encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(features.sparkSession).rstrip('/')}/churn-model-{name}"
+
+
+def fit_churn(features: DataFrame, num_trees: int = 100, max_depth: int = 6, seed: int = 42,
+              test_fraction: float = 0.2, min_customers: int = 10) -> ChurnModel:
     """Fit scaler + random forest on the training part with balanced class
-    weights; returns (scores DataFrame, metrics dict).
+    weights, save the pipeline and its metrics in the shared folder, and return
+    where they are.  Rows and parameters that were fitted before are read back:
+    nothing is trained twice, in this session or a later one.
 
-    Falls back to the rule score when there are fewer than ``min_customers``
-    customers, a single class, or a class of fewer than two.  ``method`` says
-    which of the two ("model" or "rule") made the scores."""
+    No model with fewer than ``min_customers`` customers, a single class, or a
+    class of fewer than two."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
-                                       MulticlassClassificationEvaluator)
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from tillroll.session import cut_lineage
-
-    f = label_churn(customer_features(sales)).na.fill(0, subset=FEATURES)
-    f = cut_lineage(f)
+    spark = features.sparkSession
+    folder = model_folder(features, num_trees, max_depth, seed, test_fraction, min_customers)
+    if path_exists(spark, f"{folder}/metrics/_SUCCESS"):
+        kept = {r["metric"]: r["value"] for r in spark.read.parquet(f"{folder}/metrics").collect()}
+        return ChurnModel(f"{folder}/pipeline" if kept else None, kept)
+    f = cut_lineage(features)
     counts = {r["churned"]: r["n"] for r in
               f.groupBy("churned").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    if len(counts) < 2 or total < min_customers or min(counts.values()) < 2:
-        return churn_rule(sales).withColumn("method", F.lit("rule")), {}
-    weights = f.sparkSession.createDataFrame(
-        [(int(k), float(total) / (2.0 * v)) for k, v in counts.items()], "churned int, w double")
-    data = split_stratified(f, test_fraction, seed).join(F.broadcast(weights), "churned")
-    train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"),
-              StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-              RandomForestClassifier(labelCol="churned", featuresCol="features", weightCol="w",
-                                     numTrees=num_trees, maxDepth=max_depth, seed=seed)]
-    model = Pipeline(stages=stages).fit(train)
-    scored_test = model.transform(test)
-    auc = BinaryClassificationEvaluator(labelCol="churned", metricName="areaUnderROC",
-                                        rawPredictionCol="rawPrediction").evaluate(scored_test)
-    acc = MulticlassClassificationEvaluator(labelCol="churned", metricName="accuracy",
-                                            predictionCol="prediction").evaluate(scored_test)
-    metrics = {"auc": round(auc, 3), "accuracy": round(acc, 3)}
-    out = model.transform(f).withColumn(
+    metrics: dict[str, float] = {}
+    if len(counts) == 2 and total >= min_customers and min(counts.values()) >= 2:
+        weights = spark.createDataFrame(
+            [(int(k), float(total) / (2.0 * v)) for k, v in counts.items()], "churned int, w double")
+        data = split_stratified(f, test_fraction, seed).join(F.broadcast(weights), "churned")
+        train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+        stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"),
+                  StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+                  RandomForestClassifier(labelCol="churned", featuresCol="features", weightCol="w",
+                                         numTrees=num_trees, maxDepth=max_depth, seed=seed)]
+        model = Pipeline(stages=stages).fit(train)
+        model.write().overwrite().save(f"{folder}/pipeline")
+        tested = model.transform(test).withColumn("_p", vector_to_array("probability")[1])
+        area = auc(tested, "churned", "_p").first()["auc"]
+        acc = MulticlassClassificationEvaluator(labelCol="churned", metricName="accuracy",
+                                                predictionCol="prediction").evaluate(tested)
+        metrics = {"auc": round(area, 3), "accuracy": round(acc, 3)}
+    (spark.createDataFrame(list(metrics.items()), "metric string, value double").coalesce(1)     # two rows
+     .write.mode("overwrite").parquet(f"{folder}/metrics"))
+    return ChurnModel(f"{folder}/pipeline" if metrics else None, metrics)
+
+
+def score_churn(features: DataFrame, model: ChurnModel) -> DataFrame:
+    """Features, label, the saved model's probability rounded to 3 and its risk
+    level; a read and a projection, nothing is fitted."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    out = PipelineModel.load(model.path).transform(features).withColumn(
         "churn_probability", round_even(vector_to_array("probability")[1], 3))
     cols = ["customer_id"] + FEATURES + ["churned", "churn_probability"]
-    out = out.select(*cols).withColumn("risk_level", risk_level("churn_probability"))
-    return out.withColumn("method", F.lit("model")), metrics
+    return out.select(*cols).withColumn("risk_level", risk_level("churn_probability")).withColumn("method", F.lit(model.method))
+
+
+def train_churn(sales: DataFrame, **options):
+    """(scores DataFrame, metrics dict) of ``fit_churn`` and ``score_churn``, or of
+    the rule where no model can be fitted.  ``method`` says which of the two
+    ("model" or "rule") made the scores."""
+    features = reuse(model_features(sales))
+    model = fit_churn(features, **options)
+    if model.path is None:
+        return churn_rule(sales).withColumn("method", F.lit(model.method)), {}
+    return score_churn(features, model), model.metrics
 
 
 def churn_model_scores(sales: DataFrame) -> DataFrame:
@@ -162,10 +218,18 @@ def churn_model_scores(sales: DataFrame) -> DataFrame:
 
 def churn_metrics(sales: DataFrame, **options) -> DataFrame:
     """(metric, value): AUC and accuracy on the test part; empty for the rule."""
-    _, metrics = train_churn(sales, **options)
+    metrics = fit_churn(reuse(model_features(sales)), **options).metrics
     return sales.sparkSession.createDataFrame(list(metrics.items()), "metric string, value double")
 
 
+def feature_auc(sales: DataFrame) -> DataFrame:
+    """(feature, positives, negatives, auc): how well each feature alone orders
+    churned customers above the others, exactly."""
+    f = model_features(sales)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in FEATURES]))
+    return auc(f.select("churned", pairs.alias("f")).select("churned", "f.*"), "churned", "value", by=("feature",))
+
+
 def churn_split_sizes(sales: DataFrame) -> DataFrame:
     """(churned, customers, test): class sizes and their test parts."""
     split = split_stratified(label_churn(customer_features(sales)))

@@ -1,116 +1,100 @@
-"""Exact linear-interpolated quantiles with bounded memory per task.
+"""Exact order and rank statistics as lazy plans with bounded tasks.
 
-Spark's exact ``percentile`` merges a value->count map of the whole column in
-the final task.  Here every needed order statistic x(r) is found by narrowing
-a value window around it:
+``quantiles``: Spark's exact ``percentile`` merges a value->count map of the
+whole column in one task.  Here all ranks are found at once, in one plan:
 
-1. a mergeable ``percentile_approx`` sketch (relative rank error
-   1/accuracy) over the current window brackets rank r with values a <= b;
-2. one counting pass counts the window's values below a, equal to a,
-   strictly between, equal to b: a rank inside a run of equal values is
-   resolved at once, otherwise the open interval (a, b) becomes the window;
-3. this goes on until each rank falls on a bracket value.
+1. a mergeable ``percentile_approx`` sketch (relative rank error 1/accuracy)
+   brackets every rank between two values a <= b, ``margin`` errors apart;
+2. every value is below, inside or above a bracket; counts below and above and
+   the counts of the distinct values inside are combined map-side;
+3. running counts over a bracket's distinct values (about 2 margin/accuracy of
+   all rows) place the rank exactly.
 
-Each round shrinks a window by about accuracy / (2 * margin), so a few rounds
-suffice for any N, and no task ever holds more than the sketches.  All ranks advance together: one sketch job and one counting job
-per round.  The interpolation is numpy's linear method.
-"""
+The sketch's error bound is a guarantee, so no further round is needed; a rank
+that missed its bracket would raise.  The interpolation is numpy's linear
+method.
 
-from __future__ import annotations
+``auc``: the area under the ROC curve as a tie-aware rank sum; running counts
+are cut at approximate quantiles, so no task orders all scores."""
 
-import math
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.operators._common import reuse
+from tillroll.operators._common import with_scalars
+
+MARGIN = 4.0
+BELOW, INSIDE, ABOVE = 0, 1, 2
 
 
-def lerp(a: float, b: float, t: float) -> float:
+def lerp(a: Column, b: Column, t: Column) -> Column:
     """numpy's linear interpolation (the b-side form for t >= 0.5)."""
     d = b - a
-    return b - d * (1.0 - t) if t >= 0.5 else a + d * t
+    return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def order_statistics(vals: DataFrame, n: int, ranks: list[int], accuracy: int = 10000,
-                     margin: float = 4.0) -> dict[int, float]:
-    """Exact x(r) (0-based, ascending) of column ``x`` of ``vals`` for each r.
+def _zones(x: Column, marks: Column, i: int) -> Column:
+    """(bracket i, zone, value): the values inside a bracket, and the zone alone
+    with the value as ``edge`` for the others."""
+    a, b = marks[2 * i], marks[2 * i + 1]
+    zone = F.when(x < a, BELOW).when(x > b, ABOVE).otherwise(INSIDE)
+    return F.struct(F.lit(i).alias("i"), zone.alias("zone"), F.when(zone == INSIDE, x).alias("value"), x.alias("edge"))
 
-    A window is the open value interval (lo, hi) (None = unbounded) holding
-    the ranks below + 0 .. below + cnt - 1."""
-    x = F.col("x")
-    state = {r: (None, None, 0, n) for r in ranks}   # lo, hi, below, cnt
-    found: dict[int, float] = {}
-
-    def inside(lo, hi):
-        c = F.lit(True)
-        if lo is not None:
-            c = c & (x > F.lit(lo))
-        if hi is not None:
-            c = c & (x < F.lit(hi))
-        return c
-
-    while len(found) < len(ranks):
-        todo = [r for r in ranks if r not in found]
-        eps = margin / accuracy
-        sk = []
-        for i, r in enumerate(todo):            # one sketch job for all open ranks
-            lo, hi, below, cnt = state[r]
-            p = (r - below) / max(cnt - 1, 1)
-            sk.append(F.percentile_approx(F.when(inside(lo, hi), x),
-                                          [max(p - eps, 0.0), min(p + eps, 1.0)], accuracy)
-                      .alias(f"b{i}"))
-        brackets = vals.agg(*sk).first()
-        cnts = []
-        for i, r in enumerate(todo):            # one counting job for all open ranks
-            lo, hi, _, _ = state[r]
-            a, b = brackets[f"b{i}"]
-            w = inside(lo, hi)
-            cnts += [F.count_if(w & (x < F.lit(a))).alias(f"lt{i}"),
-                     F.count_if(w & (x == F.lit(a))).alias(f"ea{i}"),
-                     F.count_if(w & (x > F.lit(a)) & (x < F.lit(b))).alias(f"mid{i}"),
-                     F.count_if(w & (x == F.lit(b))).alias(f"eb{i}")]
-        c = vals.agg(*cnts).first()
-        missed = False
-        for i, r in enumerate(todo):
-            lo, hi, below, cnt = state[r]
-            a, b = brackets[f"b{i}"]
-            start_a = below + c[f"lt{i}"]
-            start_mid = start_a + c[f"ea{i}"]
-            start_b = start_mid + c[f"mid{i}"]
-            end_b = start_b + (c[f"eb{i}"] if b != a else 0)
-            if start_a <= r < start_mid:
-                found[r] = a
-            elif start_b <= r < end_b:
-                found[r] = b
-            elif start_mid <= r < start_b:
-                state[r] = (a, b, start_mid, c[f"mid{i}"])   # strictly fewer values
-            else:
-                missed = True                                # sketch missed: widen
-        if missed:
-            margin *= 2
-    return found
+
+def _at(rank: Column) -> Column:
+    """The value of a rank among rows with running counts: a bracket's value, or
+    the one next to it."""
+    here = (F.col("before") <= rank) & (rank < F.col("upto"))
+    found = (F.when(F.col("zone") == INSIDE, F.col("value"))
+             .when((F.col("zone") == BELOW) & (rank == F.col("upto") - 1), F.col("high"))
+             .when((F.col("zone") == ABOVE) & (rank == F.col("before")), F.col("low")))
+    return F.max(F.when(here, found))
 
 
 def quantiles(df: DataFrame, col: str, probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
     """One row, one double column per entry of ``probs`` (name -> probability
     in [0, 1]); NULLs in ``col`` are ignored, an empty input gives NULLs.
 
-    Runs its jobs when called (a few small aggregations over ``df``)."""
-    spark = df.sparkSession
+    Lazy: two passes over ``df`` when the result is used, none before."""
     names = list(probs)
-    schema = ", ".join(f"`{nm}` double" for nm in names)
-    vals = reuse(df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull()))
-    n = vals.count()
-    if n == 0:
-        return spark.createDataFrame([tuple(None for _ in names)], schema)
-    plan = {}
-    for nm in names:
-        h = float(n - 1) * float(probs[nm])
-        k = math.floor(h)
-        plan[nm] = (k, min(k + 1, n - 1), h - k)
-    ranks = sorted({r for k, k1, _ in plan.values() for r in (k, k1)})
-    xs = order_statistics(vals, n, ranks, accuracy=accuracy)
-    vals.unpersist()
-    row = tuple(lerp(xs[k], xs[k1], t) for k, k1, t in (plan[nm] for nm in names))
-    return spark.createDataFrame([row], schema)
+    eps = MARGIN / accuracy
+    x = F.col("x")
+    vals = df.select(F.col(col).cast("double").alias("x")).where(x.isNotNull())
+    ends = [min(max(float(probs[n]) + side * eps, 0.0), 1.0) for n in names for side in (-1, 1)]
+    marks = vals.agg(F.percentile_approx("x", ends, accuracy).alias("_marks"))
+    tagged = with_scalars(vals, marks).select(F.inline(F.array(*[_zones(x, F.col("_marks"), i) for i in range(len(names))])))
+    cells = tagged.groupBy("i", "zone", "value").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("low"), F.max("edge").alias("high"))
+    # a bracket's distinct values only: a small fixed share of the rows
+    order = Window.partitionBy("i").orderBy("zone", "value")
+    placed = (cells.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))
+              .withColumn("total", F.sum("n").over(Window.partitionBy("i"))))
+    p = F.element_at(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("i") + 1)
+    placed = placed.withColumn("h", (F.col("total") - 1) * p).withColumn("k", F.floor("h"))
+    nearby = F.least(F.col("k") + 1, F.col("total") - 1)
+    found = placed.groupBy("i").agg(_at(F.col("k")).alias("a"), _at(nearby).alias("b"), F.max(F.col("h") - F.col("k")).alias("t"))
+    missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    value = lerp(F.coalesce("a", missed), F.coalesce("b", missed), F.col("t"))
+    return found.agg(*[F.max(F.when(F.col("i") == i, value)).alias(n) for i, n in enumerate(names)])
+
+
+def auc(scores: DataFrame, label: str, score: str, by: tuple[str, ...] = (), parts: int = 256) -> DataFrame:
+    """(by..., positives, negatives, auc): the share of (positive, negative) pairs
+    in which the positive has the higher score, ties counting half.  NULL without
+    either class; rows without label or score take no part."""
+    s, y = F.col(score).cast("double"), F.col(label).cast("int")
+    rows = scores.where(s.isNotNull() & y.isNotNull()).select(*by, s.alias("_s"), y.alias("_y"))
+    cells = rows.groupBy(*by, "_s").agg(F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg"))
+    cuts = cells.groupBy(*by).agg(F.percentile_approx("_s", [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    ranged = cells.join(cuts, list(by)) if by else with_scalars(cells, cuts)
+    ranged = ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
+    keys = [*by, "_range"]
+    starts = ranged.groupBy(*keys).agg(F.sum("_neg").alias("_n"))
+    starts = starts.select(*keys, (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_start"))
+    inside = Window.partitionBy(*keys).orderBy("_s")
+    below = F.col("_start") + F.sum("_neg").over(inside) - F.col("_neg")
+    # twice the pairs won, in whole numbers
+    won = ranged.join(starts, keys).withColumn("_won", F.col("_pos").cast("decimal(19,0)") * (below * 2 + F.col("_neg")).cast("decimal(19,0)"))
+    total = won.groupBy(*by).agg(F.sum("_won").alias("_won"), F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
+    pairs = F.col("positives").cast("double") * F.col("negatives").cast("double") * 2
+    return total.select(*by, "positives", "negatives", F.try_divide(F.col("_won").cast("double"), F.nullif(pairs, F.lit(0.0))).alias("auc"))

