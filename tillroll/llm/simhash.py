@@ -22,9 +22,9 @@ Groups of copies.  Equal fingerprints are one node.  At every key, members link
 to the key's smallest fingerprint (verified), which joins dense groups without
 their pairs; components of these links are found.  What is left are links
 between different components at a key: only members outside the component of
-the key's smallest are compared, and only with members of other components.
-All links that could join two components are thereby checked: the result is
-exact.
+the key's smallest are compared, and only with the rest's members of other
+components.  All links that could join two components are thereby checked: the
+result is exact.
 
 Python: shingling and the Golay decoding, in Arrow batches.  The search, links
 and components are joins and aggregates on (key, fingerprint), 16 bytes a row.
@@ -194,20 +194,24 @@ def linked(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     # one shuffle of 16-byte rows; a key holds distinct fingerprints that agree in
     # 34 bits or more, however many documents have them
     at_key = Window.partitionBy("key")
-    members = written(keys.withColumns({"head": F.min("print").over(at_key), "last": F.max("print").over(at_key)})
+    members = written(keys.withColumns({"head": F.min("print").over(at_key), "last": F.max("print").over(at_key),
+                                        "size": F.count(F.lit(1)).over(at_key)})
                       .where("head < last").drop("last"), "simhash-members")
-    stars = members.where(F.col("print") != F.col("head")).where(near("print", "head", bits))
+    rest = members.where(F.col("print") != F.col("head"))
+    stars = rest.where(near("print", "head", bits))
     found = written(components(stars.select(F.col("print").alias("a"), F.col("head").alias("b"))), "simhash-stars")
     labels = found.select(F.col("node").alias("print"), F.col("component").alias("label"))
-    # members linked to their head are in its component; of the others, those of
-    # another component, and whom they can meet at their keys
+    # members far from their head can only meet others of the rest: keys of three
+    # or more; which of them are in another component than their head is looked up
+    # once for a pair of fingerprints, not at every key
+    far = rest.where("size > 2").where(~near("print", "head", bits))
     heads = labels.select(F.col("print").alias("head"), F.col("label").alias("head_label"))
-    far = (members.where(F.col("print") != F.col("head")).where(~near("print", "head", bits))
-           .join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
-           .join(heads, "head", "left").withColumn("head_label", F.coalesce("head_label", "head")))
-    outside = written(far.where("label <> head_label")
-                      .select("key", F.col("print").alias("one"), F.col("label").alias("one_label")), "simhash-outside")
-    others = (members.join(outside.select("key").distinct(), "key", "left_semi").join(labels, "print", "left")
+    strangers = (far.select("print", "head").distinct().join(labels, "print", "left").join(heads, "head", "left")
+                 .withColumn("label", F.coalesce("label", "print")).where(F.col("label") != F.coalesce("head_label", "head"))
+                 .drop("head_label"))
+    outside = written(far.join(strangers, ["print", "head"]).select("key", F.col("print").alias("one"), F.col("label").alias("one_label")),
+                      "simhash-outside")
+    others = (rest.join(outside.select("key").distinct(), "key", "left_semi").join(labels, "print", "left")
               .select("key", F.col("print").alias("two"), F.coalesce("label", "print").alias("two_label")))
     more = (outside.join(others, (outside["key"] == others["key"]) & (F.col("one_label") != F.col("two_label"))
                          & near("one", "two", bits))
@@ -232,10 +236,12 @@ def near_prints(hashed: DataFrame, id_col: str = "doc_id", bits: int = MAX_BITS)
     hashed = written(hashed, "simhash-rows")
     nodes = written(hashed.groupBy("print").agg(F.min(id_col).alias("first")), "simhash-nodes")
     groups = written(linked(nodes.select("print"), bits), "simhash-groups")
-    smallest = nodes.join(groups, "print").groupBy("component").agg(F.min("first").alias("smallest"))
-    ids = (nodes.join(groups, "print", "left").join(smallest, "component", "left")
-           .select("print", F.coalesce("smallest", "first").alias("component_id")))
-    return (hashed.join(ids, "print")
+    grouped = written(nodes.join(groups, "print"), "simhash-grouped")
+    smallest = written(grouped.groupBy("component").agg(F.min("first").alias("smallest")), "simhash-smallest")
+    # two written tables: the component of very many copies is a skewed key that
+    # adaptive execution splits
+    ids = written(grouped.join(smallest, "component").select("print", "smallest"), "simhash-ids")
+    return (hashed.join(nodes, "print").join(ids, "print", "left").withColumn("component_id", F.coalesce("smallest", "first"))
             .select(*cols, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
