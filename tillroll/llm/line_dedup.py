@@ -4,24 +4,26 @@ A line of a document is removed when an earlier line of the corpus (smaller
 document id, then smaller line number) has the same text or a text within edit
 distance 1 (one character inserted, deleted or replaced).  Blank lines stay.
 
-1. ``blocks``: two lines within one edit agree in their first or in their last
-   half, because the edit lies in one of them.  Lines are keyed by both halves
-   (the length of a half depends only on the line's length class, so partners
-   of different length agree on it), and only lines whose key another text
-   shares go on.  This is lossless and leaves a few per cent of prose.
-   Remainders still longer than ``MAX_REST`` are halved again the same way;
-   those of just ``MAX_REST`` both stay and are halved, as the partner of either
-   length needs.
+1. ``blocks``: two lines within one edit have a common prefix and a common
+   suffix that together miss at most one character of the longer one.  So they
+   agree in the first two thirds, or in the last two thirds, or in the first
+   and the last third.  Lines are keyed by all three (the sizes depend only on
+   the line's length class, so partners of different length agree on them), and
+   only lines whose key another text shares go on.  This is lossless, and two
+   thirds of a line stay selective as the corpus grows.  Remainders still longer
+   than ``MAX_REST`` are keyed again the same way; those of just ``MAX_REST``
+   both stay and are keyed, as the partner of either length needs.
 2. ``variants``: every deletion of one character from the remainder, as a
    hashed key with the deleted place, and the remainder itself as a centre.
 3. Equal keys are joined: a variant that equals a centre is an insertion or
    deletion; variants that agree in key and place replace one character.  Rows
    link to the earliest line of their key instead of to each other, so nobody
    emits the pairs of a group.
-4. Every link is verified with Levenshtein distance on the remainders (the
-   common half is equal by its key).
+4. Every link is verified with Levenshtein distance on the remainders, and by
+   a second hash of the part that their key covers; lines are told apart by
+   128 bits.
 
-Scale: no line text is shuffled but the half that its key does not cover;
+Scale: no line text is shuffled but the third that its key does not cover;
 counting keys is map-side combined, joins are plain equi-joins that adaptive
 execution splits on hot keys.  Candidates and links are written tables in the
 shared checkpoint folder.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tillroll.llm._common import P, table, without, written
 
 CLASS = 16        # lengths of one class: 16c to 16c + 15
-MAX_REST = 64     # longer remainders are halved again before variants are made
+MAX_REST = 64     # longer remainders are keyed again before variants are made
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,59 +51,71 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line")))
 
 
-def halves(rows: DataFrame) -> DataFrame:
-    """(key, rest, h, pos) -> the same rows keyed by (key, class, side, half),
-    ``rest`` being what that half does not cover.  A remainder at the lower end
-    of its length class also joins the class below, where the partner that is
-    one character shorter is."""
+COLUMNS = ["key", "check", "h", "g", "pos", "rest"]
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows of ``COLUMNS`` -> the same rows keyed by (key, class, side, two thirds
+    of ``rest``), ``rest`` being what those do not cover; ``check`` is a second
+    hash of the same.
+
+    Of m = 16 class - 1 characters that two partners share at least, a key takes
+    the first two thirds, the last two thirds, or the first and last m - 2m/3 + 1:
+    if neither prefix nor suffix has two thirds, both are that long.  A
+    remainder at the lower end of its length class also joins the class below,
+    where the partner that is one character shorter is."""
     size = F.length("rest")
     own = F.floor(size / CLASS).cast("int")
     classes = F.when((size % CLASS == 0) & (own > 1), F.array(own, own - 1)).otherwise(F.array(own))
-    half = F.floor((F.col("cls") * CLASS - 1) / 2).cast("int")
-    left, right = F.expr("left(rest, half)"), F.expr("right(rest, half)")
-    cut = (rows.withColumn("size", size).withColumn("cls", F.explode(classes)).withColumn("half", half)
-           .withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))))
-    first = F.col("side") == 0
-    return cut.select(
-        F.xxhash64("key", "cls", "side", F.when(first, left).otherwise(right)).alias("key"),
-        F.when(first, F.expr("substring(rest, half + 1)")).otherwise(F.expr("left(rest, size - half)")).alias("rest"),
-        "h", "pos")
+    common = F.col("cls") * CLASS - 1
+    long = F.ceil(common * 2 / 3).cast("int")
+    cut = (rows.withColumn("size", size).withColumn("cls", F.explode(classes))
+           .withColumns({"long": long, "short": common - long + 1}).withColumn("side", F.explode(F.array(*map(F.lit, range(3))))))
+    side = F.col("side")
+    kept = F.when(side == 0, F.expr("left(rest, long)")).when(side == 1, F.expr("right(rest, long)")) \
+        .otherwise(F.concat(F.expr("left(rest, short)"), F.expr("right(rest, short)")))
+    left = F.when(side == 0, F.expr("substring(rest, long + 1)")).when(side == 1, F.expr("left(rest, size - long)")) \
+        .otherwise(F.expr("substring(rest, short + 1, size - 2 * short)"))
+    return cut.select(F.xxhash64("key", "cls", "side", kept).alias("key"), F.xxhash64(F.lit(1), "check", "cls", "side", kept).alias("check"),
+                      "h", "g", "pos", left.alias("rest"))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Rows of ``halves`` whose key at least two different lines share, one row
+    """Rows of ``keyed`` whose key at least two different lines share, one row
     per key and line with its earliest position."""
-    keyed = halves(rows)
-    shared = (keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    made = keyed(rows)
+    shared = (made.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
               .where("low < high").select("key"))
     # a written table: joined from files, the key of a line that fills a third of
     # the corpus is a skewed key that adaptive execution splits
     shared = written(shared, "line-keys")
-    return (keyed.join(shared, "key", "left_semi").groupBy("key", "h")
-            .agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")))
+    return one_per_line(made.join(shared, "key", "left_semi"))
+
+
+def one_per_line(rows: DataFrame) -> DataFrame:
+    same = ["key", "check", "h", "g"]
+    return rows.groupBy(*same).agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")).select(COLUMNS)
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Lines that share all but a remainder with another line: (key, h, pos, rest)."""
-    start = lines.select(F.lit(0).cast("long").alias("key"), F.col("line").alias("rest"), "h",
-                         F.struct("doc", "line_no").alias("pos"))
+    """Lines that share all but a remainder with another line."""
+    zero = F.lit(0).cast("long")
+    start = lines.select(zero.alias("key"), zero.alias("check"), "h", "g", F.struct("doc", "line_no").alias("pos"), F.col("line").alias("rest"))
     size = F.length("rest")
     # lines below one class, and those one longer, are compared as a whole
-    short = (start.where(size <= CLASS).groupBy("key", "h")
-             .agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")))
-    columns = ["key", "h", "pos", "rest"]
-    found = written(blocks(start.where(size >= CLASS)).select(columns).unionByName(short.select(columns)), "line-blocks")
+    short = one_per_line(start.where(size <= CLASS))
+    found = written(blocks(start.where(size >= CLASS)).unionByName(short), "line-blocks")
     done = found.where(size <= MAX_REST)
     while (found.agg(F.max(size)).first()[0] or 0) > MAX_REST:
-        # remainders of MAX_REST are compared as they are, and also halved: the
-        # partner that is one character longer is
-        found = written(blocks(found.where(size >= MAX_REST)).select(columns), "line-blocks")
+        # remainders of MAX_REST are compared as they are, and also keyed again:
+        # the partner that is one character longer is
+        found = written(blocks(found.where(size >= MAX_REST)), "line-blocks")
         done = done.unionByName(found.where(size <= MAX_REST))
     return done
 
 
 def variants(cand: DataFrame) -> DataFrame:
-    """(key, h, pos, rest) -> (variant, place, key, h, pos): one row per deleted
+    """Rows of ``COLUMNS`` -> (variant, place, key, h, pos): one row per deleted
     character, and one with place -1 for the remainder itself."""
     def drop(i: Column) -> Column:
         left = F.concat(F.substr("rest", F.lit(1), i - 1), F.substr("rest", i + 1))
@@ -114,7 +128,7 @@ def variants(cand: DataFrame) -> DataFrame:
 
 
 def near_lines(cand: DataFrame) -> DataFrame:
-    """(h, near): the earliest position of a line within one edit, for lines
+    """(h, g, near): the earliest position of a line within one edit, for lines
     that have an earlier one."""
     made = variants(cand)
     # most keys belong to one line only: those go before anything else
@@ -135,11 +149,11 @@ def near_lines(cand: DataFrame) -> DataFrame:
                       F.col("who.h").alias("to_h"), F.col("who.pos").alias("to_pos")))
     links = (replaced.unionByName(shorter).unionByName(longer)
              .where((F.col("to_pos") < F.col("pos")) & (F.col("h") != F.col("to_h"))).distinct())
-    text = cand.select("key", "h", "rest")
-    other = cand.select("key", F.col("h").alias("to_h"), F.col("rest").alias("to_rest"))
-    return (links.join(text, ["key", "h"]).join(other, ["key", "to_h"])
+    text = cand.select("key", "check", "h", "g", "rest")
+    other = cand.select("key", "check", F.col("h").alias("to_h"), F.col("rest").alias("to_rest"))
+    return (links.join(text, ["key", "h"]).join(other, ["key", "check", "to_h"])
             .where(F.levenshtein("rest", "to_rest", 1).between(0, 1))
-            .groupBy("h").agg(F.min("to_pos").alias("near")))
+            .groupBy("h", "g").agg(F.min("to_pos").alias("near")))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +163,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     here = lines.select("doc", "text_hash", "line_no", "h", "g")
     pos = F.struct("doc", "line_no")
     first = here.groupBy("h", "g").agg(F.min(pos).alias("first"), F.count(F.lit(1)).alias("n"))
-    earliest = (first.join(near, "h", "left").where((F.col("n") > 1) | F.col("near").isNotNull())
+    earliest = (first.join(near, ["h", "g"], "left").where((F.col("n") > 1) | F.col("near").isNotNull())
                 .select("h", "g", F.least("first", F.coalesce("near", "first")).alias("first")))
     earliest = written(earliest, "line-first")
     return here.join(earliest, ["h", "g"]).where(F.col("first") < pos).select("doc", "text_hash", "line_no")
