@@ -23,8 +23,8 @@ distance 1 (one character inserted, deleted or replaced).  Blank lines stay.
    a second hash of the part that their key covers; lines are told apart by
    128 bits.
 
-Scale: no line text is shuffled but the third that its key does not cover;
-counting keys is map-side combined, joins are plain equi-joins that adaptive
+Scale: keys and hashes are shuffled for all lines, texts for the lines only that
+share a key; counting keys is map-side combined, joins are plain equi-joins that adaptive
 execution splits on hot keys.  Candidates and links are written tables in the
 shared checkpoint folder.
 """
@@ -51,7 +51,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line")))
 
 
-COLUMNS = ["key", "check", "h", "g", "pos", "rest"]
+SAME = ["key", "check", "h", "g"]
+COLUMNS = [*SAME, "pos", "rest"]
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -82,19 +83,23 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def blocks(rows: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose key at least two different lines share, one row
-    per key and line with its earliest position."""
-    made = keyed(rows)
-    shared = (made.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    per key and line with its earliest position.
+
+    Keys and line hashes go first, 16 bytes a key; texts are looked at again only
+    for the lines that have a shared key."""
+    pairs = written(keyed(rows).select("key", "h"), "line-pairs")
+    shared = (pairs.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
               .where("low < high").select("key"))
-    # a written table: joined from files, the key of a line that fills a third of
-    # the corpus is a skewed key that adaptive execution splits
+    # written tables, joined by sorting at every size: the key of a line that fills
+    # a third of the corpus is a skewed key that adaptive execution splits
     shared = written(shared, "line-keys")
-    return one_per_line(made.join(shared, "key", "left_semi"))
+    lines = written(pairs.join(shared.hint("merge"), "key", "left_semi").select("h").distinct(), "line-hashes")
+    texts = one_per_line(rows.join(lines.hint("merge"), "h", "left_semi"))
+    return one_per_line(keyed(texts).join(shared.hint("merge"), "key", "left_semi"))
 
 
 def one_per_line(rows: DataFrame) -> DataFrame:
-    same = ["key", "check", "h", "g"]
-    return rows.groupBy(*same).agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")).select(COLUMNS)
+    return rows.groupBy(*SAME).agg(F.min("pos").alias("pos"), F.min("rest").alias("rest")).select(COLUMNS)
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -185,7 +190,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .withColumnsRenamed({"doc": f"{P}doc", "text_hash": f"{P}hash"}))
     text = F.col(text_col)
     hashed = docs.withColumn(f"{P}text_hash", F.xxhash64(text))
-    both = hashed.join(gone, F.col(id_col).eqNullSafe(F.col(f"{P}doc"))
+    # by sorting at every size: a table of removed lines grows with the corpus
+    both = hashed.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(f"{P}doc"))
                        & (F.col(f"{P}text_hash") == F.col(f"{P}hash")), "left")
     lines = F.split(text, "\n", -1)
     size = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines))
