@@ -157,6 +157,65 @@ def test_rake_matches_numpy(spark):
         assert abs(x["raked"] - want[a, b, c]) < 1e-5 * n.sum()
 
 
+def bounded_rake(n, goals, rounds=40):
+    """Probabilities min(1, product of one factor per value) whose tokens meet the
+    goals, each factor found by bisection."""
+    f = [np.ones(k) for k in n.shape]
+    p = lambda: f[0][:, None, None] * f[1][None, :, None] * f[2][None, None, :]
+    for _ in range(rounds):
+        for axis in (1, 2, 0):
+            for i in range(n.shape[axis]):
+                at = tuple(i if a == axis else slice(None) for a in range(3))
+                low, high = 1e-12, 1e12
+                for _ in range(70):
+                    mid = np.sqrt(low * high)
+                    low, high = (mid, high) if (n[at] * np.minimum(1, p()[at] * mid)).sum() < goals[axis][i] else (low, mid)
+                f[axis][i] *= high
+    return np.minimum(1, p())
+
+
+def marginals(x):
+    return [x.sum(axis=tuple(a for a in range(3) if a != axis)) for axis in range(3)]
+
+
+def test_full_cells_leave_the_targets(spark):
+    """A hot source, scarce cells that give all they have: expected and drawn
+    marginals meet the targets."""
+    r = np.random.default_rng(4)
+    n = r.integers(200, 900, (6, 3, 2)).astype(float)
+    n[0] *= 8                                         # more than half of all tokens
+    n[2, 1, :] = 30                                   # scarce
+    n = n // 10 * 10
+    a, b, c = [0.3, 0.5, 1.9, 0.6, 0.4, 0.9], [0.6, 1.0, 0.8], [0.7, 1.2]
+    true = np.minimum(1, np.multiply.outer(np.multiply.outer(a, b), c))
+    fraction = float((n * true).sum() / n.sum())
+    goals = [g / g.sum() for g in marginals(n * true)]
+    dims = ["source", "lang", "topic"]
+    docs = [(i * 1000 + j, f"s{a}", f"l{b}", f"t{c}", 10) for i, (a, b, c) in enumerate(np.ndindex(*n.shape)) for j in range(int(n[a, b, c] // 10))]
+    df = spark.createDataFrame(docs, "doc_id long, source string, lang string, topic string, n_tokens long")
+    targets = {d: spark.createDataFrame([(f"{d[0]}{i}", float(x)) for i, x in enumerate(g)], f"{d} string, share double")
+               for d, g in zip(dims, goals)}
+    out = dicts(mixing.mix(df, targets, fraction))
+    expected, drawn, held = np.zeros(n.shape), np.zeros(n.shape), np.zeros(n.shape)
+    for x in out:
+        at = tuple(int(x[d][1:]) for d in dims)
+        held[at] += 10
+        expected[at] += 10 * x["probability"]
+        drawn[at] += 10 * x["sampled"]
+    assert (expected >= held * (1 - 1e-9)).any()                     # some cell gives all it has
+    for got, have, goal in zip(marginals(expected), marginals(drawn), goals):
+        assert (abs(got / (goal * fraction * held.sum()) - 1) < 2e-3).all()
+        assert (abs(have - got) < 5 * np.sqrt(10 * got)).all()
+    assert abs(expected / held - true).max() < 5e-3
+
+
+def test_shares_beyond_what_a_value_has(spark):
+    assert mixing.filled({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10.0, "b": 100.0, "c": 100.0}, 100.0) == {"a": 10.0, "b": 54.0, "c": 36.0}
+    values = spark.createDataFrame([("a", 0.5, 10.0), ("b", 0.3, 100.0), ("c", 0.2, 100.0)], "v string, share double, held double")
+    assert [round(r["goal"], 9) for r in mixing.filled_table(values, 100.0).orderBy("v").collect()] == [10.0, 54.0, 36.0]
+    assert [r["goal"] for r in mixing.filled_table(values, 1000.0).orderBy("v").collect()] == [10.0, 100.0, 100.0]
+
+
 def test_mix_probabilities_and_sample(spark):
     rows = dicts(QUERIES["op8_mixing"](spark, SMALL))
     texts = small_texts()
@@ -168,20 +227,24 @@ def test_mix_probabilities_and_sample(spark):
     n = np.zeros([len(v) for v in values])
     for r in rows:
         n[tuple(v.index(r[d]) for v, d in zip(values, dims))] += r["n_tokens"]
-    even = np.sqrt(n) / np.sqrt(n).sum()
-    goals = [even.sum(axis=tuple(a for a in range(3) if a != axis)) for axis in range(3)]
-    ratio = np.divide(numpy_rake(n, goals, 300), n, out=np.zeros_like(n), where=n > 0)
-    at = [ratio[tuple(v.index(r[d]) for v, d in zip(values, dims))] for r in rows]
-    low, high = 0.0, 1e4
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (low, mid) if sum(min(1, mid * x) * r["n_tokens"] for x, r in zip(at, rows)) >= 0.5 * total else (mid, high)
-    assert all(abs(r["probability"] - min(1, high * x)) < 5e-3 for x, r in zip(at, rows))
+    even = marginals(np.sqrt(n) / np.sqrt(n).sum())
+    aims = [mixing.filled(dict(enumerate(e)), dict(enumerate(h)), total / 2) for e, h in zip(even, marginals(n))]
+    want = bounded_rake(n, [[a[i] for i in range(len(a))] for a in aims])
+    for r in rows:
+        p = want[tuple(v.index(r[d]) for v, d in zip(values, dims))] if r["n_tokens"] else 0.0
+        assert abs(r["probability"] - p) < 0.03
     expected = sum(r["probability"] for r in rows)
     assert abs(sum(r["sampled"] for r in rows) - expected) < 4 * np.sqrt(expected)
     assert all(r["sampled"] for r in rows if r["probability"] == 1.0)
 
 
+def test_topics_do_not_depend_on_order(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    one = {r["doc_id"]: r["topic"] for r in mixing.attributes(docs.coalesce(1)).collect()}
+    many = {r["doc_id"]: r["topic"] for r in mixing.attributes(docs.repartition(13, "text")).collect()}
+    assert one == many and len(set(one.values())) > 1
+
+
 def test_mix_odd_rows(spark):
     attributed = mixing.attributes(odd(spark).withColumnRenamed("shard", "probability"), topics=2)
     out = mixing.mix(attributed)
