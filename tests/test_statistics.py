@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shared import SF_SMALL, rows
-from tillroll.operators import churn, ltv, rollups, stats
+from tillroll.operators import basket, churn, ltv, rollups, stats
 from tillroll.operators.timeseries import monthly_revenue
 from tillroll.sources import fixtures
 
@@ -95,3 +95,24 @@ def test_a_model_is_trained_once(spark, monkeypatch):
         churn.train_churn(sales, num_trees=6)
     few = sales.where("customer_id < 3")
     assert churn.fit_churn(churn.model_features(few)).method == "rule"
+
+
+def test_pairs_of_long_baskets_are_dealt_out(spark, monkeypatch):
+    """Baskets of one and of two hundred items, a third of them alike: the same
+    pairs as by loops, however long baskets are cut."""
+    r = np.random.default_rng(1)
+    orders = {f"o{i}": sorted(set(r.integers(0, 250, 200 if i == 0 else int(r.integers(1, 9))).tolist())) for i in range(80)}
+    orders |= {f"x{i}": [3, 7, 9] for i in range(40)}
+    sales = spark.createDataFrame([(o, f"p{p:03d}", 1.0) for o, ps in orders.items() for p in ps], "order_id string, product string, revenue double")
+    want = {}
+    for ps in orders.values():
+        for i, a in enumerate(ps):
+            for b in ps[i + 1:]:
+                want[f"p{a:03d}", f"p{b:03d}"] = want.get((f"p{a:03d}", f"p{b:03d}"), 0) + 1
+    for limit in (128, 2):
+        monkeypatch.setattr(basket, "LONG_BASKET", limit)
+        items, pairs, total = basket.cooccurrence(sales)
+        assert {(p["product_a"], p["product_b"]): p["both"] for p in pairs.collect()} == want
+        assert total.first()["n"] == 120 and items.count() == len({p for ps in orders.values() for p in ps})
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan

@@ -1,14 +1,17 @@
 """Market basket: item co-occurrence, association rules, recommendations.
 
 A product whose own support is below the rule threshold cannot be in a rule, so
-the item counts come first and only frequent products go on.  Each order's
-basket is then one sorted list of frequent items; identical baskets are counted
-once, and pairs are counted over the distinct baskets, weighted by their count,
-with map-side combining.  No order is joined with another.
+the item counts come first and only frequent products go on, under numbers
+instead of names.  Each order's basket is then one sorted list of numbers;
+identical baskets are counted once, and pairs are counted over the distinct
+baskets, weighted by their count, with map-side combining.  No order is joined
+with another.
 
 Scale: frequent items are at most (mean basket size) / ``min_support``, which
-bounds the broadcast item table, the length of a basket list and the pair
-table.
+bounds the item table, the length of a basket list and the pair table.  The
+pairs of a basket longer than ``LONG_BASKET`` are made by many tasks: one row
+per item and its partners, dealt out before the partners are unfolded.  No
+side is broadcast by force: adaptive execution measures the item table.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions import ratio, round_even
-from tillroll.operators._common import non_null, reuse, with_scalars
+from tillroll.operators._common import non_null, reuse, running_totals, with_scalars
 from tillroll.schema import empty, has
 
 MIN_LIFT = 1.1     # fixed value: rules must have lift above this
+LONG_BASKET = 128  # items; the pairs of longer baskets are dealt out
 RULES_SCHEMA = ("product_a string, product_b string, support double, confidence double, "
                 "lift double")
 
@@ -60,18 +64,30 @@ def cooccurrence(sales: DataFrame, min_support: float = 0.0,
     held = cells.filter("in_basket").select("order_id", "product")
     items = with_scalars(held.groupBy("product").agg(F.count(F.lit(1)).alias("orders")), total)
     items = reuse(items.filter(ratio("orders", "n") >= F.lit(float(min_support))).select("product", "orders"))
-    # at most (mean basket size) / min_support rows; left to the planner without one
-    known = F.broadcast(items.select("product")) if min_support > 0 else items.select("product")
-    baskets = (held.join(known, "product").groupBy("order_id")
-               .agg(F.sort_array(F.collect_list("product")).alias("items"))
+    numbers = reuse(running_totals(items, "orders", "product").select("product", F.col("rank").cast("int").alias("no")))
+    baskets = (held.join(numbers, "product").groupBy("order_id")
+               .agg(F.sort_array(F.collect_list("no")).alias("items"))
                .groupBy("items").agg(F.count(F.lit(1)).alias("cnt")))
-    first = baskets.select(F.posexplode("items").alias("at", "product_a"), "items", "cnt")
-    pairs = (first.select("product_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items")))
-                          .alias("product_b"), "cnt")
-             .groupBy("product_a", "product_b").agg(F.sum("cnt").alias("both")))
+    counted = numbered_pairs(reuse(baskets))
+    # the pair of numbers gets its names back, in the order of the names
+    one = numbers.select(F.col("no").alias("a"), F.col("product").alias("name_a"))
+    two = numbers.select(F.col("no").alias("b"), F.col("product").alias("name_b"))
+    pairs = counted.join(one, "a").join(two, "b").select(
+        F.least("name_a", "name_b").alias("product_a"), F.greatest("name_a", "name_b").alias("product_b"), "both")
     return items, pairs, total
 
 
+def numbered_pairs(baskets: DataFrame) -> DataFrame:
+    """(items, cnt) with ascending item numbers -> (a, b, both), a before b."""
+    rest = F.slice("items", F.col("at") + 2, F.size("items"))
+    first = lambda df: df.select("items", "cnt", F.posexplode("items").alias("at", "a")).select("a", rest.alias("rest"), "cnt", "at")
+    size = F.size("items")
+    short = first(baskets.where(size <= LONG_BASKET))
+    long = first(baskets.where(size > LONG_BASKET)).repartition("a", "at", F.xxhash64("rest"))
+    return (short.unionByName(long).select("a", F.explode("rest").alias("b"), "cnt")
+            .groupBy("a", "b").agg(F.sum("cnt").alias("both")))
+
+
 def product_associations(sales: DataFrame, min_support: float = 0.02, max_products: int | None = None,
                          top: int | None = None) -> DataFrame:
     """Pair rules a -> b (a before b by name): support, confidence of a -> b
