@@ -94,3 +94,52 @@ def test_cells_are_visited_in_order():
     cells = ann.visit(q, a, b, sizes, 10 ** 9)
     far = (-(a @ q[:2])[:, None] - (b @ q[2:])[None, :]).ravel()
     assert sorted(cells) == np.flatnonzero(sizes).tolist() and (np.diff(far[cells]) >= 0).all()
+
+
+MEDIUM = "/root/testdata/sf0.1"
+
+
+def test_ann_recall_of_the_index_on_given_rows(spark):
+    """The indexed path alone, without the least number of candidates."""
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{MEDIUM}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, v = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
+    df = topk.one_per_id(spark.read.parquet(f"{MEDIUM}/embeddings.parquet"), "vec_id", "embedding")
+    got = {}
+    for r in ann.nearest_neighbours(df, df.where("id % 20 = 0"), 20, min_candidates=0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(v, ids, sorted(got), 20)
+    assert len(got) == 100 and np.mean([len(got[q] & {i for _, i in want[q]}) / 20 for q in got]) >= 0.9
+
+
+def test_ann_ties_go_to_the_smaller_id(spark, monkeypatch):
+    """A third of the rows are one vector, dealt over blocks of odd sizes: equal
+    scores are equal in every block, and their ids come in order."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 301)
+    v = np.random.default_rng(9).normal(size=(3003, 64))
+    v[::3] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = frame(spark, v, 100)
+    out = ann.nearest_neighbours(df, df.where("id % 60 = 40"), 20, fraction=1.0).orderBy("query_id", "rank").collect()
+    lists = {}
+    for r in out:
+        lists.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    hot = set(range(100, 3103, 3))
+    for q, got in lists.items():
+        exact = (v * v[q - 100]).sum(axis=1)
+        want = sorted((-s, i + 100) for i, s in enumerate(exact) if i + 100 != q)[:20]
+        assert [i for _, i in got] == [i for _, i in want]
+    assert any({i for _, i in got} <= hot for got in lists.values())
+
+
+def test_rerank_orders_ties_in_blocks_of_any_size():
+    import pandas as pd
+    r = np.random.default_rng(3)
+    for n in (301, 777, 1500):
+        v = r.normal(size=(n, 64))
+        v[r.random(n) < 0.4] = v[5]
+        rows = pd.DataFrame({"id": r.permutation(n), "v": list(v), "cell": 0})
+        queries = pd.DataFrame({"id": np.arange(10_000, 10_050), "v": list(np.vstack([v[5:6]] * 50)), "cells": [np.array([0])] * 50})
+        out = ann.rerank(20)(queries, rows)
+        same = sorted(rows["id"][[bool((x == v[5]).all()) for x in v]])[:20]
+        for q, part in out.groupby("query_id"):
+            assert part["vec_id"].tolist() == same and part["score"].nunique() == 1

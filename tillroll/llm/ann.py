@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm._common import table, written
 from tillroll.llm.topk import one_per_id
+from tillroll.session import ship_package
 
 K = 20
 EVERY = 20
@@ -123,18 +124,24 @@ def rerank(k: int):
             cell, rid, v = rows["cell"].to_numpy(), rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
             kinds, start = np.unique(cell, return_index=True)
             size = np.diff(np.append(start, len(cell)))
+            slack = 4.0 * v.shape[1] * np.finfo(float).eps * np.sqrt((v * v).sum(axis=1).max())
             for no, (qid, cells) in enumerate(zip(queries["id"], queries["cells"])):
                 if no % QUERY_SLICE == 0:      # one product for a slice of queries
                     part = queries["v"].iloc[no:no + QUERY_SLICE]
                     product = np.stack(part.to_numpy()) @ v.T
+                own = part.iloc[no % QUERY_SLICE]
                 here = np.isin(kinds, cells, assume_unique=True)
                 at = np.flatnonzero(np.repeat(here, size) & (rid != qid))
                 if not len(at):
                     continue
                 score = product[no % QUERY_SLICE][at]
                 if len(at) > k:
+                    # a matrix product's last bits depend on the block: all within
+                    # its rounding error of the k-th stay
                     bound = np.partition(score, len(at) - k)[len(at) - k]
-                    at, score = at[score >= bound], score[score >= bound]
+                    at = at[score >= bound - slack * np.sqrt(own @ own)]
+                # summed row by row: equal vectors have equal scores in every block
+                score = (v[at] * own).sum(axis=1)
                 top = np.lexsort((rid[at], -score))[:k]
                 found["query_id"].append(np.full(len(top), qid))
                 found["vec_id"].append(rid[at[top]])
@@ -145,13 +152,17 @@ def rerank(k: int):
     return of
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = K, fraction: float = FRACTION) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = K, fraction: float = FRACTION,
+                       min_candidates: int = MIN_CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query (id, v) its k rows (id, v)
     of largest inner product found, but its own id, ties to the smaller id.
 
-    With at most ``MIN_CANDIDATES`` rows all are reranked, so the result is
-    exact; a query always finds min(k, all others) rows.  Empty tables give an
-    empty result."""
+    A query reranks the entries of its nearest cells until they are a share
+    ``fraction`` of all rows, and at least ``min_candidates``: with so few rows
+    all are reranked and the result is exact.  A query always finds min(k, all
+    others) rows.  Rows and queries must be usable vectors of one length, once
+    per id (``one_per_id``).  Empty tables give an empty result."""
+    ship_package(rows.sparkSession)
     n = rows.count()
     shape = "query_id long, rank int, vec_id long, score double"
     if n == 0:
@@ -171,7 +182,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = K, fraction
     for r in index.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     base, many = layout(sizes)
-    budget = max(MIN_CANDIDATES, k + 1, math.ceil(fraction * n))
+    budget = max(min_candidates, k + 1, math.ceil(fraction * n))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

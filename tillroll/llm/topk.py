@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm._common import P, table, written
+from tillroll.session import ship_package
 
 K = 5
 SCALE = 256
@@ -126,7 +127,10 @@ def merged(lists: DataFrame, parts: int, k: int) -> DataFrame:
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query (id, v) the k rows (id,
     v) of highest inner product but its own id, ties to the smaller id; all of
-    them where there are fewer.  ``v`` holds integers as doubles."""
+    them where there are fewer.  ``v`` holds integers as doubles.  Both tables
+    must hold usable vectors of one length, once per id (``one_per_id`` makes
+    them so from any rows); empty tables give no rows."""
+    ship_package(rows.sparkSession)
     n_q, n_r = queries.count(), rows.count()
     q_parts, q_block = block(n_q, BLOCK_QUERIES)
     r_parts, r_block = block(n_r, BLOCK_ROWS)
