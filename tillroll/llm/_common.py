@@ -31,6 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, f"llm-{name}")
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing reads any more: what
+    was made of it must be written itself, so that no task can need it again."""
+    files = table.inputFiles()
+    if files:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getName().startswith("llm-"):
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns named like an operator's own output columns: the
     operator's column replaces an input column of the same name."""
