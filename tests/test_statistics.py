@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shared import SF_SMALL, rows
-from tillroll.operators import basket, churn, ltv, rollups, stats
+from tillroll.operators import basket, churn, ltv, rollups, segments, stats
 from tillroll.operators.timeseries import monthly_revenue
 from tillroll.sources import fixtures
 
@@ -116,3 +116,24 @@ def test_pairs_of_long_baskets_are_dealt_out(spark, monkeypatch):
         assert total.first()["n"] == 120 and items.count() == len({p for ps in orders.values() for p in ps})
     plan = pairs._jdf.queryExecution().analyzed().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_clusters_do_not_depend_on_partitions(spark):
+    sales = fixtures.sales(spark, SF_SMALL)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for parts in (3, 300):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got.append(rows(segments.lloyd_segments(sales.repartition(parts)), "customer_id", "cluster", "segment"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len({c for _, c, _ in got[0]}) == 4 and {s for _, _, s in got[0]} == set(segments.SEGMENT_LABELS)
+
+
+def test_clusters_of_few_and_equal_customers(spark):
+    frame = lambda n: spark.createDataFrame([(f"c{i}", 5.0, "2024-01-02", f"o{i}") for i in range(n)],
+                                            "customer_id string, revenue double, date string, order_id string").withColumn(
+                                                "date", F.col("date").cast("timestamp_ntz"))
+    for n in (1, 2, 50):
+        out = segments.lloyd_segments(frame(n), label=False).collect()
+        assert len(out) == n and len({r["cluster"] for r in out}) == 1
+    assert segments.lloyd_segments(frame(1).limit(0), label=False).collect() == []

@@ -286,6 +286,7 @@ def _registry() -> dict[str, Query]:
         "fixed_cluster_insights": _on_sales(lambda s: segments.segment_insights(_fixed_clusters(s))),
         "churn_split_sizes": _on_sales(churn.churn_split_sizes),
         "churn_metrics": _on_sales(churn.churn_metrics),
+        "lloyd_clusters": _on_sales(segments.lloyd_segments, rounds=3, label=False),
         "churn_feature_auc": _on_sales(churn.feature_auc),
         "approximate_months": _on_sales(rollups.approximate_months),
         # many files with headers of their own

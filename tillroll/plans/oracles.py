@@ -326,6 +326,28 @@ def _words_sql(x: str) -> str:
     return f"(' ' || trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')) || ' ')"
 
 
+def _lloyd_sql(rounds: int, k: int = 4) -> str:
+    """Whole-number k-means over x (x0, x1, x2), a fixed number of rounds."""
+    sums = ", ".join(f"CAST(SUM(CAST(x{i} AS HUGEINT)) AS DOUBLE) AS s{i}, "
+                     f"CAST(SUM(CAST(x{i} AS HUGEINT) * x{i}) AS DOUBLE) AS q{i}" for i in range(3))
+    sd = "sqrt(GREATEST(q{0} / n - (s{0} / n) * (s{0} / n), 0.0))"
+    z = ", ".join(f"CAST(floor((CAST(x{i} AS DOUBLE) - s{i} / n) / CASE WHEN {sd.format(i)} > 0 THEN {sd.format(i)} ELSE 1.0 END * 10000 + 0.5) "
+                  f"AS BIGINT) AS z{i}" for i in range(3))
+    group = " + ".join(f"CAST(CAST(s AS DOUBLE) >= {quantile_sql('zs', 's', i / k)} AS INT)" for i in range(1, k))
+    parts = [f"m AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, {sums} FROM x)",
+             f"z AS (SELECT customer_id, recency, frequency, monetary, {z} FROM x, m)",
+             "zs AS (SELECT *, z2 + z1 - z0 AS s FROM z)",
+             f"a0 AS (SELECT *, {group} AS cluster FROM zs)", "c0 AS (SELECT i AS cluster, 0 AS z0, 0 AS z1, 0 AS z2 FROM range(4) t(i))"]
+    for r in range(1, rounds + 1):
+        mean = ", ".join(f"COALESCE(CAST(floor(CAST(SUM(a.z{i}) AS DOUBLE) / COUNT(a.z{i}) + 0.5) AS BIGINT), ANY_VALUE(c.z{i})) AS z{i}"
+                         for i in range(3))
+        far = " + ".join(f"(p.z{i} - c.z{i}) * (p.z{i} - c.z{i})" for i in range(3))
+        parts += [f"c{r} AS (SELECT c.cluster, {mean} FROM c{r - 1} c LEFT JOIN a{r - 1} a ON a.cluster = c.cluster GROUP BY 1)",
+                  f"a{r} AS (SELECT p.*, c.cluster FROM zs p, c{r} c "
+                  f"QUALIFY row_number() OVER (PARTITION BY p.customer_id ORDER BY {far}, c.cluster) = 1)"]
+    return ",\n".join(parts) + f"\nSELECT customer_id, recency, frequency, monetary, CAST(cluster AS INT) AS cluster FROM a{rounds}"
+
+
 # Outcome per header style of a customer's file (customer number modulo 5).
 _STYLE_MATCHES = """
 st(k, column_name, standard, method) AS (VALUES
@@ -452,6 +474,11 @@ sm AS (SELECT segment, COUNT(*) AS customers, CAST(round_even(AVG(recency), 0) A
 SELECT segment, customers, avg_monetary, CASE segment WHEN 'Champions' THEN 'reward_loyalty'
   WHEN 'Loyal Customers' THEN 'upsell_premium' WHEN 'At Risk' THEN 'win_back_campaign'
   WHEN 'Lost/Inactive' THEN 're_engagement_offer' ELSE 'review_segment' END AS action FROM sm""")
+    o["lloyd_clusters"] = _with(_BASE + f""",
+r AS (SELECT customer_id, date_sub('day', last_date, ref_date + INTERVAL 1 DAY) AS recency,
+             CAST(orders AS BIGINT) AS frequency, CAST(revenue_sum AS DOUBLE) AS monetary FROM b, ref),
+x AS (SELECT *, CAST(recency AS BIGINT) AS x0, frequency AS x1, CAST(floor(monetary * 10000 + 0.5) AS BIGINT) AS x2 FROM r),
+{_lloyd_sql(3)}""")
     o["churn_split_sizes"] = _with(_CHURN_RULE + """
 SELECT churned, COUNT(*) AS customers,
        CAST(LEAST(GREATEST(round(COUNT(*) * 0.2::DOUBLE), 1), COUNT(*) - 1) AS BIGINT) AS test FROM cr GROUP BY 1""")
