@@ -141,6 +141,15 @@ def _files_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("missing", F.array_join("missing", ","))
 
 
+def _canonical(op, months: tuple[str, str] | None = None) -> Query:
+    """An operator over the canonical table that a query writes for itself."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tillroll.plans.canonical import read_canonical, write_canonical
+
+        return op(read_canonical(spark, write_canonical(fixtures.sales(spark, sf_dir)), months))
+    return run
+
+
 def _fixed_clusters(sales: DataFrame) -> DataFrame:
     assigned = customers.rfm(sales).withColumn("cluster", (F.col("customer_id") % 5).cast("int"))
     return segments.segment_summary(segments.label_clusters(assigned, 5))
@@ -286,6 +295,8 @@ def _registry() -> dict[str, Query]:
         "fixed_cluster_insights": _on_sales(lambda s: segments.segment_insights(_fixed_clusters(s))),
         "churn_split_sizes": _on_sales(churn.churn_split_sizes),
         "churn_metrics": _on_sales(churn.churn_metrics),
+        "canonical_rfm": _canonical(customers.rfm),
+        "canonical_year_by_category": _canonical(products.revenue_by_category, ("1997-01-01", "1997-12-01")),
         "lloyd_clusters": _on_sales(segments.lloyd_segments, rounds=3, label=False),
         "churn_feature_auc": _on_sales(churn.feature_auc),
         "approximate_months": _on_sales(rollups.approximate_months),

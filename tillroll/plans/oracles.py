@@ -474,6 +474,10 @@ sm AS (SELECT segment, COUNT(*) AS customers, CAST(round_even(AVG(recency), 0) A
 SELECT segment, customers, avg_monetary, CASE segment WHEN 'Champions' THEN 'reward_loyalty'
   WHEN 'Loyal Customers' THEN 'upsell_premium' WHEN 'At Risk' THEN 'win_back_campaign'
   WHEN 'Lost/Inactive' THEN 're_engagement_offer' ELSE 'review_segment' END AS action FROM sm""")
+    o["canonical_rfm"] = _with(_BASE + """
+SELECT customer_id, date_sub('day', last_date, ref_date + INTERVAL 1 DAY) AS recency,
+       CAST(orders AS BIGINT) AS frequency, CAST(revenue_sum AS DOUBLE) AS monetary FROM b, ref""")
+    o["canonical_year_by_category"] = _with(_share("category"), f"SELECT * FROM ({SALES_SQL}) s WHERE year(date) = 1997")
     o["lloyd_clusters"] = _with(_BASE + f""",
 r AS (SELECT customer_id, date_sub('day', last_date, ref_date + INTERVAL 1 DAY) AS recency,
              CAST(orders AS BIGINT) AS frequency, CAST(revenue_sum AS DOUBLE) AS monetary FROM b, ref),
