@@ -50,6 +50,35 @@ def basket_items(sales: DataFrame, max_products: int | None = None) -> DataFrame
                  .select("order_id", "product", F.coalesce(F.col("_rev") > 0, F.lit(False)).alias("in_basket")))
 
 
+def _counted(sales: DataFrame, min_support: float, max_products: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(product, orders, no) of the frequent items, numbered; (a, b, both) of
+    their numbers; one row (n), the orders with at least one line of a product."""
+    cells = reuse(basket_items(sales, max_products))
+    total = cells.agg(F.count_distinct("order_id").alias("n"))
+    held = cells.filter("in_basket").select("order_id", "product")
+    items = with_scalars(held.groupBy("product").agg(F.count(F.lit(1)).alias("orders")), total)
+    items = items.filter(ratio("orders", "n") >= F.lit(float(min_support))).select("product", "orders")
+    if min_support > 0:      # at most (mean basket size) / min_support rows: one task numbers them
+        items = items.withColumn("no", F.row_number().over(Window.orderBy("product")).cast("int"))
+    else:
+        items = running_totals(reuse(items), "orders", "product").select("product", "orders", F.col("rank").cast("int").alias("no"))
+    items = reuse(items)
+    baskets = (held.join(items.select("product", "no"), "product").groupBy("order_id")
+               .agg(F.sort_array(F.collect_list("no")).alias("items"))
+               .groupBy("items").agg(F.count(F.lit(1)).alias("cnt")))
+    return items, numbered_pairs(reuse(baskets)), total
+
+
+def _named(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of numbers -> (product_a, product_b, both, n_a, n_b), a before b by
+    name, with the orders of either."""
+    side = lambda c: items.select(F.col("no").alias(c), F.struct("product", "orders").alias(f"_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    first, second = F.least("_a", "_b"), F.greatest("_a", "_b")
+    return both.select(first["product"].alias("product_a"), second["product"].alias("product_b"), "both",
+                       first["orders"].alias("n_a"), second["orders"].alias("n_b"))
+
+
 def cooccurrence(sales: DataFrame, min_support: float = 0.0,
                  max_products: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (items, pairs, total):
@@ -59,22 +88,8 @@ def cooccurrence(sales: DataFrame, min_support: float = 0.0,
     pairs: (product_a, product_b, both) for a before b by name;
     total: one row (n) - orders with at least one line of a product.
     """
-    cells = reuse(basket_items(sales, max_products))
-    total = cells.agg(F.count_distinct("order_id").alias("n"))
-    held = cells.filter("in_basket").select("order_id", "product")
-    items = with_scalars(held.groupBy("product").agg(F.count(F.lit(1)).alias("orders")), total)
-    items = reuse(items.filter(ratio("orders", "n") >= F.lit(float(min_support))).select("product", "orders"))
-    numbers = reuse(running_totals(items, "orders", "product").select("product", F.col("rank").cast("int").alias("no")))
-    baskets = (held.join(numbers, "product").groupBy("order_id")
-               .agg(F.sort_array(F.collect_list("no")).alias("items"))
-               .groupBy("items").agg(F.count(F.lit(1)).alias("cnt")))
-    counted = numbered_pairs(reuse(baskets))
-    # the pair of numbers gets its names back, in the order of the names
-    one = numbers.select(F.col("no").alias("a"), F.col("product").alias("name_a"))
-    two = numbers.select(F.col("no").alias("b"), F.col("product").alias("name_b"))
-    pairs = counted.join(one, "a").join(two, "b").select(
-        F.least("name_a", "name_b").alias("product_a"), F.greatest("name_a", "name_b").alias("product_b"), "both")
-    return items, pairs, total
+    items, pairs, total = _counted(sales, min_support, max_products)
+    return items.select("product", "orders"), _named(pairs, items).select("product_a", "product_b", "both"), total
 
 
 def numbered_pairs(baskets: DataFrame) -> DataFrame:
@@ -96,12 +111,11 @@ def product_associations(sales: DataFrame, min_support: float = 0.02, max_produc
     frequent products only."""
     if not has(sales, "order_id", "product"):
         return empty(sales.sparkSession, RULES_SCHEMA)
-    items, pairs, total = cooccurrence(sales, min_support, max_products)
-    ia = items.select(F.col("product").alias("product_a"), F.col("orders").alias("n_a"))
-    ib = items.select(F.col("product").alias("product_b"), F.col("orders").alias("n_b"))
+    items, pairs, total = _counted(sales, min_support, max_products)
+    # few pairs are frequent: the others go before any gets its names
     frequent = with_scalars(pairs, total).withColumn("_support", F.col("both") / F.col("n")) \
         .filter(F.col("_support") >= F.lit(float(min_support)))
-    r = frequent.join(ia, "product_a").join(ib, "product_b")
+    r = with_scalars(_named(frequent.select("a", "b", "both"), items), total).withColumn("_support", F.col("both") / F.col("n"))
     conf = F.col("_support") / (F.col("n_a") / F.col("n"))
     lift = F.col("_confidence") / (F.col("n_b") / F.col("n"))
     rules = (r.withColumn("_confidence", conf).withColumn("_lift", lift)
