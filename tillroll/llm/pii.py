@@ -106,29 +106,21 @@ def find_pii(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCO
     df = df.withColumns({f"{P}{k}": F.when(text.rlike(HINTS[k]),
                                            F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none)
                          for k in KINDS})
-    # indices of the confirmed matches; the rest still count for the offsets
-    def indices(k: str) -> Column:
-        size = F.size(f"{P}{k}")
-        every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(every, lambda i: confirmed(k, F.get(F.col(f"{P}{k}"), i)))
-
-    df = df.withColumns({f"{P}{k}_ok": indices(k) for k in KINDS})
-    df = df.withColumns({f"{P}{k}_gap": F.when(F.size(f"{P}{k}_ok") > 0, F.transform(
-        F.split(text, PATTERNS[k], -1), F.length)) for k in KINDS})
-    df = df.withColumns({f"{P}{k}_len": F.transform(f"{P}{k}", F.length) for k in KINDS})
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
+    # one walk over the matches and the gaps before them; unconfirmed ones count
+    # for the places only
     def spans(no: int, k: str) -> Column:
-        gap, size = F.col(f"{P}{k}_gap"), F.col(f"{P}{k}_len")
-
-        def span(i: Column) -> Column:
-            start = total(F.slice(gap, 1, i + 1)) + total(F.slice(size, 1, i))
-            return F.struct(start.alias("start"), F.lit(no).alias("kind_no"), F.lit(k).alias("kind"),
-                            (start + F.get(size, i)).alias("end"))
-
-        return F.transform(F.col(f"{P}{k}_ok"), span)
+        info = F.transform(f"{P}{k}", lambda m: F.struct(F.length(m).alias("size"), confirmed(k, m).alias("ok")))
+        gaps = F.slice(F.transform(F.split(text, PATTERNS[k], -1), F.length), 1, F.size(f"{P}{k}"))
+        pieces = F.zip_with(info, gaps, lambda m, g: F.struct(m["size"].alias("size"), m["ok"].alias("ok"), g.alias("gap")))
+        empty = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int>>")
+
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + m["gap"]
+            span = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), F.lit(k).alias("kind"), (start + m["size"]).alias("end"))
+            return F.struct((start + m["size"]).alias("at"), F.when(m["ok"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        walked = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return F.when(F.size(f"{P}{k}") > 0, walked).otherwise(empty)
 
     df = df.withColumn(f"{P}spans", F.concat(*[spans(no, k) for no, k in enumerate(KINDS)]))
 
