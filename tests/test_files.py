@@ -183,3 +183,11 @@ def test_flags_per_file(spark):
             ("b", "o1", 12.5, 6), ("b", "o1", 3.0, 3), ("b", "o2", 1.0, 2), ("b", "o2", 40.0, 4), ("b", "o3", 9.0, 1)]
     df = spark.createDataFrame(data, "file_id string, order_id string, revenue double, quantity int")
     assert rows(clean.unit_price_flag(df, by=("file_id",))) == [("a", True), ("b", False)]
+
+
+def test_a_header_is_scored_once_however_many_files_have_it(spark):
+    """No row of a file runs the Python scores: only distinct headers do."""
+    catalog = columns.header_catalog(spark, {"a": ["Ordr Date", "zzz"], "b": ["Ordr Date", "Amount"]})
+    plan = columns.match_headers(catalog)._jdf.queryExecution().executedPlan().toString()
+    below = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(below) == 1 and "lower(" not in below[0]
