@@ -34,16 +34,18 @@ def symbol_counts(text: Column, parity: bool = False) -> list[tuple[str, Column]
     out = []
     multi = [sym for sym, _ in CURRENCIES.values() if len(sym) > 1]
     for code, (sym, _) in CURRENCIES.items():
-        n = F.regexp_count(text, F.lit(_quote(sym)))
+        n = _occurrences(text, sym)
         if not parity and sym == "$":
             for m in multi:
-                n = n - F.regexp_count(text, F.lit(_quote(m)))
+                n = n - _occurrences(text, m)
         out.append((code, n))
     return out
 
 
-def _quote(s: str) -> str:
-    return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}" else ch for ch in s)
+def _occurrences(text: Column, part: str) -> Column:
+    """How often ``part`` is in a text, without overlap; by what is left without it."""
+    less = F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
+    return F.when(text.contains(part), (less / len(part)).cast("int")).when(text.isNotNull(), 0)
 
 
 def most_frequent(counts: list[tuple[str, Column]]) -> Column:

@@ -21,6 +21,7 @@ from tillroll.operators.currency import CURRENCIES, symbol_counts
 KEYS = ["file_id", "position"]
 LG_K = 12            # 4,096 registers: about 1.6 % standard error, exact lists for a few hundred values
 KLL_K = 200          # about 1.3 % rank error
+SYMBOLS = "[" + "".join(sorted({sym[-1] for sym, _ in CURRENCIES.values()})) + "]"     # one of them is in any symbol
 COUNTS = ["non_null", "numeric", "dates", "day_first", "month_first"]
 
 
@@ -40,15 +41,19 @@ def profile_sketches(values: DataFrame) -> DataFrame:
     numbers, dates and of numeric dates that fit one order only, the sum of the
     numbers, whether all are whole, currency symbols, and the two sketches."""
     v = F.col("value")
-    rows = values.withColumn("_n", v.try_cast("double"))
+    rows = values.withColumn("_n", columns.number_of(v))
     rows = rows.withColumn("_n", F.when(~F.isnan("_n") & (F.abs("_n") < float("inf")), F.col("_n")))
     number = F.col("_n")
-    symbols = [F.coalesce(F.sum(n), F.lit(0)).alias(code) for code, n in symbol_counts(v)]
+    # what few cells need goes to them alone: counts of symbols, orders of dates
+    rows = (rows.withColumn("_money", F.when(v.rlike(SYMBOLS), v)).withColumn("_numeric_date", F.when(v.rlike(columns.NUMERIC_DATE), v))
+            .withColumn("_date", F.when(F.col("_n").isNull(), columns.parse_timestamp(v))))
+    rows = (rows.withColumns({f"_{code}": n for code, n in symbol_counts(F.col("_money"))})
+            .withColumns({f"_{at}": _hits(F.col("_numeric_date"), columns.NUMERIC_DATE, at) for at in (1, 2)}))
+    symbols = [F.coalesce(F.sum(f"_{code}"), F.lit(0)).alias(code) for code in CURRENCIES]
     return rows.groupBy(*KEYS).agg(
         F.count(v).alias("non_null"), F.count(number).alias("numeric"),
-        F.count(F.when(number.isNull(), columns.parse_timestamp(v))).alias("dates"),
-        F.count_if(_hits(v, columns.NUMERIC_DATE, 1)).alias("day_first"),
-        F.count_if(_hits(v, columns.NUMERIC_DATE, 2)).alias("month_first"),
+        F.count("_date").alias("dates"),
+        F.count_if("_1").alias("day_first"), F.count_if("_2").alias("month_first"),
         F.sum(number).alias("number_sum"), F.coalesce(F.bool_and(number % 1 == 0), F.lit(True)).alias("all_integer"),
         F.hll_sketch_agg(v, F.lit(LG_K)).alias("values_hll"), F.kll_sketch_agg_double(number, F.lit(KLL_K)).alias("numbers_kll"),
         F.struct(*symbols).alias("symbols"))
