@@ -110,11 +110,15 @@ def fix_unit_price(df: DataFrame, unit_price: bool | None = None) -> DataFrame:
                     .otherwise(F.col("revenue"))).drop("unit_price")
 
 
-def clean_sales(df: DataFrame, parity: bool = False, unit_price: bool | None = None,
-                day_first: bool | None = None) -> DataFrame:
-    """Dates, revenue, quantity, derived revenue, unit-price fix - in this order."""
+def typed_sales(df: DataFrame, parity: bool = False, day_first: bool | None = None) -> DataFrame:
+    """Dates, revenue, quantity, derived revenue - in this order."""
     out = clean_date(df, day_first)
     out = clean_revenue(out, parity=parity)
     out = clean_quantity(out)
-    out = derive_revenue(out)
-    return fix_unit_price(out, unit_price=unit_price)
+    return derive_revenue(out)
+
+
+def clean_sales(df: DataFrame, parity: bool = False, unit_price: bool | None = None,
+                day_first: bool | None = None) -> DataFrame:
+    """``typed_sales``, then the unit-price fix."""
+    return fix_unit_price(typed_sales(df, parity, day_first), unit_price=unit_price)

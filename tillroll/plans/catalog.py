@@ -17,6 +17,7 @@ from tillroll.functions import sig_round
 from tillroll.operators._common import intermediates, release
 from tillroll.session import apply_defaults
 from tillroll.sources import derived, fixtures
+from tillroll.sources.tables import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +66,19 @@ def _clean_amounts(spark: SparkSession, sf_dir: str, parity: bool) -> DataFrame:
     return clean.clean_revenue(texts.withColumn("revenue", texts.amount_text), parity=parity)
 
 
+def _cleaned(mapped: DataFrame) -> DataFrame:
+    """``clean_sales``, but rows are parsed once: the typed rows are written, and
+    read for the unit-price test and for the result."""
+    return clean.fix_unit_price(write_table(clean.typed_sales(mapped), "typed"))
+
+
 def _sales_from_text_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillroll.plans.ingest import standardize
 
-    mapped, _ = standardize(derived.sales_as_text(spark, sf_dir), file_id="sales_text")
+    # read for the date order and for the rows
+    mapped, _ = standardize(write_table(derived.sales_as_text(spark, sf_dir), "text"), file_id="sales_text")
     # the text carries 4 decimals: hold the parsed amounts exactly before summing
-    cleaned = clean.clean_sales(mapped).withColumn("revenue", F.col("revenue").cast("decimal(18,4)"))
+    cleaned = _cleaned(mapped).withColumn("revenue", F.col("revenue").cast("decimal(18,4)"))
     return timeseries.monthly_revenue(cleaned)
 
 
@@ -104,8 +112,9 @@ def _mapping_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fuzzy_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillroll.plans.ingest import standardize
 
-    mapped, _ = standardize(derived.sales_under(spark, sf_dir, derived.FUZZY_HEADERS), file_id="fuzzy", sniff=False)
-    return products.revenue_by_category(clean.clean_sales(mapped).withColumn(
+    text = write_table(derived.sales_under(spark, sf_dir, derived.FUZZY_HEADERS), "text")
+    mapped, _ = standardize(text, file_id="fuzzy", sniff=False)
+    return products.revenue_by_category(_cleaned(mapped).withColumn(
         "revenue", F.col("revenue").cast("decimal(18,4)")))
 
 
@@ -119,13 +128,15 @@ def _files_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three files with headers of their own: the same lines, the same months."""
     from tillroll.plans.files import load_cells
 
-    loaded = load_cells(*derived.sales_files(spark, sf_dir)).sales
+    cells, catalog = derived.sales_files(spark, sf_dir)
+    loaded = load_cells(write_table(cells, "cells"), catalog).sales
     return timeseries.monthly_revenue(loaded.withColumn("revenue", F.col("revenue").cast("decimal(18,4)")))
 
 
 def _files_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = profiles.cell_values(derived.sales_files(spark, sf_dir)[0])
-    found = profiles.exact_distinct(values, profiles.column_profiles(profiles.profile_sketches(values)))
+    values = profiles.cell_values(write_table(derived.sales_files(spark, sf_dir)[0], "cells"))
+    sketches = write_table(profiles.profile_sketches(values), "sketches")
+    found = profiles.exact_distinct(values, profiles.column_profiles(sketches))
     return found.select("file_id", "position", "non_null", "date_rate", "numeric_rate", sig_round("mean").alias("mean"),
                         "all_integer", (F.col("distinct") <= columns.CATEGORY_LIMIT).alias("few_values"))
 
@@ -133,7 +144,8 @@ def _files_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillroll.plans.files import load_cells
 
-    return load_cells(*derived.nation_files(spark, sf_dir)).currencies()
+    cells, catalog = derived.nation_files(spark, sf_dir)
+    return load_cells(write_table(cells, "cells"), catalog).currencies()
 
 
 def _files_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
