@@ -26,7 +26,20 @@ def line_revenue(price: str = "l_extendedprice", discount: str = "l_discount"):
     return F.col(price).cast("decimal(12,2)") * (F.lit(1) - F.col(discount).cast("decimal(4,2)"))
 
 
+LINES_A_TASK = 1_000_000      # about 0.3 GB in a task that joins, sorts and groups them
+
+
+def line_tasks(lines: DataFrame) -> int | None:
+    """Tasks for the joins of all order lines, so that a task's share does not
+    grow with them; None where the session's own number is enough.  Rows are
+    counted in the files' footers."""
+    tasks = -(-lines.count() // LINES_A_TASK)
+    return tasks if tasks > lines.sparkSession.sparkContext.defaultParallelism else None
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = line_tasks(table(spark, sf_dir, "lineitem"))
+    spread = lambda df, key: df.repartition(tasks, key) if tasks else df
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), "l_partkey",
         line_revenue().alias("revenue"), F.col("l_quantity").cast("int").alias("quantity"))
@@ -45,6 +58,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (by order key, then by part key); AQE turns either into a broadcast
     # join when its other side is measured small, and splits hot keys.
     orders_region = orders.join(cust_region, orders.customer_id == cust_region.c_custkey)
+    li, orders_region, part = spread(li, "order_id"), spread(orders_region, "o_orderkey"), spread(part, "p_partkey")
     out = (li.join(orders_region, li.order_id == orders_region.o_orderkey)
              .join(part, li.l_partkey == part.p_partkey))
     return out.select("date", "revenue", "quantity", "customer_id", "product", "category",
