@@ -93,6 +93,7 @@ def churn_insights(scores: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 # Random-forest model (pyspark.ml; distributed training)
 # --------------------------------------------------------------------------
+CUSTOMERS_A_TASK = 50_000     # of the rows that a hundred trees pass over, level by level
 
 def split_stratified(features: DataFrame, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``is_test``: in each class a share ``test_fraction`` of the rows
@@ -171,6 +172,9 @@ def fit_churn(features: DataFrame, num_trees: int = 100, max_depth: int = 6, see
         weights = spark.createDataFrame(
             [(int(k), float(total) / (2.0 * v)) for k, v in counts.items()], "churned int, w double")
         data = split_stratified(f, test_fraction, seed).join(F.broadcast(weights), "churned")
+        tasks = -(-total // CUSTOMERS_A_TASK)
+        if tasks > 1:        # a few MB of rows would be one task; the split is made once for all passes
+            data = cut_lineage(data.repartition(tasks, "customer_id"))
         train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
         stages = [VectorAssembler(inputCols=FEATURES, outputCol="raw"),
                   StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
