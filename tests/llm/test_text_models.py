@@ -227,6 +227,45 @@ def test_stock_sentences_do_not_hide_a_passage(spark):
     assert any(r["doc_id"] == 200 and r["other_doc_id"] == 100 and r["start_word"] <= 30 and r["end_word"] >= 90 for r in rows)
 
 
+def hidden(passage, edited, strangers):
+    """Documents 1000 and 2000 share an edited passage; every 20 words of it stand in
+    so many earlier and later documents too, and in none of them fifty words."""
+    docs = [(1000, f"{prose(3000, 40)} {' '.join(passage)} {prose(3001, 40)}"), (2000, f"{prose(3002, 30)} {' '.join(edited)} {prose(3003, 30)}")]
+    pieces = [t[i:i + 24] for n in range(strangers) for t in (passage, edited) for i in range(n % 4, len(t) - 20, 13)]
+    return docs + [(low + n, f"{prose(10000 + low + n, 30)} {' '.join(t)} {prose(20000 + low + n, 30)}")
+                   for low in (1, 2001) for n, t in enumerate(pieces)]
+
+
+@pytest.mark.parametrize("strangers", [1, 30])
+def test_edited_passages_are_not_hidden_by_first_and_last_documents(spark, strangers):
+    passage = prose(2900, 100).split()
+    edited = passage[:45] + ["another"] + passage[46:72] + ["new"] + passage[72:]
+    rows = dicts(substring.repeated_passages(spark.createDataFrame(hidden(passage, edited, strangers), "doc_id long, text string")))
+    assert any(r["doc_id"] == 2000 and r["other_doc_id"] == 1000 and r["start_word"] <= 35 and r["end_word"] >= 125 for r in rows)
+
+
+def test_every_pair_of_few_and_the_class_of_many_edited_passages(spark):
+    passage = prose(2901, 120).split()
+    texts = []
+    for i in range(45):
+        p = list(passage)
+        p[7 + 2 * i] = f"edit{i}"
+        texts.append(f"{prose(5000 + i, 20)} {' '.join(p)} {prose(6000 + i, 20)}")
+    found = lambda n: {(r["doc_id"], r["other_doc_id"]) for r in dicts(substring.repeated_passages(
+        spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")))}
+    assert found(8) == {(b, a) for b in range(8) for a in range(b)}
+    assert {(b, 0) for b in range(1, 45)} <= found(45)
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 15])
+def test_periodic_passages(spark, period):
+    words = (prose(2902, 40).split()[:period] * 80)
+    docs = [(i, f"{prose(7000 + i, 20 + i)} {' '.join(words[i % 5:n])} {prose(8000 + i, 20)}")
+            for i, n in enumerate((55, 80, 60, 80))]
+    rows = dicts(substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert {(r["doc_id"], r["other_doc_id"]) for r in rows} == {(b, a) for b in range(4) for a in range(b)}
+
+
 def test_substring_odd_rows(spark):
     rows = dicts(substring.repeated_passages(odd(spark)))
     assert {(r["doc_id"], r["other_doc_id"]) for r in rows} == {(2, 1), (7, 6), (12, 1), (12, 2)}

@@ -7,12 +7,17 @@ document.
 1. Seeds: hashes of ``K`` consecutive lower-cased words, thinned by winnowing
    (the smallest of every ``WINDOW`` consecutive ones).  Any run of K + WINDOW - 1
    = 20 equal words shares a seed, and a run of MIN_WORDS shares at least two.
-2. Seed join: seeds that only one document has are dropped by a map-side
-   combined count.  The others link to the first and to the last document that
-   has the seed, never to each other, so a passage of n documents costs 2 n
-   links.  Those can be strangers that share a stock phrase only; so the runs of
-   MIN_WORDS words that have a shared seed in every window are hashed as a whole
-   and linked the same way: whoever is first or last there shares a passage.
+2. Seed join: seeds that only one document has are dropped.  A seed of at most
+   ``FEW`` rows links every pair of its documents.  A more frequent one (a stock
+   phrase, a passage of very many documents) is joined with every other shared
+   seed within ``REACH`` words before or after it: chains need two seeds, so a
+   passage that a frequent seed helps to find has such a pair of seeds.  Pairs of
+   seeds with at most FEW rows link every pair of documents again.
+   The others link each document to the first and to the last one; then
+   the rows that no passage found with the first document covers are linked to all
+   rows of other documents there.  Two documents that share a passage are thus
+   paired, unless both were found to share that place with the same first document:
+   those are its class, and only such pairs are not spelled out.
 3. Chaining, per pair of documents: links on one diagonal merge to segments;
    segments in the same order in both documents are chained for the largest
    number of words less gap costs, with a Fenwick tree of prefix maxima.
@@ -22,20 +27,22 @@ document.
    replaced, inserted and deleted words; where a chain fails, its longest segment
    is extended alone.  What reaches MIN_WORDS and MIN_IDENTITY is a passage.
 
-Scale: seeds are about 2 / 17 of the words, 28 bytes each; a pair's links are
-bounded by one document's seeds and runs.  Texts are also joined with the places
-of shared seeds; runs are hashed only where seeds are shared, one for a word
-there.  Only regions travel on from the alignment's joins.
+Scale: seeds are about 2 / 17 of the words, 28 bytes each, in one shuffle.  Frequent
+seeds alone make further rows, a few for each.  Texts are joined once per alignment
+with the regions wanted of them, and only regions travel on.  Documents that have two
+seeds near one another in common with very many others, but no passage with the first
+of them, are compared pair by pair: that part is quadratic, in joins and without a cap.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm._common import discard, table, written
@@ -52,6 +59,9 @@ MISMATCH = 4.0        # cost of a differing word: 80 % identity breaks even
 SHIFT = 3             # words that an extension can skip at once on either side
 LOOK = 5              # words that have to agree after a skip, but one
 SEED = 10
+FEW = 8               # rows of a seed up to which all pairs are linked at once
+REACH = 64            # words within which a frequent seed is joined with others
+STRETCH = 18          # words of a seed of a periodic stretch: MIN_WORDS less two periods
 
 
 # --- words and seeds --------------------------------------------------------
@@ -83,24 +93,57 @@ def spelled(text: str | None) -> tuple[memoryview, np.ndarray, np.ndarray, np.nd
     return memoryview(b" ".join(data.split())), np.concatenate(([0], stop[:-1] + 1)), stop, start
 
 
-def seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, word number, byte offset) of the seeds of a text that is long
-    enough to hold a passage."""
+def stretches(hashes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first place, end of the places, period) of the parts of at least MIN_WORDS
+    words that repeat with a period of up to ``WINDOW`` words, disjoint in hashes."""
+    n, out = len(hashes), []
+    if len(np.unique(hashes)) == n:
+        return out
+    taken = np.zeros(n, dtype=bool)
+    for q in range(1, WINDOW + 1):
+        same = np.concatenate(([0], ((hashes[q:] == hashes[:-q]) & ~taken[q:]).view(np.int8), [0]))
+        edge = np.diff(same)
+        for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            if e - s + q + K - 1 >= MIN_WORDS:
+                out.append((s, e + q, q))
+                taken[s:e + q] = True
+    return out
+
+
+def seeds(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word number, byte offset, words) of the seeds of a text that is long
+    enough to hold a passage.
+
+    A stretch of one period has seeds of its own, of ``STRETCH`` words: counted
+    from its least hash, one for each MIN_WORDS words or so, numbered, and again
+    from the next period on, as another document can begin with more or less of
+    one.  Its other seeds count in its first two periods only."""
     from xxhash import xxh64_intdigest
 
     joined, begin, stop, start = spelled(text)
     if len(start) < MIN_WORDS:
         none = np.array([], dtype=np.int64)
-        return none, none, none
+        return none, none, none, none
     n = len(start) - K + 1
     hashes = np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(begin[:n].tolist(), stop[K - 1:].tolist())),
                          dtype=np.uint64, count=n)
     at = winnowed(hashes)
-    return hashes[at].view(np.int64), at, start[at]
+    own, places = [], []
+    for s, e, q in stretches(hashes):
+        at = at[(at < s + 2 * q) | (at >= e)]
+        least = s + int(np.argmin(hashes[s:s + q]))
+        step = q * -(-MIN_WORDS // q)
+        for place in (least, least + q):
+            for no, p in enumerate(range(place, e + K - STRETCH, step)):
+                own.append(xxh64_intdigest(f"{hashes[least]} {q} {no}", SEED + 1))
+                places.append(p)
+    every = np.concatenate((at, np.array(places, dtype=np.int64)))
+    return (np.concatenate((hashes[at], np.array(own, dtype=np.uint64))).view(np.int64), every, start[every],
+            np.repeat([K, STRETCH], [len(at), len(own)]))
 
 
 def seed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(seed, doc, at): at = word number * 2^32 + byte offset."""
+    """(seed, doc, at, n): at = word number * 2^32 + byte offset; n words."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for low in range(0, len(b), 256):
@@ -109,90 +152,76 @@ def seed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size = [len(f[0]) for f in found]
                 yield pd.DataFrame({"seed": np.concatenate([f[0] for f in found]),
                                     "doc": np.repeat(part["doc"].to_numpy(dtype=np.int64), size),
-                                    "at": np.concatenate([(f[1].astype(np.int64) << 32) | f[2] for f in found])})
+                                    "at": np.concatenate([(f[1].astype(np.int64) << 32) | f[2] for f in found]),
+                                    "n": np.concatenate([f[3] for f in found])})
 
     return (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-            .where("doc is not null").mapInPandas(emit, "seed long, doc long, at long"))
+            .where("doc is not null").mapInPandas(emit, "seed long, doc long, at long, n int"))
 
 
-def grams(text: str | None, places: np.ndarray) -> list[tuple[int, int, int]]:
-    """(hash, at, bytes) of the runs of MIN_WORDS words that another document can
-    have too: ``places`` are the shared seeds, and a shared run has one in every
-    window.  A run that repeats counts again where the last one has ended."""
-    from xxhash import xxh64_intdigest
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """Rows whose seed several documents have, with its first and last row and
+    their number."""
+    where = F.struct("doc", "at")
+    at_seed = Window.partitionBy("seed")
+    return (rows.withColumns({"first": F.min(where).over(at_seed), "last": F.max(where).over(at_seed),
+                              "size": F.count(F.lit(1)).over(at_seed)})
+            .where("first.doc < last.doc"))
 
-    joined, begin, stop, start = spelled(text)
-    n = len(start) - MIN_WORDS + 1
-    if n < 1:
-        return []
-    m = len(start) - K + 1
-    last = np.full(m, -1)
-    held = places[places < m]
-    last[held] = held
-    last = np.maximum.accumulate(last)
-    bad = np.concatenate(([0], np.cumsum(last[WINDOW - 1:] < np.arange(m - WINDOW + 1))))
-    span = MIN_WORDS - K - WINDOW + 2      # windows of one run
-    seen: dict[int, int] = {}
-    out = []
-    for i in np.flatnonzero(bad[span:span + n] == bad[:n]).tolist():
-        h = xxh64_intdigest(joined[begin[i]:stop[i + MIN_WORDS - 1]], SEED + 1)
-        if i - seen.get(h, -MIN_WORDS) >= MIN_WORDS:
-            seen[h] = i
-            out.append((h - (1 << 64) if h >> 63 else h, i << 32 | int(start[i]), int(start[i + MIN_WORDS - 1] - start[i])))
-    return out
 
+def pair_rows(shared: DataFrame) -> DataFrame:
+    """Frequent seeds, once for every other shared seed within ``REACH`` words:
+    rows whose seed stands for both and their order."""
+    word, block = F.shiftright("at", 32), F.floor(F.shiftright("at", 32) / REACH)
+    near = shared.select("doc", F.col("seed").alias("other"), word.alias("there"), block.alias("block"))
+    often = (shared.where(F.col("size") > FEW)
+             .select("doc", "seed", "at", "n", word.alias("here"), F.explode(F.array(block - 1, block, block + 1)).alias("block")))
+    return (often.join(near, ["doc", "block"])
+            .where((F.col("here") != F.col("there")) & (F.abs(F.col("here") - F.col("there")) <= REACH))
+            .select(F.xxhash64("seed", "other", F.col("here") < F.col("there")).alias("seed"), "doc", "at", "n").distinct())
 
-def gram_rows(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(seed, doc, at, size) of the runs of MIN_WORDS words in the documents of
-    ``shared`` (doc, seed, at); ``size`` is the bytes up to the last word."""
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(h, doc, at, size) for doc, text, places in zip(b["doc"], b["text"], b["places"])
-                     for h, at, size in grams(text, np.asarray(places, dtype=np.int64))]
-            yield pd.DataFrame(found, columns=["seed", "doc", "at", "size"])
 
-    places = shared.groupBy("doc").agg(F.collect_set(F.shiftright("at", 32).cast("int")).alias("places")).where("size(places) > 1")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return texts.join(places, "doc").mapInPandas(emit, "seed long, doc long, at long, size int")
+def linked(b: str, bt: str, a: str, at: str):
+    """A link as a struct: places of the later and of the earlier document."""
+    y, x = F.shiftright(bt, 32), F.shiftright(at, 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return F.struct(F.col(b).alias("b"), F.col(a).alias("a"), (x - y).cast("int").alias("diagonal"), y.cast("int").alias("y"),
+                    x.cast("int").alias("x"), F.col("n").alias("n"), low(bt).alias("yo"), low(at).alias("xo"))
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """Rows whose seed several documents have, with its first and last one."""
-    where = F.struct("doc", "at", "size")
-    ends = (rows.groupBy("seed").agg(F.min(where).alias("first"), F.max(where).alias("last"))
-            .where("first.doc < last.doc"))
-    return rows.join(ends, "seed")
-
-
-def links(both: DataFrame, n: int) -> DataFrame:
-    """(b, a, diagonal, y, x, n, yo, xo, yz, xz) for a < b: word numbers and byte
-    offsets of n shared words in both (their first and their last known word),
-    for the first and the last document that has them."""
-    head = F.struct(F.col("doc").alias("b"), F.col("first.doc").alias("a"), F.col("at").alias("bt"), F.col("first.at").alias("t"),
-                    F.col("size").alias("bs"), F.col("first.size").alias("s"))
-    tail = F.struct(F.col("last.doc").alias("b"), F.col("doc").alias("a"), F.col("last.at").alias("bt"), F.col("at").alias("t"),
-                    F.col("last.size").alias("bs"), F.col("size").alias("s"))
-    pair = both.select(F.explode(F.array(head, tail)).alias("p")).where("p.a < p.b").select("p.*")
-    y, x = F.shiftright("bt", 32), F.shiftright("t", 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    return pair.select("b", "a", (x - y).cast("int").alias("diagonal"), y.cast("int").alias("y"), x.cast("int").alias("x"),
-                       F.lit(n).alias("n"), low("bt").alias("yo"), low("t").alias("xo"),
-                       (low("bt") + F.col("bs")).alias("yz"), (low("t") + F.col("s")).alias("xz"))
-
-
-def chains_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The written chains of the links of seeds, and of runs of MIN_WORDS words.
-    Tables of seeds and runs are deleted as soon as what they serve is written."""
-    every = written(seed_rows(docs, id_col, text_col), "passage-every-seed")
-    shared = written(shared_rows(every.withColumn("size", F.lit(0))), "passage-seeds")
-    discard(every)
-    every = written(gram_rows(docs, shared, id_col, text_col), "passage-every-run")
-    runs = written(shared_rows(every), "passage-runs")
-    discard(every)
-    chains = written(chained(links(shared, K).unionByName(links(runs, MIN_WORDS))), "passage-chains")
-    discard(shared)
-    discard(runs)
-    return chains
+def star_links(rows: DataFrame) -> DataFrame:
+    """(b, a, diagonal, y, x, n, yo, xo) for a < b: word numbers and byte offsets of
+    n shared words in both, for the first and the last document that has them."""
+    ends = F.array(linked("doc", "at", "first.doc", "first.at"), linked("last.doc", "last.at", "doc", "at"))
+    return rows.select(F.explode(ends).alias("p")).where("p.a < p.b").select("p.*")
+
+
+def all_links(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Links of each of ``rows`` to all of ``others`` at its seed."""
+    one = rows.select("seed", F.col("doc").alias("one"), F.col("at").alias("one_at"), "n")
+    two = others.select("seed", F.col("doc").alias("two"), F.col("at").alias("two_at"))
+    p = F.when(F.col("one") > F.col("two"), linked("one", "one_at", "two", "two_at")).otherwise(linked("two", "two_at", "one", "one_at"))
+    return one.join(two, "seed").where("one <> two").select(p.alias("p")).select("p.*")
+
+
+def pair_links(rows: DataFrame) -> DataFrame:
+    """Links of all pairs of ``rows`` at a seed: each link comes twice, from either
+    side, and is kept where the later document comes first."""
+    few = rows.where(F.col("size") <= FEW)
+    one = few.select("seed", F.col("doc").alias("one"), F.col("at").alias("one_at"), "n")
+    two = few.select("seed", F.col("doc").alias("two"), F.col("at").alias("two_at"))
+    return one.join(two, "seed").where("one > two").select(linked("one", "one_at", "two", "two_at").alias("p")).select("p.*")
+
+
+def uncovered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` but those that are, or that a passage of ``found`` shares with, the
+    first row of their seed."""
+    known = found.select(F.col("doc_id").alias("doc"), F.col("other_doc_id").alias("head"), "start_word", "end_word", "other_start", "other_end")
+    y, x = F.shiftright("at", 32), F.shiftright("first.at", 32)
+    rows = rows.where("doc > first.doc").withColumns({"head": F.col("first.doc"), "y": y, "x": x})
+    return (rows.join(known, (rows["doc"] == known["doc"]) & (rows["head"] == known["head"]) & (F.col("y") >= F.col("start_word"))
+                      & (F.col("y") < F.col("end_word")) & (F.col("x") >= F.col("other_start")) & (F.col("x") < F.col("other_end")), "left_anti")
+            .select("seed", "doc", "at", "n"))
 
 
 # --- chaining ---------------------------------------------------------------
@@ -258,8 +287,7 @@ def chained(found: DataFrame) -> DataFrame:
     shape = "b long, a long, xs array<int>, ys array<int>, ns array<int>, yo int, xo int, yz int, xz int"
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        b, a, d, y, x, n, yo, xo, yz, xz = (rows[c].to_numpy()
-                                            for c in ("b", "a", "diagonal", "y", "x", "n", "yo", "xo", "yz", "xz"))
+        b, a, d, y, x, n, yo, xo = (rows[c].to_numpy() for c in ("b", "a", "diagonal", "y", "x", "n", "yo", "xo"))
         new_pair = np.concatenate(([True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])))
         fresh = new_pair | np.concatenate(([True], d[1:] != d[:-1]))
         base = np.cumsum(fresh) << 33         # the end so far on the diagonal of a pair
@@ -268,7 +296,7 @@ def chained(found: DataFrame) -> DataFrame:
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(b)])) - 1
         length = end[last] - y[first]
-        yz, xz = np.maximum.reduceat(yz, first), np.maximum.reduceat(xz, first)
+        yz, xz = np.maximum.reduceat(yo, first), np.maximum.reduceat(xo, first)
         starts = np.flatnonzero(new_pair[first])
         words = np.add.reduceat(length, starts)
         stops = np.concatenate((starts[1:], [len(first)]))
@@ -342,15 +370,13 @@ def extension(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int]]:
             later.append((x, y, same))
         if run == n:
             return [best[1:], *later]
-        ahead = 0
-        for dx, dy in STEPS:
-            u, v = p[x + dx:x + dx + LOOK], q[y + dy:y + dy + LOOK]
-            n = min(len(u), len(v))
-            equal = int((u[:n] == v[:n]).sum())
-            if n and u[0] == v[0] and equal >= min(n, LOOK - 1) and equal > ahead:
-                ahead, step = equal, (dx, dy)
+        u, v = p[x:x + SHIFT + LOOK].tolist(), q[y:y + SHIFT + LOOK].tolist()
+        for step in STEPS:
+            dx, dy = step
+            n = min(len(u) - dx, len(v) - dy, LOOK)
+            if n > 0 and u[dx] == v[dy] and sum(map(eq, u[dx:dx + n], v[dy:dy + n])) >= min(n, LOOK - 1):
                 break
-        if not ahead:
+        else:
             # nothing agrees near: on along the diagonal, while the score lasts
             step = (1, 1)
         x, y, score = x + step[0], y + step[1], score - MISMATCH * max(step)
@@ -362,11 +388,11 @@ def numbered(region: bytes, offset: int, seed_at: int, seed_word: int, ids: dict
     """(word ids of a region, word number of its first word); the region begins
     at byte ``offset`` of the text, and word ``seed_word`` at byte ``seed_at``."""
     raw = bytes(region).lower()
-    start, end = word_bounds(np.frombuffer(raw, dtype=np.uint8))
-    words = np.fromiter((ids.setdefault(raw[s:e], len(ids)) for s, e in zip(start.tolist(), end.tolist())),
-                        dtype=np.int64, count=len(start))
-    at = int(np.searchsorted(start, seed_at - offset))
-    return words, seed_word - at
+    words = raw.split()
+    for w in set(words).difference(ids):
+        ids[w] = len(ids)
+    return (np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)),
+            seed_word - len(raw[:seed_at - offset].split()))
 
 
 def align(p: np.ndarray, q: np.ndarray, xs: list[int], ys: list[int], ns: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -405,13 +431,16 @@ def aligned(chains: DataFrame, docs: DataFrame, id_col: str, text_col: str, out:
             min_words: int, min_identity: float) -> DataFrame:
     """Chains -> passages."""
     raw = docs.select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-
-    def region(first: str, last: str):
-        start = F.greatest(F.col(first) - MARGIN, F.lit(0))
-        return F.substr("raw", start + 1, F.col(last) + MARGIN - start)
-
-    both = (chains.join(raw, F.col("a") == F.col("doc")).withColumn("ra", region("xo", "xz")).drop("doc", "raw")
-            .join(raw, F.col("b") == F.col("doc")).withColumn("rb", region("yo", "yz")).drop("doc", "raw"))
+    side = lambda no, doc, first, last: F.struct(
+        F.lit(no).alias("side"), F.col(doc).alias("doc"), F.greatest(F.col(first) - MARGIN, F.lit(0)).alias("from"), F.col(last).alias("last"))
+    sides = chains.select(*chains.columns, F.explode(F.array(side(0, "a", "xo", "xz"), side(1, "b", "yo", "yz"))).alias("s")).select(
+        *chains.columns, "s.*")
+    regions = sides.join(raw, "doc").withColumn("raw", F.substr("raw", F.col("from") + 1, F.col("last") + MARGIN - F.col("from")))
+    key = ["b", "a", "xs", "ys", "ns", "xo", "yo"]
+    # an id with several texts has several regions: all of them are compared
+    both = (regions.groupBy(*key).agg(F.collect_set(F.when(F.col("side") == 0, F.col("raw"))).alias("ra"),
+                                      F.collect_set(F.when(F.col("side") == 1, F.col("raw"))).alias("rb"))
+            .withColumn("ra", F.explode("ra")).withColumn("rb", F.explode("rb")))
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -446,7 +475,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship_package(docs.sparkSession)
     out = ("doc_id long, other_doc_id long, start_word long, end_word long, other_start long, other_end long, "
            "identity double")
-    return aligned(chains_of(docs, id_col, text_col), docs, id_col, text_col, out, min_words, min_identity).distinct()
+
+    def passages(links: DataFrame, name: str) -> DataFrame:
+        chains = written(chained(links), f"{name}-chains")
+        found = written(aligned(chains, docs, id_col, text_col, out, min_words, min_identity).distinct(), name)
+        discard(chains)
+        return found
+
+    shared = written(shared_rows(seed_rows(docs, id_col, text_col)), "passage-seeds")
+    pairs = written(shared_rows(pair_rows(shared)), "passage-pairs")
+    many = pairs.unionByName(shared.where(F.col("n") == STRETCH)).where(F.col("size") > FEW)
+    found = passages(pair_links(shared).unionByName(pair_links(pairs)).unionByName(star_links(many)), "passages")
+    rest = written(uncovered(many, found), "passage-rest")
+    more = passages(all_links(rest, many), "passages-rest")
+    for t in (shared, pairs, rest):
+        discard(t)
+    return found.unionByName(more).distinct()
 
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
