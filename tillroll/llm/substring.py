@@ -281,6 +281,23 @@ def chain(x: list[int], y: list[int], n: list[int]) -> list[list[int]]:
     return out
 
 
+def joined(paths: list[list[int]], x: list[int], y: list[int], n: list[int]) -> list[list[int]]:
+    """Chains that follow one another within MIN_WORDS words in both documents, as
+    one: seeds between two edits can be too few to pay for the gaps."""
+    out: list[list[int]] = []
+    parts = 0
+    for path in sorted(paths, key=lambda p: (y[p[0]], x[p[0]])):
+        if out:
+            i, j = out[-1][-1], path[0]
+            if 0 <= y[j] - y[i] - n[i] <= MIN_WORDS and 0 <= x[j] - x[i] - n[i] <= MIN_WORDS:
+                out[-1] = out[-1] + path
+                parts += 1
+                continue
+        out.append(path)
+    known = {tuple(p) for p in paths}
+    return [p for p in out if tuple(p) not in known] if parts else []
+
+
 def chained(found: DataFrame) -> DataFrame:
     """Links -> chains: (b, a, xs, ys, ns, yo, xo, yz, xz): segments in word
     numbers, byte offsets of the first and the last seed in both documents."""
@@ -303,7 +320,8 @@ def chained(found: DataFrame) -> DataFrame:
         out = []
         for s, e in zip(starts[words >= 2 * K].tolist(), stops[words >= 2 * K].tolist()):
             xs, ys, ns = x[first[s:e]].tolist(), y[first[s:e]].tolist(), length[s:e].tolist()
-            for path in [[0]] if e - s == 1 else chain(xs, ys, ns):
+            paths = [[0]] if e - s == 1 else chain(xs, ys, ns)
+            for path in paths if len(paths) == 1 else paths + joined(paths, xs, ys, ns):
                 if sum(ns[j] for j in path) < 2 * K:
                     continue
                 f, z = first[s + path[0]], s + path[-1]
