@@ -257,6 +257,26 @@ def test_every_pair_of_few_and_the_class_of_many_edited_passages(spark):
     assert {(b, 0) for b in range(1, 45)} <= found(45)
 
 
+def test_a_stock_phrase_makes_no_pairs_and_hides_none(spark, monkeypatch):
+    # 200 documents have a phrase of 20 words; 40 and 150 share an edited passage around it, and the last
+    # hundred one of another: more than are linked pair by pair
+    phrase, passage, other = prose(2903, 20), prose(2904, 40).split(), prose(2905, 40)
+    edited = [*passage[:9], "another", *passage[10:24], *passage[25:]]
+    around = {40: (passage[:15], passage[15:]), 150: (edited[:15], edited[15:])} | {
+        i: (other.split()[:15], other.split()[15:]) for i in range(100, 200) if i != 150}
+    texts = []
+    for i in range(200):
+        before, after = around.get(i, ([], []))
+        texts.append((i, " ".join([prose(30000 + i, 60), *before, phrase, *after, prose(40000 + i, 60)])))
+    chains = []
+    monkeypatch.setattr(substring, "chained", lambda links, of=substring.chained: chains.append(links.count()) or of(links))
+    rows = dicts(substring.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")))
+    pairs = {(r["doc_id"], r["other_doc_id"]) for r in rows}
+    assert (150, 40) in pairs and {(i, 100) for i in range(101, 200) if i != 150} <= pairs
+    assert pairs <= {(150, 40)} | {(b, a) for b in range(100, 200) for a in range(100, b) if 150 not in (a, b)}
+    assert sum(chains) < 100 * 200           # 200 * 199 links for each pair of seeds before
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 15])
 def test_periodic_passages(spark, period):
     words = (prose(2902, 40).split()[:period] * 80)

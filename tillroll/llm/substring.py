@@ -14,10 +14,16 @@ document.
    passage that a frequent seed helps to find has such a pair of seeds.  Pairs of
    seeds with at most FEW rows link every pair of documents again.
    The others link each document to the first and to the last one; then
-   the rows that no passage found with the first document covers are linked to all
-   rows of other documents there.  Two documents that share a passage are thus
-   paired, unless both were found to share that place with the same first document:
-   those are its class, and only such pairs are not spelled out.
+   the rows that no passage found with the first document covers are open: they are
+   linked to all rows of other documents there, if those are at most ``WHOLE``.
+   Rows of a larger group are parted once more, by the ``GRAMS`` near them that the
+   first document does not have there: two that share a passage which neither
+   shares with the first have more words in common than with it.  Documents of a
+   part with open ones are linked at all seeds they share.  Two documents that share
+   a passage are thus paired, unless both were found to share that place with the same first
+   document: those are its class, and only such pairs are not spelled out.  Parting
+   needs three common words of four in a row besides the group's own phrase: a
+   passage of 50 words around a phrase of up to 24 always has them.
 3. Chaining, per pair of documents: links on one diagonal merge to segments;
    segments in the same order in both documents are chained for the largest
    number of words less gap costs, with a Fenwick tree of prefix maxima.
@@ -29,9 +35,9 @@ document.
 
 Scale: seeds are about 2 / 17 of the words, 28 bytes each, in one shuffle.  Frequent
 seeds alone make further rows, a few for each.  Texts are joined once per alignment
-with the regions wanted of them, and only regions travel on.  Documents that have two
-seeds near one another in common with very many others, but no passage with the first
-of them, are compared pair by pair: that part is quadratic, in joins and without a cap.
+with the regions wanted of them, and only regions travel on.  A stock phrase of very
+many documents makes rows for the grams near it, and pairs of those documents only
+that have such a gram in common: that part is quadratic, without a cap.
 """
 
 from __future__ import annotations
@@ -61,6 +67,9 @@ LOOK = 5              # words that have to agree after a skip, but one
 SEED = 10
 FEW = 8               # rows of a seed up to which all pairs are linked at once
 REACH = 64            # words within which a frequent seed is joined with others
+WHOLE = 64            # rows of a frequent seed up to which open rows are linked to all others
+DRIFT = 20            # words by which two rows of a passage can be apart beside their seed: 2 * 20 % of MIN_WORDS
+GRAMS = ((1, 2), (1, 3), (2, 3))    # three of four words in a row: the second and third one's places
 STRETCH = 18          # words of a seed of a periodic stretch: MIN_WORDS less two periods
 
 
@@ -178,19 +187,20 @@ def pair_rows(shared: DataFrame) -> DataFrame:
              .select("doc", "seed", "at", "n", word.alias("here"), F.explode(F.array(block - 1, block, block + 1)).alias("block")))
     return (often.join(near, ["doc", "block"])
             .where((F.col("here") != F.col("there")) & (F.abs(F.col("here") - F.col("there")) <= REACH))
-            .select(F.xxhash64("seed", "other", F.col("here") < F.col("there")).alias("seed"), "doc", "at", "n").distinct())
+            .select(F.xxhash64("seed", "other", F.col("here") < F.col("there")).alias("seed"), "doc", "at", "n")
+            .repartition("seed").distinct())   # the windows by seed need no further shuffle
 
 
 def linked(b: str, bt: str, a: str, at: str):
     """A link as a struct: places of the later and of the earlier document."""
     y, x = F.shiftright(bt, 32), F.shiftright(at, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    return F.struct(F.col(b).alias("b"), F.col(a).alias("a"), (x - y).cast("int").alias("diagonal"), y.cast("int").alias("y"),
+    return F.struct(F.col(b).alias("b"), F.col(a).alias("a"), y.cast("int").alias("y"),
                     x.cast("int").alias("x"), F.col("n").alias("n"), low(bt).alias("yo"), low(at).alias("xo"))
 
 
 def star_links(rows: DataFrame) -> DataFrame:
-    """(b, a, diagonal, y, x, n, yo, xo) for a < b: word numbers and byte offsets of
+    """(b, a, y, x, n, yo, xo) for a < b: word numbers and byte offsets of
     n shared words in both, for the first and the last document that has them."""
     ends = F.array(linked("doc", "at", "first.doc", "first.at"), linked("last.doc", "last.at", "doc", "at"))
     return rows.select(F.explode(ends).alias("p")).where("p.a < p.b").select("p.*")
@@ -217,13 +227,92 @@ def uncovered(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` but those that are, or that a passage of ``found`` shares with, the
     first row of their seed."""
     known = found.select(F.col("doc_id").alias("doc"), F.col("other_doc_id").alias("head"), "start_word", "end_word", "other_start", "other_end")
-    y, x = F.shiftright("at", 32), F.shiftright("first.at", 32)
-    rows = rows.where("doc > first.doc").withColumns({"head": F.col("first.doc"), "y": y, "x": x})
-    return (rows.join(known, (rows["doc"] == known["doc"]) & (rows["head"] == known["head"]) & (F.col("y") >= F.col("start_word"))
-                      & (F.col("y") < F.col("end_word")) & (F.col("x") >= F.col("other_start")) & (F.col("x") < F.col("other_end")), "left_anti")
+    y, x = F.shiftright("at", 32), F.col("x")
+    rows = rows.where("doc > first.doc").select("seed", "doc", "at", "n", F.col("first.doc").alias("head"),
+                                                F.shiftright("first.at", 32).cast("int").alias("x"))
+    return (rows.join(known, (rows["doc"] == known["doc"]) & (rows["head"] == known["head"]) & (y >= F.col("start_word"))
+                      & (y < F.col("end_word")) & (x >= F.col("other_start")) & (x < F.col("other_end")), "left_anti")
             .select("seed", "doc", "at", "n"))
 
 
+def gram_rows(crowd: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (seed, doc, at, n, open, lead) once for every gram (``GRAMS``) within
+    MIN_WORDS words of them, with the gram's distance ``off`` in words."""
+    from xxhash import xxh64_intdigest
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids: dict[bytes, int] = {}
+            grams, offs = [], []
+            for raw, before in zip(b["raw"], b["before"]):
+                raw = bytes(raw).lower()
+                mid = len(raw[:before].split())
+                low = max(0, mid - MIN_WORDS)
+                words = raw.split()[low:mid + MIN_WORDS + STRETCH]
+                for w in set(words).difference(ids):
+                    ids[w] = xxh64_intdigest(w, SEED)
+                h = np.fromiter(map(ids.__getitem__, words), dtype=np.uint64, count=len(words))
+                mixed = [((h[:-z] * np.uint64(0x9E3779B97F4A7C15) + h[y:len(h) - z + y]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[z:]).view(np.int64)
+                         for y, z in GRAMS if len(h) > z]
+                grams.append(np.concatenate([*mixed, np.array([], dtype=np.int64)]))
+                offs.append(np.concatenate([*[np.arange(len(m)) for m in mixed], np.array([], dtype=np.int64)]) + low - mid)
+            size = [len(g) for g in grams]
+            if size:
+                yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), size) for c in ("seed", "doc", "at", "n", "open", "lead")}
+                                   | {"gram": np.concatenate(grams), "off": np.concatenate(offs)})
+
+    raw = docs.select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("raw")).where("raw is not null")
+    byte = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    before = F.least(byte, F.lit(MARGIN))
+    return (crowd.join(raw, "doc").select("seed", "doc", "at", "n", "open", "lead", before.alias("before"),
+                                          F.substr("raw", byte - before + 1, before + MARGIN).alias("raw"))
+            .mapInPandas(emit, "seed long, doc long, at long, n int, open boolean, lead boolean, gram long, off int"))
+
+
+def parted(grams: DataFrame) -> DataFrame:
+    """``gram_rows`` by seed and gram, of groups with an open row: (seed, doc, at, n,
+    open, off, first, size), the new seed standing for both.  Grams that the
+    seed's leading row has there too do not part the others from it."""
+    at_gram = Window.partitionBy("seed", "gram")
+    led = F.when(F.col("lead"), F.col("off"))
+    where = F.struct("doc", "at")
+    own = (grams.withColumn("led", F.collect_set(led).over(at_gram))
+           .where(~F.col("lead") & ~F.exists("led", lambda o: F.abs(F.col("off") - o) <= DRIFT)))
+    return (own.withColumns({"first": F.min(where).over(at_gram), "last": F.max(where).over(at_gram),
+                             "size": F.approx_count_distinct("doc").over(at_gram), "some": F.max("open").over(at_gram)})
+            .where("some and first.doc < last.doc")
+            .select(F.xxhash64("seed", "gram").alias("seed"), "doc", "at", "n", "open", "off", "first", "size"))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """(seed, doc, at, n, open, first, size, opens), size and opens being about the
+    documents of the seed and of its open rows, without seeds that have the same rows as another."""
+    rows = rows.groupBy("seed", "doc", "at").agg(F.max("n").alias("n"), F.max("open").alias("open"), F.first("first").alias("first"))
+    kinds = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("rows"), F.expr("bit_xor(xxhash64(doc, at, open))").alias("mark"),
+                                     F.approx_count_distinct("doc").alias("size"),
+                                     F.approx_count_distinct(F.when(F.col("open"), F.col("doc"))).alias("opens"))
+    kept = kinds.where("opens > 0").groupBy("rows", "mark").agg(F.min(F.struct("seed", "size", "opens")).alias("k")).select("k.*")
+    return rows.join(kept, "seed")
+
+
+def near_pairs(rows: DataFrame) -> DataFrame:
+    """(b, a) for a < b: documents of open rows with all others of their seed and gram."""
+    rows = rows if "off" in rows.columns else rows.withColumn("off", F.lit(0))
+    one = rows.where("open").select("seed", F.col("doc").alias("one"), F.col("off").alias("one_off")).distinct()
+    two = rows.select("seed", F.col("doc").alias("two"), F.col("off").alias("two_off")).distinct()
+    return (one.join(two, (one["seed"] == two["seed"]) & (F.col("one") != F.col("two"))
+                     & (F.abs(F.col("one_off") - F.col("two_off")) <= DRIFT))
+            .select(F.greatest("one", "two").alias("b"), F.least("one", "two").alias("a")))
+
+
+def links_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of pairs of documents at all seeds that both have in ``rows``."""
+    one = rows.select("seed", F.col("doc").alias("b"), F.col("at").alias("one_at"), "n")
+    two = rows.select("seed", F.col("doc").alias("a"), F.col("at").alias("two_at"))
+    return (pairs.distinct().join(one, "b").join(two, ["a", "seed"])
+            .select(linked("b", "one_at", "a", "two_at").alias("p")).select("p.*"))
+
+
 # --- chaining ---------------------------------------------------------------
 
 class PrefixMax:
@@ -304,7 +393,8 @@ def chained(found: DataFrame) -> DataFrame:
     shape = "b long, a long, xs array<int>, ys array<int>, ns array<int>, yo int, xo int, yz int, xz int"
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        b, a, d, y, x, n, yo, xo = (rows[c].to_numpy() for c in ("b", "a", "diagonal", "y", "x", "n", "yo", "xo"))
+        b, a, y, x, n, yo, xo = (rows[c].to_numpy() for c in ("b", "a", "y", "x", "n", "yo", "xo"))
+        d = x - y
         new_pair = np.concatenate(([True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])))
         fresh = new_pair | np.concatenate(([True], d[1:] != d[:-1]))
         base = np.cumsum(fresh) << 33         # the end so far on the diagonal of a pair
@@ -344,7 +434,7 @@ def chained(found: DataFrame) -> DataFrame:
             yield of(rest)
 
     parts = max(8, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return (found.repartition(parts, "b", "a").sortWithinPartitions("b", "a", "diagonal", "y")
+    return (found.repartition(parts, "b", "a").sortWithinPartitions("b", "a", F.col("x") - F.col("y"), "y")
             .mapInPandas(whole_pairs, shape))
 
 
@@ -402,14 +492,12 @@ def extension(p: np.ndarray, q: np.ndarray) -> list[tuple[int, int, int]]:
             return [best[1:], *later]
 
 
-def numbered(region: bytes, offset: int, seed_at: int, seed_word: int, ids: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """(word ids of a region, word number of its first word); the region begins
+def numbered(region: bytes, offset: int, seed_at: int, seed_word: int) -> tuple[np.ndarray, int]:
+    """(hashes of the words of a region, word number of its first word); the region begins
     at byte ``offset`` of the text, and word ``seed_word`` at byte ``seed_at``."""
     raw = bytes(region).lower()
     words = raw.split()
-    for w in set(words).difference(ids):
-        ids[w] = len(ids)
-    return (np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)),
+    return (np.fromiter(map(hash, words), dtype=np.int64, count=len(words)),      # compared inside one process only
             seed_word - len(raw[:seed_at - offset].split()))
 
 
@@ -464,9 +552,8 @@ def aligned(chains: DataFrame, docs: DataFrame, id_col: str, text_col: str, out:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                ids: dict[bytes, int] = {}
-                p, px = numbered(r.ra, max(r.xo - MARGIN, 0), r.xo, int(r.xs[0]), ids)
-                q, qy = numbered(r.rb, max(r.yo - MARGIN, 0), r.yo, int(r.ys[0]), ids)
+                p, px = numbered(r.ra, max(r.xo - MARGIN, 0), r.xo, int(r.xs[0]))
+                q, qy = numbered(r.rb, max(r.yo - MARGIN, 0), r.yo, int(r.ys[0]))
                 found = passage(p, q, [int(v) - px for v in r.xs], [int(v) - qy for v in r.ys], [int(v) for v in r.ns],
                                 min_words, min_identity)
                 if found:
@@ -505,8 +592,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     many = pairs.unionByName(shared.where(F.col("n") == STRETCH)).where(F.col("size") > FEW)
     found = passages(pair_links(shared).unionByName(pair_links(pairs)).unionByName(star_links(many)), "passages")
     rest = written(uncovered(many, found), "passage-rest")
-    more = passages(all_links(rest, many), "passages-rest")
-    for t in (shared, pairs, rest):
+    at_seed = Window.partitionBy("seed")
+    base = written(many.select("seed", "doc", "at", "n").join(rest.select("seed").distinct(), "seed", "left_semi").distinct()
+                   .withColumns({"first": F.min(F.struct("doc", "at")).over(at_seed), "size": F.count(F.lit(1)).over(at_seed)}), "passage-base")
+    for t in (shared, pairs):
+        discard(t)
+    small = base.where(F.col("size") <= WHOLE)
+    links = all_links(rest.join(small.select("seed").distinct(), "seed", "left_semi"), small)
+    crowd = written(apart(base.where(F.col("size") > WHOLE).join(rest.select("seed", "doc", "at").distinct().withColumn("open", F.lit(True)),
+                                                                 ["seed", "doc", "at"], "left")
+                          .withColumn("open", F.coalesce("open", F.lit(False)))), "passage-crowd")
+    lead = (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))
+    direct = (F.col("opens") <= 2 * FEW) | (F.col("size") <= WHOLE)
+    near = written(parted(gram_rows(crowd.where(~direct).withColumn("lead", lead), docs, id_col, text_col)), "passage-near")
+    # only documents count from here on: parts of the same ones are one
+    parts = apart(near.where(F.col("size") > FEW).withColumn("at", F.lit(0).cast("long")))
+    pairs = (near_pairs(crowd.where(direct)).unionByName(near_pairs(near.where(F.col("size") <= FEW))).unionByName(near_pairs(parts)))
+    more = passages(links.unionByName(links_of(pairs, base)), "passages-rest")
+    for t in (rest, base, crowd, near):
         discard(t)
     return found.unionByName(more).distinct()
 
